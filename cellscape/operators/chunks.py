@@ -1,0 +1,20 @@
+"""Member lists cut into bounded pieces."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+LIST_SIZE = 10_000
+
+
+def chunked_lists(df: DataFrame, keys: list[str], item: str, name: str, size: int = LIST_SIZE) -> DataFrame:
+    """Sorted distinct ``item`` lists per group as (keys, chunk, name, n_<name>).
+
+    A group of up to ``size`` members is one row with chunk 0; a larger one is spread over
+    as many rows as needed, so no list grows with the data.
+    """
+    members = df.select(*keys, F.col(item).alias("_item")).where(F.col("_item").isNotNull()).distinct()
+    sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"n_{name}"))
+    pieces = F.ceil(F.col(f"n_{name}") / F.lit(float(size))).cast("long")
+    placed = members.join(sizes, keys).withColumn("chunk", F.pmod(F.xxhash64("_item"), pieces).cast("int"))
+    return placed.groupBy(*keys, f"n_{name}", "chunk").agg(F.array_sort(F.collect_list("_item")).alias(name))
