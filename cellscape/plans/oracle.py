@@ -180,7 +180,7 @@ SELECT ix, iy, cell_name, event_count, avg_rsrp, avg_rsrq, avg_sinr, distance_to
 FROM cov WINDOW g AS (PARTITION BY ix, iy), c AS (PARTITION BY cell_name))""", "cov")
 ORACLE["grid_cell_totals"] = sql("SELECT " + ", ".join(
     ["ix", "iy", "cell_name", "event_count", "grid_event_count", "cell_event_count"] +
-    [f"round({c},3) AS {c}" for c in ("avg_rsrp", "avg_rsrq", "avg_sinr", "avg_rsrp_grid", "avg_rsrq_grid", "avg_sinr_grid",
+    [f"round({c}+1e-9,6) AS {c}" for c in ("avg_rsrp", "avg_rsrq", "avg_sinr", "avg_rsrp_grid", "avg_rsrq_grid", "avg_sinr_grid",
      "avg_rsrp_cell", "avg_rsrq_cell", "avg_sinr_cell", "perc_cell_events", "perc_grid_events")]) + " FROM tot", "tot")
 ORACLE["located_bins"] = sql(
     f"""SELECT ix, iy, cell_name, round(latitude,4) AS latitude, round(longitude,4) AS longitude, round(clat,4) AS cell_lat,
@@ -284,3 +284,151 @@ ORACLE["neighbour_distances"] = sql(
     LEFT JOIN (SELECT cell_name, quantile_cont(dist,.5) AS q FROM z WHERE pct>=2 AND dist<=30000 AND co_site='n' GROUP BY 1) USING (cell_name)""".replace("WITH z AS (", "SELECT * FROM (WITH z AS (") + ")", "imp")
 ORACLE["site_tech_bands"] = sql(
     "SELECT site, string_agg(DISTINCT tech||'_'||band, ',' ORDER BY tech||'_'||band) AS tech_bands FROM tgis GROUP BY site", "tgis")
+
+# --- environment, competition, over- and undershooting ---
+
+cte("sites", "SELECT round(latitude,6) AS y, round(longitude,6) AS x, min((latitude, longitude)) AS p FROM gis GROUP BY 1, 2", "gis")
+cte("spacing", """SELECT y, x, avg(km) AS km FROM (SELECT y, x, km, row_number() OVER (PARTITION BY y, x ORDER BY km) AS n FROM (
+  SELECT a.y, a.x, 111.0*sqrt(pow(b.y-a.y,2)+pow(b.x-a.x,2)) AS km,
+    row_number() OVER (PARTITION BY a.y, a.x ORDER BY sqrt(pow(b.y-a.y,2)+pow(b.x-a.x,2))) AS r FROM sites a, sites b) WHERE r BETWEEN 2 AND 20 AND km>=0.1) WHERE n<=3 GROUP BY y, x""", "sites")
+cte("env0", """SELECT cell_name, round(coalesce(km,2.0),3) AS intersite_distance_km, CASE WHEN coalesce(km,2.0)<=1 THEN 'URBAN' WHEN coalesce(km,2.0)<=3 THEN 'SUBURBAN' ELSE 'RURAL' END AS environment
+  FROM gis LEFT JOIN spacing ON round(latitude,6)=y AND round(longitude,6)=x""", "gis", "spacing")
+ORACLE["site_environment"] = sql("SELECT * FROM env0", "env0")
+cte("env", """SELECT cell_name, round(coalesce(km,2.0),3) AS intersite_distance_km, CASE WHEN coalesce(km,2.0)<=1.25 THEN 'URBAN' WHEN coalesce(km,2.0)<=1.4 THEN 'SUBURBAN' ELSE 'RURAL' END AS environment
+  FROM gis LEFT JOIN spacing ON round(latitude,6)=y AND round(longitude,6)=x""", "gis", "spacing")
+cte("p90", "SELECT ix, iy, band, quantile_cont(avg_rsrp,0.9) AS p90, max(distance_to_cell) AS gmax FROM cov GROUP BY ix, iy, band", "cov")
+cte("comp", """SELECT ix, iy, band, max(p90) AS p90, count(DISTINCT cell_name) AS total_cells, count(DISTINCT CASE WHEN p90-avg_rsrp<=7.5 THEN cell_name END) AS competing_cells,
+  count(CASE WHEN p90-avg_rsrp<=7.5 THEN 1 END) AS competing_rows, CAST(sum(event_count) AS BIGINT) AS grid_total_traffic
+  FROM cov JOIN p90 USING (ix, iy, band) GROUP BY ix, iy, band""", "cov", "p90")
+ORACLE["competition_counts"] = sql("SELECT * REPLACE (round(p90,4) AS p90) FROM comp", "comp")
+cte("beam", "SELECT *, distance_to_cell AS d FROM cov WHERE grid_bearing_diff<=90", "cov")
+cte("edge", """SELECT b.*, e AS edge_distance_m FROM beam b JOIN (SELECT cell_name, quantile_cont(d,0.85) AS e FROM beam GROUP BY 1) USING (cell_name) WHERE d>=e""", "beam")
+ORACLE["edge_bins"] = sql("SELECT ix, iy, cell_name, d AS distance_m, round(edge_distance_m,4) AS edge_distance_m FROM edge", "edge")
+
+
+def over_metrics(name: str, edge: str) -> None:
+    cte(name, f"""SELECT a.*, coalesce(edge_grids,0) AS edge_grids, coalesce(avg_edge_rsrp,-140.0) AS avg_edge_rsrp FROM
+  (SELECT cell_name, max(distance_to_cell) AS max_distance_m, count(DISTINCT (ix,iy)) AS total_grids, quantile_cont(avg_rsrp,0.85) AS cell_max_rsrp FROM cov GROUP BY 1) a
+  LEFT JOIN (SELECT cell_name, count(DISTINCT (ix,iy)) AS edge_grids, avg(avg_rsrp) AS avg_edge_rsrp FROM {edge} GROUP BY 1) USING (cell_name)""", "cov", edge)
+
+
+over_metrics("om", "edge")
+ORACLE["cell_metrics"] = sql("""SELECT cell_name, max_distance_m, total_grids, round(cell_max_rsrp+1e-9,3) AS cell_max_rsrp, edge_grids, round(avg_edge_rsrp+1e-9,3) AS avg_edge_rsrp FROM om""", "om")
+cte("ob", """SELECT x.*, competing_cells, grid_total_traffic, event_count/grid_total_traffic::DOUBLE AS cell_traffic_pct, d/gmax AS relative_reach, cell_max_rsrp FROM
+  (SELECT e.*, p90, gmax FROM edge e JOIN p90 USING (ix, iy, band)) x JOIN
+  (SELECT ix, iy, band, count(DISTINCT CASE WHEN p90-avg_rsrp<=7.5 THEN cell_name END) AS competing_cells, CAST(sum(event_count) AS BIGINT) AS grid_total_traffic
+   FROM edge JOIN p90 USING (ix, iy, band) GROUP BY 1,2,3) USING (ix, iy, band) JOIN om USING (cell_name)
+  WHERE competing_cells>=2 AND event_count/grid_total_traffic::DOUBLE<=0.25 AND d/gmax>=0.5 AND avg_rsrp<=cell_max_rsrp-10""", "edge", "p90", "om")
+ORACLE["overshoot_bins"] = sql("""SELECT ix, iy, cell_name, competing_cells, grid_total_traffic, round(cell_traffic_pct,4) AS cell_traffic_pct,
+  round(relative_reach,4) AS relative_reach, round(p90,4) AS p90_rsrp_in_grid FROM ob""", "ob")
+
+
+def over_cells(tag: str, metrics: str, bins: str, where: str, thr: str = "7.5") -> str:
+    """Building blocks from flagged bins to scored cells; returns the last name."""
+    cte(f"oc{tag}", f"""SELECT m.*, coalesce(n,0) AS overshooting_grids, coalesce(n,0)/total_grids::DOUBLE AS percentage_overshooting, tilt_elc, tilt_mech, antenna_height
+  FROM {metrics} m LEFT JOIN (SELECT cell_name, count(DISTINCT (ix,iy)) AS n FROM {bins} GROUP BY 1) USING (cell_name) JOIN gis USING (cell_name) WHERE {where}""", metrics, bins, "gis")
+
+    def reach(n):
+        return f"least(max_distance_m, max_distance_m*pow(10.0,-{att_change('max_distance_m','tilt_elc','antenna_height',n)}/35.0))"
+
+    def after(d, n):
+        return f"(avg_rsrp-greatest({att_change(d,'tilt_elc','antenna_height',n)},0.0))"
+
+    cte(f"ot{tag}", f"""SELECT * FROM oc{tag} JOIN (SELECT cell_name, count(*) AS nb,
+    count(CASE WHEN d>{reach(1.0)} OR p90-{after('d',1.0)}>{thr} THEN 1 END) AS grids_resolved_1deg,
+    count(CASE WHEN d>{reach(2.0)} OR p90-{after('d',2.0)}>{thr} THEN 1 END) AS grids_resolved_2deg
+    FROM (SELECT ix, iy, cell_name, d, avg_rsrp, p90 FROM {bins}) JOIN oc{tag} USING (cell_name) GROUP BY 1) USING (cell_name)
+    JOIN (SELECT cell_name, coalesce(max(CASE WHEN {after('distance_to_cell',1.0)}>=-110 THEN distance_to_cell END),0) AS new_max_distance_1deg_m,
+    coalesce(max(CASE WHEN {after('distance_to_cell',2.0)}>=-110 THEN distance_to_cell END),0) AS new_max_distance_2deg_m
+    FROM cov JOIN oc{tag} USING (cell_name) GROUP BY 1) USING (cell_name)""", f"oc{tag}", bins, "cov")
+    cte(f"os{tag}", f"""SELECT *, CASE WHEN recommended_tilt_change=1 THEN grids_resolved_1deg ELSE grids_resolved_2deg END AS removed_interference_grids,
+    least(greatest(0.30*least(greatest((overshooting_grids-b5)/greatest(b95-b5,1e-9),0),1)+0.25*percentage_overshooting
+    +0.20*least(greatest((max_distance_m-4000)/31000.0,0),1)+0.15*least(greatest((avg_edge_rsrp+70)/-50.0,0),1)
+    +0.10*least(greatest((total_grids-t5)/greatest(t95-t5,1e-9),0),1),0),1) AS severity_score
+    FROM (SELECT *, grids_resolved_1deg/nb::DOUBLE AS resolution_1deg_pct, grids_resolved_2deg/nb::DOUBLE AS resolution_2deg_pct,
+      CAST(CASE WHEN grids_resolved_1deg/nb::DOUBLE>=0.5 THEN 1 ELSE 2 END AS BIGINT) AS recommended_tilt_change FROM ot{tag}),
+    (SELECT quantile_cont(overshooting_grids,0.05) AS b5, quantile_cont(overshooting_grids,0.95) AS b95, quantile_cont(total_grids,0.05) AS t5,
+      quantile_cont(total_grids,0.95) AS t95 FROM ot{tag})""", f"ot{tag}")
+    return f"os{tag}"
+
+
+def sev(x: str, op: str = ">=") -> str:
+    return f"CASE WHEN {x}{op}0.8 THEN 'CRITICAL' WHEN {x}{op}0.6 THEN 'HIGH' WHEN {x}{op}0.4 THEN 'MEDIUM' WHEN {x}{op}0.2 THEN 'LOW' ELSE 'MINIMAL' END"
+
+
+OVER_COLS = f"""cell_name, max_distance_m, total_grids, round(cell_max_rsrp+1e-9,3) AS cell_max_rsrp, edge_grids, round(avg_edge_rsrp+1e-9,3) AS avg_edge_rsrp,
+  overshooting_grids, round(percentage_overshooting+1e-9,3) AS percentage_overshooting, tilt_mech, tilt_elc, antenna_height AS antenna_height_m,
+  grids_resolved_1deg, grids_resolved_2deg, new_max_distance_1deg_m, new_max_distance_2deg_m, round(resolution_1deg_pct+1e-9,3) AS resolution_1deg_pct,
+  round(resolution_2deg_pct+1e-9,3) AS resolution_2deg_pct, recommended_tilt_change, removed_interference_grids,
+  overshooting_grids-removed_interference_grids AS new_interference_grids, round((overshooting_grids-removed_interference_grids)/total_grids::DOUBLE+1e-9,3) AS new_interference_pct,
+  round(removed_interference_grids/overshooting_grids::DOUBLE*100+1e-9,3) AS interference_reduction_pct, round(severity_score+1e-9,3) AS severity_score,
+  {sev('severity_score','>')} AS severity_category"""
+_n = over_cells("s", "om", "ob", "max_distance_m>=4000 AND n>=5 AND n/total_grids::DOUBLE>=0.02")
+ORACLE["overshoot_cells"] = sql(f"SELECT {OVER_COLS} FROM {_n}", _n)
+# class limits: edge share, competing cells, traffic share, reach, cell distance
+cte("lim", """SELECT * FROM (VALUES ('URBAN',0.88,3,0.25,0.70,1500.0),('SUBURBAN',0.85,2,0.28,0.68,3500.0),('RURAL',0.82,2,0.30,0.65,4000.0)) t(environment,eq,mc,mt,mr,md)""")
+cte("edgee", """SELECT b.*, e AS edge_distance_m FROM beam b JOIN (SELECT cell_name, CASE environment WHEN 'URBAN' THEN quantile_cont(d,0.88) WHEN 'SUBURBAN' THEN quantile_cont(d,0.85) ELSE quantile_cont(d,0.82) END AS e
+  FROM beam JOIN env USING (cell_name) GROUP BY cell_name, environment) USING (cell_name) WHERE d>=e""", "beam", "env")
+over_metrics("ome0", "edgee")
+cte("ome", "SELECT * FROM ome0 JOIN env USING (cell_name) JOIN lim USING (environment)", "ome0", "env", "lim")
+cte("obe", """SELECT x.*, environment, competing_cells, event_count/grid_total_traffic::DOUBLE AS cell_traffic_pct, d/gmax AS relative_reach FROM
+  (SELECT e.*, p90, gmax FROM edgee e JOIN p90 USING (ix, iy, band)) x JOIN
+  (SELECT ix, iy, band, count(DISTINCT CASE WHEN p90-avg_rsrp<=8.5 THEN cell_name END) AS competing_cells, CAST(sum(event_count) AS BIGINT) AS grid_total_traffic
+   FROM cov JOIN p90 USING (ix, iy, band) GROUP BY 1,2,3) USING (ix, iy, band) JOIN ome USING (cell_name)
+  WHERE competing_cells>=mc AND event_count/grid_total_traffic::DOUBLE<=mt AND d/gmax>=mr AND avg_rsrp<=cell_max_rsrp-10""", "edgee", "p90", "cov", "ome")
+ORACLE["overshoot_env_bins"] = sql("""SELECT ix, iy, cell_name, environment, competing_cells, round(cell_traffic_pct,4) AS cell_traffic_pct, round(relative_reach,4) AS relative_reach FROM obe""", "obe")
+_n = over_cells("e", "ome", "obe", "max_distance_m>=md AND n>=5 AND n/total_grids::DOUBLE>=0.02")
+ORACLE["overshoot_env_cells"] = sql(f"SELECT {OVER_COLS}, environment FROM {_n}", _n)
+
+cte("ust", "SELECT cell_name, max(distance_to_cell) AS max_distance_m, CAST(sum(event_count) AS BIGINT) AS total_traffic, count(*) AS total_grids FROM cov WHERE distance_to_cell>0 GROUP BY 1", "cov")
+
+
+def under(tag: str, max_d: str, max_n: str, max_i: str, cov1: str, d1: str, d2: str, n: str, keep: bool, env: bool) -> str:
+    src = "ust JOIN env USING (cell_name)" if env else "ust"
+    cte(f"ub{tag}", f"SELECT ix, iy, cell_name, competing_rows FROM (SELECT * FROM {src} WHERE max_distance_m<={max_d}) JOIN (SELECT ix, iy, band, cell_name FROM cov) USING (cell_name) JOIN comp USING (ix, iy, band) WHERE competing_rows>{max_n}",
+        "ust", "comp", "cov", *(["env"] if env else []))
+    cte(f"uc{tag}", f"SELECT *, interference_grids/total_grids::DOUBLE AS interference_percentage FROM (SELECT u.*, coalesce(k,0) AS interference_grids FROM (SELECT * FROM {src} WHERE max_distance_m<={max_d}) u LEFT JOIN (SELECT cell_name, count(*) AS k FROM ub{tag} GROUP BY 1) USING (cell_name))",
+        f"ub{tag}", "ust", *(["env"] if env else []))
+
+    def up(k):
+        return f"CASE WHEN tilt<=0 THEN max_distance_m ELSE greatest(max_distance_m, max_distance_m*pow(10.0,-{att_change('max_distance_m','tilt','antenna_height',-k)}/(10.0*{n}))) END"
+
+    keepc = " OR tilt<=0" if keep else ""
+    w2 = f"((n2-max_distance_m)/max_distance_m>=0.10 AND n2-max_distance_m>={d2})"
+    w1 = f"((n1-max_distance_m)/max_distance_m>={cov1} AND n1-max_distance_m>={d1})"
+    cte(f"uu{tag}", f"""SELECT *, new_max_distance_m-max_distance_m AS distance_increase_m, CAST(round_even(total_grids*coverage_increase_percentage,0) AS BIGINT) AS new_coverage_grids FROM (
+  SELECT *, CAST(CASE WHEN {w2} THEN 2 WHEN {w1} THEN 1 ELSE 0 END AS BIGINT) AS recommended_uptilt_deg, CASE WHEN {w2} THEN n2 WHEN {w1} THEN n1 ELSE max_distance_m END AS new_max_distance_m,
+  CASE WHEN {w2} THEN (n2-max_distance_m)/max_distance_m WHEN {w1} THEN (n1-max_distance_m)/max_distance_m ELSE 0.0 END AS coverage_increase_percentage
+  FROM (SELECT *, {up(1.0)} AS n1, {up(2.0)} AS n2 FROM (SELECT u.*, tilt_mech, tilt_elc, antenna_height, tilt_mech+tilt_elc AS tilt FROM uc{tag} u JOIN gis USING (cell_name)
+    WHERE total_traffic>=200 AND interference_percentage<={max_i}))) WHERE recommended_uptilt_deg>0{keepc}""", f"uc{tag}", "gis")
+
+    def sp(c, k):
+        return f"CASE WHEN {k}95>{k}5 THEN least(greatest(({c}-{k}5)/({k}95-{k}5),0),1) ELSE 0.5 END"
+
+    extra = ", environment, intersite_distance_km" if env else ""
+    cte(f"us{tag}", f"""SELECT cell_name, max_distance_m, total_grids, interference_grids, round(interference_percentage,4) AS interference_percentage, total_traffic, tilt_mech, tilt_elc,
+  recommended_uptilt_deg, round(new_max_distance_m,4) AS new_max_distance_m, round(coverage_increase_percentage,4) AS coverage_increase_percentage, total_grids AS current_coverage_grids,
+  max_distance_m AS current_distance_m, round(distance_increase_m,4) AS distance_increase_m, new_coverage_grids, total_grids+new_coverage_grids AS total_coverage_after_uptilt,
+  round(s,4) AS severity_score, {sev('s')} AS severity_category, CASE WHEN tilt<=0 THEN 'Cell at minimum tilt (0 deg) - investigate physical build' END AS physical_constraint_note{extra}
+  FROM (SELECT *, least(greatest(0.30*least(greatest(coverage_increase_percentage/0.5,0),1)+0.25*{sp('new_coverage_grids','g')}+0.20*(1-interference_percentage)+0.15*{sp('distance_increase_m','d')}+0.10*{sp('total_grids','t')},0),1) AS s
+  FROM uu{tag}, (SELECT quantile_cont(new_coverage_grids,0.05) AS g5, quantile_cont(new_coverage_grids,0.95) AS g95, quantile_cont(distance_increase_m,0.05) AS d5,
+  quantile_cont(distance_increase_m,0.95) AS d95, quantile_cont(total_grids,0.05) AS t5, quantile_cont(total_grids,0.95) AS t95 FROM uu{tag}))""", f"uu{tag}")
+    return f"us{tag}"
+
+
+_u = under("s", "15000", "3", "0.9", "0.05", "50", "100", "3.5", False, False)
+ORACLE["undershoot_candidates"] = sql("SELECT * REPLACE (round(interference_percentage,6) AS interference_percentage) FROM ucs", "ucs")
+ORACLE["undershoot_bins"] = sql("SELECT * FROM ubs", "ubs")
+ORACLE["undershoot_uptilt"] = sql(f"SELECT * FROM {_u}", _u)
+
+
+def by_env(u, s, r) -> str:
+    return f"(CASE environment WHEN 'URBAN' THEN {u} WHEN 'SUBURBAN' THEN {s} ELSE {r} END)"
+
+
+_e = under("e", by_env(6500, 7000, 12000), by_env(4, 3, 2), "0.9", "0.05", by_env(25, 50, 100), by_env(50, 100, 200), by_env("4.0", "3.5", "3.0"), True, True)
+ORACLE["undershoot_env"] = sql(f"SELECT * FROM {_e}", _e)
+ORACLE["undershoot_compare"] = sql(f"""SELECT *, environment_aware-standard AS difference, CASE WHEN standard=0 THEN 0 ELSE round((environment_aware-standard)/standard::DOUBLE*100,4) END AS pct_change,
+  round(standard/cells::DOUBLE*100,4) AS standard_rate_pct, round(environment_aware/cells::DOUBLE*100,4) AS environment_rate_pct FROM (
+  SELECT coalesce(environment,'Total') AS environment, count(*) AS cells, count(s.cell_name) AS standard, count(e.cell_name) AS environment_aware
+  FROM env LEFT JOIN (SELECT cell_name FROM {_u}) s USING (cell_name) LEFT JOIN (SELECT cell_name FROM {_e}) e USING (cell_name) GROUP BY GROUPING SETS ((environment),()))""", "env", _u, _e)

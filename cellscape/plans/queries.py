@@ -16,10 +16,13 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
-def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Round every double column, so results do not depend on summation order."""
+def rounded(df: DataFrame, digits: int = 4, nudge: float = 0.0) -> DataFrame:
+    """Round every double column, so results do not depend on summation order.
+
+    ``nudge`` moves values off exact rounding ties, which means of decimal data often hit.
+    """
     return df.select(*[
-        F.round(F.col(f"`{n}`"), digits).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes
+        F.round(F.col(f"`{n}`") + nudge, digits).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes
     ])
 
 
@@ -167,7 +170,7 @@ def kpi_pivot(spark, sf):
 @query
 def grid_cell_totals(spark, sf):
     kept = ["ix", "iy", "cell_name", "event_count", "avg_rsrp", "avg_rsrq", "avg_sinr"]
-    return rounded(enrich.bin_and_cell_totals(tables.coverage(spark, sf).select(*kept)), 3)
+    return rounded(enrich.bin_and_cell_totals(tables.coverage(spark, sf).select(*kept)), 6, nudge=1e-9)
 
 
 @query
@@ -288,3 +291,138 @@ def neighbour_distances(spark, sf):
 def site_tech_bands(spark, sf):
     gis = tables.cell_gis(spark, sf).withColumn("tech", F.when(F.col("cell_key") % 3 == 0, "nsa").otherwise("lte"))
     return impacts.site_tech_bands(gis).select("site", F.array_join("tech_bands", ",").alias("tech_bands"))
+
+
+# --- environment, competition, over- and undershooting ---------------------------------
+
+from dataclasses import replace  # noqa: E402
+
+from cellscape import params as P  # noqa: E402
+from cellscape.operators import competition, environment, overshoot, undershoot  # noqa: E402
+
+# The derived tables are smaller and flatter than a live network, so limits are loosened.
+OVER = P.Overshoot(min_cell_count_in_grid=2, min_overshooting_grids=5, percentage_overshooting_grids=0.02, min_relative_reach=0.5)
+OVER_ENV = {
+    env: replace(p, min_cell_count_in_grid=n, min_overshooting_grids=5, percentage_overshooting_grids=0.02, min_cell_distance=d)
+    for (env, p), n, d in zip(P.OVERSHOOT_BY_ENVIRONMENT.items(), (3, 2, 2), (1500.0, 3500.0, 4000.0))
+}
+ENV_RULES = P.EnvironmentRules(urban_km=1.25, suburban_km=1.4)
+UNDER = P.Undershoot(max_cell_grid_count=3, max_interference_percentage=0.9)
+UNDER_ENV = {
+    env: replace(p, max_interference_percentage=0.9, max_cell_distance=d)
+    for (env, p), d in zip(P.UNDERSHOOT_BY_ENVIRONMENT.items(), (6500.0, 7000.0, 12000.0))
+}
+
+
+@query
+def site_environment(spark, sf):
+    out = environment.classify_environment(tables.cell_gis(spark, sf))
+    return rounded(out.select("cell_name", "intersite_distance_km", "environment"))
+
+
+@query
+def competition_counts(spark, sf):
+    cov = tables.coverage(spark, sf)
+    rows = competition.with_reference_level(cov, cov, 0.9)
+    level = rows.groupBy(*competition.BIN_BAND).agg(F.max("p90_rsrp_in_grid").alias("p90"))
+    return rounded(competition.competition_counts(rows, 7.5).join(level, competition.BIN_BAND))
+
+
+def _ranged(spark, sf):
+    cov, gis = overshoot.sanitise(tables.coverage(spark, sf), tables.cell_gis(spark, sf), OVER)
+    return overshoot.with_distance(cov, gis)
+
+
+@query
+def edge_bins(spark, sf):
+    out = overshoot.edge_bins(_ranged(spark, sf), None, OVER)
+    return rounded(out.select("ix", "iy", "cell_name", "distance_m", "edge_distance_m"))
+
+
+@query
+def cell_metrics(spark, sf):
+    rows = _ranged(spark, sf)
+    out = overshoot.cell_metrics(rows, overshoot.edge_bins(rows, None, OVER), OVER)
+    return rounded(out, 3, nudge=1e-9)
+
+
+@query
+def overshoot_bins(spark, sf):
+    out = overshoot.detect_overshooting(tables.coverage(spark, sf), tables.cell_gis(spark, sf), OVER)
+    return rounded(out.bins.select(
+        "ix", "iy", "cell_name", "competing_cells", "grid_total_traffic", "cell_traffic_pct", "relative_reach", "p90_rsrp_in_grid"
+    ))
+
+
+def _over_output(cells):
+    return rounded(cells.select(
+        "cell_name", "max_distance_m", "total_grids", "cell_max_rsrp", "edge_grids", "avg_edge_rsrp", "overshooting_grids",
+        "percentage_overshooting", "tilt_mech", "tilt_elc", "antenna_height_m", "grids_resolved_1deg", "grids_resolved_2deg",
+        "new_max_distance_1deg_m", "new_max_distance_2deg_m", "resolution_1deg_pct", "resolution_2deg_pct",
+        F.col("recommended_tilt_change").cast("long").alias("recommended_tilt_change"), "removed_interference_grids",
+        "new_interference_grids", "new_interference_pct", "interference_reduction_pct", "severity_score", "severity_category",
+    ), 3, nudge=1e-9)
+
+
+@query
+def overshoot_cells(spark, sf):
+    return _over_output(overshoot.detect_overshooting(tables.coverage(spark, sf), tables.cell_gis(spark, sf), OVER).cells)
+
+
+def _over_env(spark, sf):
+    gis = tables.cell_gis(spark, sf)
+    env = environment.classify_environment(gis, ENV_RULES)
+    return overshoot.detect_overshooting(tables.coverage(spark, sf), gis, P.Overshoot(), env, OVER_ENV)
+
+
+@query
+def overshoot_env_cells(spark, sf):
+    out = _over_env(spark, sf).cells
+    extra = out.select("cell_name", "environment")
+    return _over_output(out).join(extra, "cell_name")
+
+
+@query
+def overshoot_env_bins(spark, sf):
+    out = _over_env(spark, sf).bins
+    return rounded(out.select("ix", "iy", "cell_name", "environment", "competing_cells", "cell_traffic_pct", "relative_reach"))
+
+
+@query
+def undershoot_candidates(spark, sf):
+    rows = undershoot.sanitise(tables.coverage(spark, sf), tables.cell_gis(spark, sf))
+    stats = undershoot.cell_statistics(rows)
+    candidates = stats.where(F.col("max_distance_m") <= UNDER.max_cell_distance)
+    bins = undershoot.interfering_rows(rows, candidates, UNDER)
+    return rounded(undershoot.with_interference(candidates, bins), 6)
+
+
+@query
+def undershoot_bins(spark, sf):
+    out = undershoot.detect_undershooting(tables.coverage(spark, sf), tables.cell_gis(spark, sf), UNDER).bins
+    return out.select("ix", "iy", "cell_name", "competing_rows")
+
+
+@query
+def undershoot_uptilt(spark, sf):
+    out = undershoot.detect_undershooting(tables.coverage(spark, sf), tables.cell_gis(spark, sf), UNDER).cells
+    return rounded(out.withColumn("recommended_uptilt_deg", F.col("recommended_uptilt_deg").cast("long")))
+
+
+def _under_env(spark, sf):
+    gis = tables.cell_gis(spark, sf)
+    env = environment.classify_environment(gis, ENV_RULES)
+    return undershoot.detect_undershooting(tables.coverage(spark, sf), gis, P.Undershoot(), env, UNDER_ENV), env
+
+
+@query
+def undershoot_env(spark, sf):
+    out = _under_env(spark, sf)[0].cells
+    return rounded(out.withColumn("recommended_uptilt_deg", F.col("recommended_uptilt_deg").cast("long")))
+
+
+@query
+def undershoot_compare(spark, sf):
+    by_class, env = _under_env(spark, sf)
+    plain = undershoot.detect_undershooting(tables.coverage(spark, sf), tables.cell_gis(spark, sf), UNDER)
+    return rounded(undershoot.compare_modes(plain.cells, by_class.cells, env))
