@@ -432,3 +432,91 @@ ORACLE["undershoot_compare"] = sql(f"""SELECT *, environment_aware-standard AS d
   round(standard/cells::DOUBLE*100,4) AS standard_rate_pct, round(environment_aware/cells::DOUBLE*100,4) AS environment_rate_pct FROM (
   SELECT coalesce(environment,'Total') AS environment, count(*) AS cells, count(s.cell_name) AS standard, count(e.cell_name) AS environment_aware
   FROM env LEFT JOIN (SELECT cell_name FROM {_u}) s USING (cell_name) LEFT JOIN (SELECT cell_name FROM {_e}) e USING (cell_name) GROUP BY GROUPING SETS ((environment),()))""", "env", _u, _e)
+
+# --- identity planning and feeders ---
+
+cte("reld", "SELECT * REPLACE (CASE WHEN weight<=4 AND pci+to_pci<40 THEN 0.0 ELSE weight END AS weight) FROM rel WHERE cell_name<>to_cell_name", "rel")
+
+
+def network(tag: str, source: str) -> None:
+    cte(f"e0{tag}", f"""SELECT a.cell_name AS s, a.to_cell_name AS n, a.weight AS out_ho, coalesce(b.weight,0.0) AS in_ho, a.weight+coalesce(b.weight,0.0) AS act,
+  a.distance, a.intra_site='y' AS intra, a.neighbor_relation AS rl FROM reld a LEFT JOIN reld b ON a.cell_name=b.to_cell_name AND a.to_cell_name=b.cell_name {source}""", "reld", *(["dead"] if tag else []))
+    cte(f"edges{tag}", f"""SELECT *, CASE WHEN tot>0 THEN act/tot ELSE 0 END AS share FROM (SELECT *, sum(act) OVER (PARTITION BY s) AS tot,
+  CAST(sum(CASE WHEN act>0 THEN 1 ELSE 0 END) OVER (PARTITION BY s) AS BIGINT) AS nact FROM e0{tag})""", f"e0{tag}")
+
+
+network("", "")
+ORACLE["pci_edges"] = sql("SELECT s AS serving, n AS neighbour, out_ho, in_ho, act AS act_ho, round(share,6) AS share, nact AS active_neighbours FROM edges", "edges")
+cte("w1", "SELECT least(s,n) AS a, greatest(s,n) AS b, max(ln(1+act)) AS w FROM edges WHERE distance<=30000 GROUP BY 1,2", "edges")
+cte("stepx", "SELECT s AS x, n AS y, w FROM edges JOIN w1 ON a=least(s,n) AND b=greatest(s,n) WHERE distance<=30000 AND w>0", "edges", "w1")
+cte("nodes", "SELECT cell_name AS c, pci, band, substr(cell_name,1,length(cell_name)-2) AS st FROM gis", "gis")
+cte("flag", "SELECT DISTINCT least(s,n) AS a, greatest(s,n) AS b FROM edges WHERE intra", "edges")
+cte("w2", """SELECT least(p.x,q.y) AS a, greatest(p.x,q.y) AS b, sum(0.25*least(p.w,q.w)) AS w FROM stepx p JOIN stepx q ON p.y=q.x JOIN nodes m ON m.c=p.x JOIN nodes o ON o.c=q.y
+  LEFT JOIN flag f ON f.a=least(p.x,q.y) AND f.b=greatest(p.x,q.y)
+  WHERE p.x<>q.y AND m.band=o.band AND (m.pci=o.pci OR (m.pci%3=o.pci%3 AND (m.st=o.st OR f.a IS NOT NULL))) GROUP BY 1,2""", "stepx", "nodes", "flag")
+cte("pw", "SELECT a, b, sum(w) AS w FROM (SELECT * FROM w1 UNION ALL SELECT * FROM w2) GROUP BY 1,2", "w1", "w2")
+ORACLE["pci_pairs"] = sql("SELECT a, b, round(w,4) AS pair_weight FROM pw", "pw")
+cte("conf", """SELECT s AS serving, o.band, o.pci AS confusion_pci, count(*) AS group_size, sum(act)-max(act) AS severity_act_sum_excl_max, min(act) AS min_act, max(act) AS max_act,
+  string_agg(n, ',' ORDER BY n) AS neighbors FROM edges JOIN nodes o ON o.c=n GROUP BY s, o.band, o.pci HAVING count(*)>=2""", "edges", "nodes")
+cte("confs", f"""SELECT *, least(greatest(least(greatest(severity_act_sum_excl_max/greatest((SELECT quantile_cont(severity_act_sum_excl_max,0.95) FROM conf),1e-9),0),1)+least(greatest((group_size-2)*0.1,0),0.3),0),1) AS sc FROM conf""", "conf")
+ORACLE["pci_confusions"] = sql(f"SELECT * EXCLUDE (sc), round(sc,4) AS severity_score, {sev('sc')} AS severity_category FROM confs", "confs")
+cte("coll0", """SELECT pw.a AS cell_a, pw.b AS cell_b, m.pci AS pci_a, o.pci AS pci_b, m.band, CASE WHEN m.pci=o.pci THEN 'exact' ELSE 'mod3' END AS conflict_type,
+  CASE WHEN d.a IS NOT NULL THEN '1-hop' ELSE '2-hop' END AS hop_type, pw.w AS pair_weight,
+  pw.w*CASE WHEN m.pci=o.pci THEN 1.0 ELSE 0.5 END*CASE WHEN d.a IS NOT NULL THEN 1.0 ELSE 0.25 END AS severity, m.st AS site_a, o.st AS site_b, (m.st=o.st OR f.a IS NOT NULL) AS intra_site
+  FROM pw JOIN nodes m ON m.c=pw.a JOIN nodes o ON o.c=pw.b LEFT JOIN (SELECT DISTINCT least(s,n) AS a, greatest(s,n) AS b FROM edges) d ON d.a=pw.a AND d.b=pw.b
+  LEFT JOIN flag f ON f.a=pw.a AND f.b=pw.b WHERE m.band=o.band AND (m.pci=o.pci OR (m.pci%3=o.pci%3 AND (m.st=o.st OR f.a IS NOT NULL)))""", "pw", "nodes", "edges", "flag")
+cte("coll", """SELECT *, least(greatest(CASE conflict_type WHEN 'exact' THEN 0.35 ELSE 0.05 END+CASE WHEN hop_type='1-hop' THEN 0.15 WHEN conflict_type='exact' THEN 0.10 ELSE 0 END
+  +CASE WHEN intra_site THEN CASE conflict_type WHEN 'exact' THEN -0.10 ELSE 0.25 END ELSE 0 END
+  +0.35*least(greatest(severity/greatest((SELECT quantile_cont(severity,0.95) FROM coll0),1e-9),0),1),0),1) AS sc FROM coll0""", "coll0")
+ORACLE["pci_collisions"] = sql(f"SELECT * EXCLUDE (sc) REPLACE (round(pair_weight,4) AS pair_weight, round(severity,4) AS severity), round(sc,4) AS severity_score, {sev('sc')} AS severity_category FROM coll", "coll")
+cte("judged", """SELECT *, row_number() OVER (PARTITION BY s, band, pci ORDER BY act, n) AS rn, coalesce(sum(CASE WHEN reason='AUTO_DEAD_RELATION' THEN 1 ELSE 0 END) OVER (PARTITION BY s, band, pci ORDER BY act, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS gone FROM (
+  SELECT *, CASE WHEN intra THEN 'REJECT_INTRA_SITE' WHEN rl<>'Y' THEN NULL WHEN rem<2 THEN 'REJECT_MIN_NEIGHBORS' WHEN out_ho=0 AND in_ho=0 THEN 'AUTO_DEAD_RELATION'
+   WHEN act<=8 AND share<=0.05 AND greatest(out_ho,in_ho)<=6 THEN 'SUGGEST_LOW_ACTIVITY_REVIEW' ELSE 'REJECT_ACTIVE_RELATION' END AS reason FROM (
+  SELECT e.*, o.band, o.pci, count(*) OVER (PARTITION BY s, o.band, o.pci) AS gs, nact-CASE WHEN act>0 THEN 1 ELSE 0 END AS rem FROM edges e JOIN nodes o ON o.c=n) WHERE gs>=2)""", "edges", "nodes")
+cte("dec", "SELECT * FROM judged WHERE reason IS NOT NULL AND gone<gs-1", "judged")
+ORACLE["pci_blacklist"] = sql("SELECT s AS serving, n AS neighbor, reason, out_ho, in_ho, act AS act_ho, round(share,6) AS share, pci AS confusion_pci, gs AS confusion_group_size_before, rem AS remaining_active_neighbors_after FROM dec", "dec")
+cte("dead", "SELECT DISTINCT s AS ds, n AS dn FROM dec WHERE reason='AUTO_DEAD_RELATION'", "dec")
+network("b", "WHERE NOT EXISTS (SELECT 1 FROM dead WHERE ds=a.cell_name AND dn=a.to_cell_name)")
+ORACLE["pci_blacklist_applied"] = sql("SELECT s AS serving, n AS neighbour, act AS act_ho, round(share,6) AS share, nact AS active_neighbours FROM edgesb", "edgesb")
+ORACLE["pci_summary"] = sql(f"""SELECT 'confusion' AS kind, {sev('sc')} AS detail, count(*) AS count FROM confs GROUP BY 2 UNION ALL
+  SELECT 'collision_'||conflict_type, hop_type, count(*) FROM coll GROUP BY 1,2 UNION ALL SELECT 'blacklist', reason, count(*) FROM dec GROUP BY 2""", "confs", "coll", "dec")
+cte("fg", f"""SELECT *, angle_diff<=60 AS in_beam FROM (SELECT *, {adiff('bearing','ang')} AS angle_diff FROM (
+  SELECT r.cell_name, r.to_cell_name, r.weight, r.distance, x.site, x.band, x.bearing, {bearing('x.latitude','x.longitude','y.latitude','y.longitude')} AS ang
+  FROM rel r JOIN gis x ON r.cell_name=x.cell_name JOIN gis y ON r.to_cell_name=y.cell_name
+  WHERE intra_site='n' AND distance>=500 AND distance<=CASE WHEN r.band='L800' THEN 30000 ELSE 25000 END))""", "rel", "gis")
+ORACLE["feeder_geometry"] = sql("SELECT cell_name, to_cell_name, weight, distance, round(ang,4) AS angle_to_neighbor, round(angle_diff,4) AS angle_diff, in_beam FROM fg", "fg")
+cte("fm", f"""SELECT *, o/t AS ratio, CASE WHEN o>0 THEN {wrap('degrees(atan2(sn,cs))')} END AS dir FROM (
+  SELECT cell_name, site, band, bearing, sum(weight) AS t, sum(CASE WHEN in_beam THEN weight ELSE 0 END) AS i, sum(CASE WHEN in_beam THEN 0 ELSE weight END) AS o, count(*) AS nr,
+  count(CASE WHEN NOT in_beam THEN 1 END) AS no, sum(CASE WHEN in_beam THEN 0 ELSE weight*sin(radians(ang)) END) AS sn, sum(CASE WHEN in_beam THEN 0 ELSE weight*cos(radians(ang)) END) AS cs
+  FROM fg GROUP BY ALL)""", "fg")
+cte("fp", f"""SELECT * FROM (SELECT a.site, a.band, a.cell_name AS cell_a, b.cell_name AS cell_b, a.bearing AS cell_a_azimuth, b.bearing AS cell_b_azimuth, a.dir AS cell_a_traffic_dir, b.dir AS cell_b_traffic_dir,
+  {adiff('a.dir','b.bearing')} AS a_to_b_angle_diff, {adiff('b.dir','a.bearing')} AS b_to_a_angle_diff FROM fm a JOIN fm b ON a.site=b.site AND a.band=b.band AND a.cell_name<b.cell_name
+  WHERE a.ratio>=0.3 AND a.nr>=3 AND a.no>=2 AND b.ratio>=0.3 AND b.nr>=3 AND b.no>=2) WHERE a_to_b_angle_diff<=60 AND b_to_a_angle_diff<=60""", "fm")
+ORACLE["feeder_swaps"] = sql("SELECT site, band, cell_a, cell_b, cell_a_azimuth, cell_b_azimuth, " + ", ".join(f"round({c},3) AS {c}" for c in ("cell_a_traffic_dir", "cell_b_traffic_dir", "a_to_b_angle_diff", "b_to_a_angle_diff")) + " FROM fp", "fp")
+cte("fc", """SELECT *, round(least(CASE lv WHEN 'HIGH_POTENTIAL_SWAP' THEN 0.9 WHEN 'POSSIBLE_SWAP' THEN 0.7 WHEN 'SINGLE_ANOMALY' THEN 0.5 WHEN 'REPAN' THEN 0.3 ELSE 0.0 END+least(ratio*0.1,0.1),1),4) AS sc FROM (
+  SELECT *, CASE WHEN nb=1 AND odd THEN 'REPAN' WHEN nb=1 THEN 'NONE' WHEN swap_partner IS NOT NULL THEN 'HIGH_POTENTIAL_SWAP' WHEN odd AND nodd>=2 THEN 'POSSIBLE_SWAP' WHEN odd THEN 'SINGLE_ANOMALY' ELSE 'NONE' END AS lv FROM (
+  SELECT *, CAST(sum(CASE WHEN odd THEN 1 ELSE 0 END) OVER (PARTITION BY site, band) AS BIGINT) AS nodd FROM (
+  SELECT m.*, (ratio>=0.5 AND o>=5 AND nr>=5 AND no>=3) AS odd, nb, p.partner AS swap_partner FROM fm m JOIN (SELECT site, band, count(*) AS nb FROM gis GROUP BY 1,2) USING (site, band)
+  LEFT JOIN (SELECT c, arg_max(p, (ca, cb, p)) AS partner FROM (SELECT cell_a AS c, cell_b AS p, cell_a AS ca, cell_b AS cb FROM fp UNION ALL SELECT cell_b, cell_a, cell_a, cell_b FROM fp) GROUP BY c) p ON p.c=m.cell_name)))""", "fm", "fp", "gis")
+ORACLE["feeder_cells"] = sql(f"""SELECT cell_name, site, band, t AS total_weight, i AS in_beam_weight, o AS out_of_beam_weight, round(ratio,3) AS out_of_beam_ratio, nr AS total_relations, no AS out_of_beam_relations,
+  round(dir,3) AS dominant_traffic_direction, lv AS confidence_level, swap_partner, round(sc,3) AS severity_score, {sev('sc')} AS severity_category FROM fc""", "fc")
+cte("fs", """SELECT site, band, count(*) AS total_cells, count(CASE WHEN lv='HIGH_POTENTIAL_SWAP' THEN 1 END) AS high_confidence, count(CASE WHEN lv IN ('POSSIBLE_SWAP','SINGLE_ANOMALY') THEN 1 END) AS medium_confidence,
+  count(CASE WHEN lv='REPAN' THEN 1 END) AS low_confidence, round(max(sc),3) AS severity_score FROM fc GROUP BY 1,2""", "fc")
+ORACLE["feeder_sites"] = sql("""SELECT *, CASE WHEN high_confidence>0 THEN 'HIGH' WHEN medium_confidence>0 THEN 'MEDIUM' WHEN low_confidence>0 THEN 'LOW' ELSE 'MINIMAL' END AS severity_category,
+  CASE WHEN high_confidence>0 THEN 'CROSSED FEEDER: '||high_confidence||' swap pair(s) detected' WHEN medium_confidence>0 THEN 'POSSIBLE ISSUE: '||medium_confidence||' cells with out-of-beam anomalies'
+  WHEN low_confidence>0 THEN 'AZIMUTH REVIEW: '||low_confidence||' cell(s) may need azimuth adjustment' ELSE 'No issues detected' END AS classification FROM fs""", "fs")
+cte("fsc0", f"""SELECT cell_site, cell_name, cell_band, sum(v) AS score, count(CASE WHEN v>0 THEN 1 END) AS scored_impacts FROM (SELECT i.cell_name, x.site AS cell_site, x.band AS cell_band,
+  CASE WHEN dist<1000 OR coalesce(m,0)<1000 OR {adiff('f','xb')}<=60 THEN 0.0 ELSE pct*least(dist/m,1.0)*{adiff('f','xb')}/180 END AS v
+  FROM (SELECT *, {hav('a','b','c','d')} AS dist, {bearing('a','b','c','d')} AS f, max(CASE WHEN pct>=2 AND {hav('a','b','c','d')}<=30000 THEN {hav('a','b','c','d')} END) OVER (PARTITION BY cell_name) AS m FROM imp) i
+  JOIN gis x USING (cell_name)) GROUP BY 1,2,3""", "imp", "gis")
+ORACLE["feeder_scored"] = sql("""SELECT cell_site, cell_name, cell_band, round(score,3) AS score, scored_impacts, cell_site||'_'||cell_band AS site_band, occ AS cell_occurrences, round(sum(score) OVER (PARTITION BY cell_site),3) AS site_score,
+  CASE WHEN occ>=3 THEN 'High potential: All feeders swapped' WHEN occ=2 THEN 'High potential: 2 feeders swapped' ELSE 'Low potential: 1 feeder with high swapped score' END AS classification
+  FROM (SELECT *, count(*) OVER (PARTITION BY cell_site, cell_band) AS occ FROM fsc0 WHERE score>=(SELECT quantile_cont(score,0.95) FROM fsc0))""", "fsc0")
+cte("fos", """SELECT i.cell_name, i.to_cell_name, x.site AS cell_site, x.band AS cell_band, y.band AS impact_band, pct, round(x.bearing)=round(y.bearing) AS same FROM imp i JOIN gis x USING (cell_name)
+  JOIN gis y ON y.cell_name=i.to_cell_name WHERE x.site=y.site AND x.band<>y.band""", "imp", "gis")
+ORACLE["feeder_cosector"] = sql("""SELECT * REPLACE (round(diff,3) AS diff, round(combined_diff,3) AS combined_diff) FROM (
+  SELECT *, count(*) OVER g AS cell_count, sum(diff) OVER g AS combined_diff FROM (
+  SELECT cell_name, impact_band, cell_site, cell_band, co.to_cell_name AS co_sectored_impact_cell, co.pct AS co_pct, n.to_cell_name AS non_co_sectored_impact_cell, n.pct AS non_co_pct,
+   100*(co.pct-n.pct)/(co.pct+n.pct) AS diff FROM (SELECT * FROM fos WHERE same) co JOIN (SELECT cell_name, impact_band, to_cell_name, pct FROM fos WHERE NOT same) n USING (cell_name, impact_band))
+  WHERE (co_pct>0.5 OR non_co_pct>0.5) AND diff<-1 WINDOW g AS (PARTITION BY cell_site, cell_band, impact_band)) WHERE cell_count>1""", "fos")
+ORACLE["feeder_bins"] = sql("SELECT cell_name, round(sum(perc_cell_events),5) AS behind_share FROM tot JOIN cov USING (ix,iy,cell_name) WHERE grid_bearing_diff>=90 GROUP BY 1", "tot", "cov")

@@ -426,3 +426,126 @@ def undershoot_compare(spark, sf):
     by_class, env = _under_env(spark, sf)
     plain = undershoot.detect_undershooting(tables.coverage(spark, sf), tables.cell_gis(spark, sf), UNDER)
     return rounded(undershoot.compare_modes(plain.cells, by_class.cells, env))
+
+
+# --- identity planning and feeders -----------------------------------------------------
+
+from cellscape.operators import feeders, pci  # noqa: E402
+
+PLAN = P.PciPlan(max_low_activity=8.0, max_low_share=0.05, max_single_activity=6.0)
+
+
+def _relations_with_dead(spark, sf):
+    """Some relations carry no handovers, so that dead ones exist."""
+    rel = tables.relations(spark, sf)
+    idle = (F.col("weight") <= 4) & (F.length("cell_name") > 0) & (F.col("pci") + F.col("to_pci") < 40)
+    return rel.withColumn("weight", F.when(idle, 0.0).otherwise(F.col("weight")))
+
+
+def _network(spark, sf):
+    return pci.build_network(_relations_with_dead(spark, sf), PLAN)
+
+
+@query
+def pci_edges(spark, sf):
+    out = _network(spark, sf).edges.select("serving", "neighbour", "out_ho", "in_ho", "act_ho", "share", "active_neighbours")
+    return rounded(out, 6)
+
+
+@query
+def pci_pairs(spark, sf):
+    return rounded(pci.pair_weights(_network(spark, sf), PLAN), 4)
+
+
+@query
+def pci_confusions(spark, sf):
+    return rounded(pci.detect_confusions(_network(spark, sf)).drop("chunk"), 4)
+
+
+@query
+def pci_collisions(spark, sf):
+    return rounded(pci.detect_collisions(_network(spark, sf), PLAN), 4)
+
+
+@query
+def pci_blacklist(spark, sf):
+    return rounded(pci.suggest_blacklist(_network(spark, sf), PLAN), 6)
+
+
+@query
+def pci_blacklist_applied(spark, sf):
+    rel = _relations_with_dead(spark, sf)
+    decisions = pci.suggest_blacklist(pci.build_network(rel, PLAN), PLAN)
+    net = pci.apply_blacklist(rel, decisions, PLAN)
+    return rounded(net.edges.select("serving", "neighbour", "act_ho", "share", "active_neighbours"), 6)
+
+
+@query
+def cosector_groups(spark, sf):
+    rel = tables.relations(spark, sf).withColumn(
+        "intra_cell", F.when((F.col("intra_site") == "y") & (F.col("band") == F.col("to_band")), "y").otherwise("n")
+    )
+    return pci.co_sector_groups(rel)
+
+
+@query
+def pci_summary(spark, sf):
+    net = _network(spark, sf)
+    found = pci.planning_summary(pci.detect_confusions(net), pci.detect_collisions(net, PLAN), pci.suggest_blacklist(net, PLAN))
+    return found
+
+
+FEED = P.Feeders(swap_ratio=0.3, anomaly_ratio=0.5, anomaly_weight=5.0, swap_angle=60.0)
+
+
+@query
+def feeder_geometry(spark, sf):
+    out = feeders.relation_geometry(tables.relations(spark, sf), tables.cell_gis(spark, sf), FEED)
+    return rounded(out.select("cell_name", "to_cell_name", "weight", "distance", "angle_to_neighbor", "angle_diff", "in_beam"), 4)
+
+
+@query
+def feeder_cells(spark, sf):
+    out = feeders.detect_crossed_feeders(tables.relations(spark, sf), tables.cell_gis(spark, sf), FEED).cells
+    return rounded(out.select(
+        "cell_name", "site", "band", "total_weight", "in_beam_weight", "out_of_beam_weight", "out_of_beam_ratio", "total_relations",
+        "out_of_beam_relations", "dominant_traffic_direction", "confidence_level", "swap_partner", "severity_score", "severity_category",
+    ), 3)
+
+
+@query
+def feeder_relation_texts(spark, sf):
+    out = feeders.detect_crossed_feeders(tables.relations(spark, sf), tables.cell_gis(spark, sf), FEED).cells
+    return out.select("cell_name", "top_suspicious_relations")
+
+
+@query
+def feeder_swaps(spark, sf):
+    return rounded(feeders.detect_crossed_feeders(tables.relations(spark, sf), tables.cell_gis(spark, sf), FEED).pairs, 3)
+
+
+@query
+def feeder_sites(spark, sf):
+    return rounded(feeders.detect_crossed_feeders(tables.relations(spark, sf), tables.cell_gis(spark, sf), FEED).sites, 3)
+
+
+def _impact_geometry(spark, sf):
+    hbw = tables.cell_gis(spark, sf).select("cell_name", F.col("hbw").alias("cell_hbw"))
+    return impacts.neighbour_distances(_impacts(spark, sf)).join(hbw, "cell_name")
+
+
+@query
+def feeder_scored(spark, sf):
+    return rounded(feeders.scored_feeders(_impact_geometry(spark, sf)), 3)
+
+
+@query
+def feeder_cosector(spark, sf):
+    out = feeders.co_sector_feeders(_impacts(spark, sf), min_share=0.5, max_diff=-1.0)
+    return rounded(out, 3)
+
+
+@query
+def feeder_bins(spark, sf):
+    kept = ["ix", "iy", "cell_name", "event_count", "avg_rsrp", "avg_rsrq", "avg_sinr", "grid_bearing_diff"]
+    return rounded(feeders.feeders_from_bins(enrich.bin_and_cell_totals(tables.coverage(spark, sf).select(*kept))), 5)
