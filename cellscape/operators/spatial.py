@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructType
 from cellscape.functions import lattice, rings
 from cellscape.functions.geo import EARTH_RADIUS_M, haversine_m
 from cellscape.operators.components import connected_components
+from cellscape.session import cut_lineage
 
 DEGREE_M = EARTH_RADIUS_M * math.pi / 180
 MAX_LAT = 89.0
@@ -136,25 +137,26 @@ def dbscan(points: DataFrame, eps_m: float, min_points: int, keys: list[str] | N
         "sh": F.lit(h / 8),
         "sw": w / 8,
     })
+    placed = cut_lineage(placed)
     cell = [*keys, "cy", "cx"]
     filled = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
     sized = placed.join(filled, cell)
     lonely = sized.where(F.col("_n") < min_points)
     as_left = lonely.select(*keys, F.col("pid").alias("lpid"), F.col("lat").alias("llat"), F.col("lon").alias("llon"))
     as_right = placed.select(*keys, F.col("pid").alias("rpid"), F.col("lat").alias("rlat"), F.col("lon").alias("rlon"))
-    near = radius_join(as_left, as_right, eps_m, keys)
+    near = cut_lineage(radius_join(as_left, as_right, eps_m, keys).select(*keys, "lpid", "rpid"))
     counted = near.groupBy(*keys, F.col("lpid").alias("pid")).agg(F.count(F.lit(1)).alias("_near"))
     marked = sized.join(counted, [*keys, "pid"], "left").withColumn(
         "core", (F.col("_n") >= min_points) | (F.coalesce("_near", F.lit(0)) >= min_points)
     )
-    cores = marked.where("core")
-    names = cores.groupBy(*cell).agg(F.min("pid").alias("first"))
+    cores = cut_lineage(marked.where("core"))
+    names = cut_lineage(cores.groupBy(*cell).agg(F.min("pid").alias("first")))
     links = _linked_cells(cores, names, keys, eps_m)
     merged = connected_components(links, keys).withColumnRenamed("node", "first")
     labelled = names.join(merged, [*keys, "first"], "left").select(
         *cell, F.coalesce("component", "first").alias("cluster")
     )
-    core_labels = cores.join(labelled, cell).select(*keys, "pid", "cluster")
+    core_labels = cut_lineage(cores.join(labelled, cell).select(*keys, "pid", "cluster"))
     reach = near.join(core_labels.withColumnRenamed("pid", "rpid"), [*keys, "rpid"])
     border = reach.groupBy(*keys, F.col("lpid").alias("pid")).agg(F.min("cluster").alias("_border"))
     out = points.join(core_labels, [*keys, "pid"], "left").join(border, [*keys, "pid"], "left")
@@ -182,9 +184,8 @@ def _linked_cells(cores: DataFrame, names: DataFrame, keys: list[str], eps_m: fl
         F.col("llon").alias("rlon"),
         F.col("rho").alias("rrho"),
     )
-    pairs = radius_join(sub.withColumnRenamed("first", "src"), other, eps_m * 1.3, keys).where(
-        F.col("src") < F.col("dst")
-    )
+    pairs = radius_join(sub.withColumnRenamed("first", "src"), other, eps_m * 1.3, keys)
+    pairs = cut_lineage(pairs.where(F.col("src") < F.col("dst")))
     slack = F.col("rho") + F.col("rrho")
     certain = pairs.where(F.col("distance_m") + slack <= eps_m).select(*keys, "src", "dst").distinct()
     unsure = pairs.where((F.col("distance_m") + slack > eps_m) & (F.col("distance_m") - slack <= eps_m))

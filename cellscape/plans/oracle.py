@@ -520,3 +520,34 @@ ORACLE["feeder_cosector"] = sql("""SELECT * REPLACE (round(diff,3) AS diff, roun
    100*(co.pct-n.pct)/(co.pct+n.pct) AS diff FROM (SELECT * FROM fos WHERE same) co JOIN (SELECT cell_name, impact_band, to_cell_name, pct FROM fos WHERE NOT same) n USING (cell_name, impact_band))
   WHERE (co_pct>0.5 OR non_co_pct>0.5) AND diff<-1 WINDOW g AS (PARTITION BY cell_site, cell_band, impact_band)) WHERE cell_count>1""", "fos")
 ORACLE["feeder_bins"] = sql("SELECT cell_name, round(sum(perc_cell_events),5) AS behind_share FROM tot JOIN cov USING (ix,iy,cell_name) WHERE grid_bearing_diff>=90 GROUP BY 1", "tot", "cov")
+
+# --- interference, low coverage ---
+
+cte("ic0", "SELECT *, event_count/sum(event_count) OVER (PARTITION BY ix, iy)::DOUBLE AS share0 FROM cov", "cov")
+cte("ic1", "SELECT *, share0/sum(share0) OVER (PARTITION BY band, ix, iy) AS share FROM ic0", "ic0")
+cte("ic2", """SELECT * FROM (SELECT *, max(avg_rsrp) OVER (PARTITION BY band, ix, iy) AS mx FROM ic1 WHERE event_count>=2 AND round(share,9)>=0.05)
+  WHERE round(mx-avg_rsrp,6)<=CASE WHEN band='L800' THEN 6 ELSE 5 END""", "ic1")
+cte("ic3", "SELECT *, CASE WHEN round(mx-avg_rsrp,6)<=5 THEN 1 ELSE 2 END AS g FROM ic2", "ic2")
+ORACLE["interference_groups"] = sql("SELECT band, ix, iy, cell_name, round(share,6) AS perc_grid_events, round(mx-avg_rsrp,6) AS rsrp_dist_max, CAST(g AS BIGINT) AS grid_cluster_no FROM ic3", "ic3")
+cte("idom", """SELECT DISTINCT band, ix, iy FROM (SELECT band, ix, iy, max(mx) AS mx FROM ic2 GROUP BY 1,2,3) JOIN
+  (SELECT band, ix, iy, max(CASE WHEN r=2 THEN avg_rsrp END) AS sec, max(share0) AS ms FROM (SELECT *, row_number() OVER (PARTITION BY band, ix, iy ORDER BY avg_rsrp DESC) AS r FROM ic0) GROUP BY 1,2,3) USING (band, ix, iy)
+  WHERE round(mx-sec,6)>=CASE WHEN band='L800' THEN 6 ELSE 5 END AND ms>=0.12""", "ic2", "ic0")
+ORACLE["interference_dominant"] = sql("SELECT * FROM idom", "idom")
+cte("ib", """SELECT * FROM (SELECT i.*, count(*) OVER (PARTITION BY band, ix, iy, g) AS cnt FROM ic3 i ANTI JOIN idom USING (band, ix, iy)) WHERE cnt>=3""", "ic3", "idom")
+ORACLE["interference_bins"] = sql("SELECT band, ix, iy, cell_name, avg_rsrp, cnt AS count FROM ib", "ib")
+cte("ik", """SELECT a.band, a.ix, a.iy, count(*)-1 AS n FROM (SELECT DISTINCT band, ix, iy FROM ib) a JOIN (SELECT DISTINCT band, ix, iy FROM ib) b
+  ON a.band=b.band AND b.ix BETWEEN a.ix-3 AND a.ix+3 AND b.iy BETWEEN a.iy-3 AND a.iy+3 GROUP BY 1,2,3 HAVING count(*)-1>49*0.2""", "ib")
+ORACLE["interference_kring"] = sql("SELECT band, ix, iy, n AS interferers_within_3_steps FROM ik", "ik")
+ORACLE["interference_cells"] = sql("""SELECT cell_name, count(*) AS n_bins, max(distance_to_cell) AS max_distance_m, round(avg(share),3) AS mean_share, round(sum(w),3) AS total_weight,
+  round(quantile_cont(distance_to_cell,0.5),3) AS median_distance_m FROM (SELECT *, CASE WHEN hi>lo THEN least(greatest((avg_rsrp-lo)/(hi-lo),0),1) ELSE 0.5 END AS w FROM ib JOIN ik USING (band, ix, iy)
+  JOIN (SELECT band, quantile_cont(avg_rsrp,0.02) AS lo, quantile_cont(avg_rsrp,0.98) AS hi FROM ib JOIN ik USING (band, ix, iy) GROUP BY 1) USING (band)) GROUP BY 1""", "ib", "ik")
+cte("lr", """SELECT band, ix, iy, cell_name, avg_rsrp-20 AS r, environment, event_count FROM cov JOIN env USING (cell_name) WHERE avg_rsrp-20 BETWEEN -140 AND -30
+  AND event_count>=CASE environment WHEN 'URBAN' THEN 10 WHEN 'SUBURBAN' THEN 5 ELSE 2 END""", "cov", "env")
+cte("lb", """SELECT * FROM (SELECT band, ix, iy, max(r) AS best, CAST(min(CASE band WHEN 'L800' THEN CASE environment WHEN 'URBAN' THEN -110 WHEN 'SUBURBAN' THEN -115 ELSE -120 END
+  ELSE CASE environment WHEN 'URBAN' THEN -115 WHEN 'SUBURBAN' THEN -120 ELSE -125 END END) AS DOUBLE) AS thr FROM lr GROUP BY 1,2,3) WHERE best<=thr""", "lr")
+ORACLE["low_coverage_bins"] = sql("SELECT band, ix, iy, round(best,4) AS best_rsrp, thr AS rsrp_threshold FROM lb", "lb")
+cte("lm", "SELECT band, ix, iy, max(CASE WHEN r>-115 THEN 1 ELSE 0 END) AS good FROM lr GROUP BY 1,2,3", "lr")
+ORACLE["low_coverage_kring"] = sql("""SELECT band, ix, iy, best_rsrp, rsrp_threshold, CAST(m AS BIGINT) AS measured_neighbors, CAST(49-g AS BIGINT) AS problematic_neighbors, CAST(m-g AS BIGINT) AS low_rsrp_neighbors, CAST(49-m AS BIGINT) AS no_data_neighbors FROM (
+  SELECT a.band, a.ix, a.iy, round(max(best),4) AS best_rsrp, max(thr) AS rsrp_threshold, count(*) AS m, sum(good) AS g FROM lb a JOIN lm b ON a.band=b.band AND b.ix BETWEEN a.ix-3 AND a.ix+3 AND b.iy BETWEEN a.iy-3 AND a.iy+3 GROUP BY 1,2,3)
+  WHERE 49-g>=20 AND (m>=9 OR m-g>=2)""", "lb", "lm")
+ORACLE["server_counts"] = sql("SELECT band, n_servers, count(*) AS bins FROM (SELECT band, ix, iy, count(DISTINCT cell_name) AS n_servers FROM cov GROUP BY 1,2,3) GROUP BY 1,2", "cov")

@@ -549,3 +549,185 @@ def feeder_cosector(spark, sf):
 def feeder_bins(spark, sf):
     kept = ["ix", "iy", "cell_name", "event_count", "avg_rsrp", "avg_rsrq", "avg_sinr", "grid_bearing_diff"]
     return rounded(feeders.feeders_from_bins(enrich.bin_and_cell_totals(tables.coverage(spark, sf).select(*kept))), 5)
+
+
+# --- interference, gaps, low coverage, outlines ------------------------------------------
+
+from cellscape.operators import gaps, hulls, interference, lowcoverage, rootcause  # noqa: E402
+from cellscape.session import cut_lineage  # noqa: E402
+
+NOISY = P.Interference(min_cells=3, max_sinr_db=None, ring_share=0.2, dominant_share=0.12)
+HOLES = P.Gaps(min_missing_neighbours=24, min_cluster_bins=6, min_area_km2=0.1)
+WEAK = P.LowCoverage(min_problem_bins=20, min_cluster_bins=6, min_area_km2=0.1)
+
+
+def _shared_coverage(spark, sf):
+    cov = tables.coverage(spark, sf)
+    out = enrich.join_group(cov, ["ix", "iy"], _t=F.sum("event_count"))
+    return out.withColumn("perc_grid_events", F.col("event_count") / F.col("_t")).drop("_t")
+
+
+@query
+def interference_groups(spark, sf):
+    rows = interference.level_groups(interference.close_to_strongest(_shared_coverage(spark, sf), NOISY), NOISY)
+    return rounded(rows.select("band", "ix", "iy", "cell_name", "perc_grid_events", "rsrp_dist_max", F.col("grid_cluster_no").cast("long").alias("grid_cluster_no")), 6)
+
+
+@query
+def interference_dominant(spark, sf):
+    cov = _shared_coverage(spark, sf)
+    return interference.dominant_bins(cov, interference.close_to_strongest(cov, NOISY), NOISY)
+
+
+@query
+def interference_bins(spark, sf):
+    out = interference.interfering_bins(_shared_coverage(spark, sf), NOISY)
+    return rounded(out.select("band", "ix", "iy", "cell_name", "avg_rsrp", "count"))
+
+
+@query
+def interference_kring(spark, sf):
+    out = interference.dense_bins(interference.interfering_bins(_shared_coverage(spark, sf), NOISY), NOISY)
+    return out.select("band", "ix", "iy", "interferers_within_3_steps").distinct()
+
+
+@query
+def interference_cells(spark, sf):
+    rows = cut_lineage(interference.dense_bins(cut_lineage(interference.interfering_bins(_shared_coverage(spark, sf), NOISY)), NOISY))
+    return rounded(interference.cell_interference(interference.with_rsrp_weight(rows)), 3)
+
+
+@query
+def interference_clusters(spark, sf):
+    found = interference.detect_interference(_shared_coverage(spark, sf), NOISY)
+    lists = interference.cluster_cell_lists(found.members).where(F.col("chunk") == 0).select("cluster_id", F.array_join("cells", ",").alias("cells"))
+    return rounded(found.clusters.join(lists, "cluster_id").withColumn("outline", rings.to_wkt(F.col("ring"))).drop("ring"), 4)
+
+
+@query
+def interference_root_cause(spark, sf):
+    found = interference.detect_interference(_shared_coverage(spark, sf), NOISY)
+    out = rootcause.analyse_root_causes(found.clusters, found.members, tables.cell_gis(spark, sf)).clusters
+    return rounded(out.drop("ring").withColumn("causes", F.array_join("causes", ",")), 3)
+
+
+@query
+def interference_tilt_advice(spark, sf):
+    found = interference.detect_interference(_shared_coverage(spark, sf), NOISY)
+    return rounded(rootcause.analyse_root_causes(found.clusters, found.members, tables.cell_gis(spark, sf)).tilt_advice)
+
+
+@query
+def low_coverage_bins(spark, sf):
+    cov = tables.coverage(spark, sf).withColumn("avg_rsrp", F.col("avg_rsrp") - 20)
+    env = environment.classify_environment(tables.cell_gis(spark, sf), ENV_RULES)
+    return rounded(lowcoverage.low_rsrp_bins(lowcoverage.good_rows(cov, env), WEAK))
+
+
+@query
+def low_coverage_kring(spark, sf):
+    cov = tables.coverage(spark, sf).withColumn("avg_rsrp", F.col("avg_rsrp") - 20)
+    rows = lowcoverage.good_rows(cov, environment.classify_environment(tables.cell_gis(spark, sf), ENV_RULES))
+    return rounded(lowcoverage.dense_low_bins(lowcoverage.low_rsrp_bins(rows, WEAK), rows, WEAK))
+
+
+def _low(spark, sf):
+    cov = tables.coverage(spark, sf).withColumn("avg_rsrp", F.col("avg_rsrp") - 20)
+    env = environment.classify_environment(tables.cell_gis(spark, sf), ENV_RULES)
+    return lowcoverage.detect_low_coverage(cov, env, WEAK, min_outline_km2=0.1), cov, env
+
+
+@query
+def low_coverage_clusters(spark, sf):
+    return rounded(_low(spark, sf)[0].clusters.drop("ring"))
+
+
+@query
+def low_coverage_advice(spark, sf):
+    found, cov, env = _low(spark, sf)
+    return rounded(lowcoverage.recommend(found, tables.cell_gis(spark, sf), cov, env, low=WEAK))
+
+
+@query
+def server_counts(spark, sf):
+    return lowcoverage.server_count_distribution(tables.coverage(spark, sf))
+
+
+def _hulls(spark, sf):
+    built = hulls.build_hulls(tables.coverage(spark, sf), tables.cell_gis(spark, sf))
+    return hulls.enrich_hulls(built, tables.cell_gis(spark, sf))
+
+
+def _wedges(spark, sf):
+    """Short sector outlines, which leave room between sites."""
+    gis = tables.cell_gis(spark, sf)
+    ring = geo.sector_ring(F.col("latitude"), F.col("longitude"), F.col("bearing"), F.col("hbw"), 300.0)
+    return gis.select("cell_name", "band", "pci", "site", ring.alias("ring"))
+
+
+@query
+def hull_build(spark, sf):
+    out = _hulls(spark, sf).withColumn("outline", rings.to_wkt(F.col("ring")))
+    return rounded(out.drop("ring"), 4)
+
+
+@query
+def hull_dbscan(spark, sf):
+    return gaps.hull_clusters(_wedges(spark, sf), P.Gaps(eps_m=1500.0))
+
+
+@query
+def coverage_gaps(spark, sf):
+    return rounded(gaps.detect_coverage_gaps(_wedges(spark, sf), HOLES).gaps.drop("ring"))
+
+
+@query
+def coverage_gaps_by_band(spark, sf):
+    return rounded(gaps.detect_coverage_gaps(_wedges(spark, sf), HOLES, by_band=True).gaps.drop("ring"))
+
+
+@query
+def gap_statistics(spark, sf):
+    return gaps.gap_statistics(gaps.detect_coverage_gaps(_wedges(spark, sf), HOLES, by_band=True).gaps)
+
+
+@query
+def gap_cells(spark, sf):
+    found = gaps.detect_coverage_gaps(_wedges(spark, sf), HOLES)
+    near = gaps.nearest_cells(found.gaps, tables.coverage(spark, sf), tables.cell_gis(spark, sf))
+    return rounded(near.withColumn("nearby_cells", F.array_join("nearby_cells", ",")), 2)
+
+
+@query
+def single_server_bins(spark, sf):
+    return lowcoverage.single_server_bins(_wedges(spark, sf))
+
+
+@query
+def hull_conflicts(spark, sf):
+    return hulls.detect_pci_overlaps(_hulls(spark, sf))
+
+
+@query
+def ca_imbalance(spark, sf):
+    pattern = P.CarrierAggregation(cell_pattern=r"^(S\d+)[LH](\d)$", pairs=(("L800-L1800", "L800", "L1800"),), threshold=0.9)
+    return hulls.detect_ca_imbalance(_hulls(spark, sf), pattern)
+
+
+def _growth(spark, sf):
+    steps = F.array(*[F.struct(F.lit(n).alias("degree"), F.lit(300.0 * n).alias("dist_increase")) for n in (1, 2)])
+    return tables.cell_gis(spark, sf).select("cell_name", F.explode(steps).alias("s")).select("cell_name", "s.*")
+
+
+@query
+def uptilt_extension(spark, sf):
+    gis = tables.cell_gis(spark, sf)
+    grown = hulls.expansion_bins(_wedges(spark, sf), gis, _growth(spark, sf))
+    return rounded(hulls.expansion_interference(grown, tables.coverage(spark, sf)))
+
+
+@query
+def bearing_shift(spark, sf):
+    turned = hulls.shift_hulls(_wedges(spark, sf), tables.cell_gis(spark, sf), F.lit(90.0))
+    box = turned.withColumn("_b", rings.ring_bounds(F.col("ring")))
+    return rounded(box.select("cell_name", "_b.*"), 5)
