@@ -528,7 +528,7 @@ cte("ic1", "SELECT *, share0/sum(share0) OVER (PARTITION BY band, ix, iy) AS sha
 cte("ic2", """SELECT * FROM (SELECT *, max(avg_rsrp) OVER (PARTITION BY band, ix, iy) AS mx FROM ic1 WHERE event_count>=2 AND round(share,9)>=0.05)
   WHERE round(mx-avg_rsrp,6)<=CASE WHEN band='L800' THEN 6 ELSE 5 END""", "ic1")
 cte("ic3", "SELECT *, CASE WHEN round(mx-avg_rsrp,6)<=5 THEN 1 ELSE 2 END AS g FROM ic2", "ic2")
-ORACLE["interference_groups"] = sql("SELECT band, ix, iy, cell_name, round(share,6) AS perc_grid_events, round(mx-avg_rsrp,6) AS rsrp_dist_max, CAST(g AS BIGINT) AS grid_cluster_no FROM ic3", "ic3")
+ORACLE["interference_groups"] = sql("SELECT band, ix, iy, cell_name, round(share+1e-9,6) AS perc_grid_events, round(mx-avg_rsrp+1e-9,6) AS rsrp_dist_max, CAST(g AS BIGINT) AS grid_cluster_no FROM ic3", "ic3")
 cte("idom", """SELECT DISTINCT band, ix, iy FROM (SELECT band, ix, iy, max(mx) AS mx FROM ic2 GROUP BY 1,2,3) JOIN
   (SELECT band, ix, iy, max(CASE WHEN r=2 THEN avg_rsrp END) AS sec, max(share0) AS ms FROM (SELECT *, row_number() OVER (PARTITION BY band, ix, iy ORDER BY avg_rsrp DESC) AS r FROM ic0) GROUP BY 1,2,3) USING (band, ix, iy)
   WHERE round(mx-sec,6)>=CASE WHEN band='L800' THEN 6 ELSE 5 END AND ms>=0.12""", "ic2", "ic0")
@@ -551,3 +551,91 @@ ORACLE["low_coverage_kring"] = sql("""SELECT band, ix, iy, best_rsrp, rsrp_thres
   SELECT a.band, a.ix, a.iy, round(max(best),4) AS best_rsrp, max(thr) AS rsrp_threshold, count(*) AS m, sum(good) AS g FROM lb a JOIN lm b ON a.band=b.band AND b.ix BETWEEN a.ix-3 AND a.ix+3 AND b.iy BETWEEN a.iy-3 AND a.iy+3 GROUP BY 1,2,3)
   WHERE 49-g>=20 AND (m>=9 OR m-g>=2)""", "lb", "lm")
 ORACLE["server_counts"] = sql("SELECT band, n_servers, count(*) AS bins FROM (SELECT band, ix, iy, count(DISTINCT cell_name) AS n_servers FROM cov GROUP BY 1,2,3) GROUP BY 1,2", "cov")
+
+# --- reports, validation, combined views ---
+
+
+def tier3(flagged: str, band: bool) -> str:
+    cond = " AND c.band=f.band" if band else ""
+    return f"""(SELECT f.cell_name, count(DISTINCT CASE WHEN c.cell_name<>f.cell_name{cond} THEN c.cell_name END) AS n3, CAST(sum(CASE WHEN c.cell_name=f.cell_name THEN c.event_count ELSE 0 END) AS BIGINT) AS t3
+  FROM (SELECT DISTINCT x.cell_name, x.ix, x.iy, g.band FROM {flagged} x JOIN gis g USING (cell_name)) f JOIN cov c USING (ix, iy) GROUP BY 1)"""
+
+
+def tilt_rows(cells: str, flagged: str, change: str, band: bool, cols: str) -> str:
+    return f"""SELECT {cols}, coalesce(n3,0) AS tier_3_sectors_count, coalesce(n3,0) AS tier_3_cells_count, coalesce(t3,0) AS tier_3_traffic_total, CAST(0 AS BIGINT) AS tier_3_drops_total,
+  coalesce(round(t3/tall::DOUBLE*100,2),0.0) AS tier3_traffic_perc, 0.0::DOUBLE AS tier3_drops_perc FROM (SELECT o.cell_name, {change} AS ch FROM {cells} o) JOIN gis g USING (cell_name)
+  LEFT JOIN {tier3(flagged, band)} USING (cell_name) LEFT JOIN (SELECT cell_name, sum(event_count) AS tall FROM cov GROUP BY 1) USING (cell_name)"""
+
+
+_d = "'2025-03-09' AS analysisdate, cell_name, CAST(cell_key+1000 AS VARCHAR) AS cilac, {p} AS parameter, '{c}' AS category, round(least(greatest({v},0.0),15.0),1) AS parameter_new_value, '2025-03-09' AS cycle_start_date, '' AS cycle_end_date, 'PENDING' AS cycle_status, 'AUTO_GENERATED' AS conditions, tilt_elc+tilt_mech AS current_tilt, 0.0::DOUBLE AS min_tilt, 15.0::DOUBLE AS max_tilt"
+cte("obf", "SELECT ob.* FROM ob SEMI JOIN oss USING (cell_name)", "ob", "oss")
+ORACLE["daily_resolution"] = sql(
+    tilt_rows("oss", "obf", "recommended_tilt_change", True, _d.format(p="'Electrical_tilt'", c="overshooter", v="tilt_elc+ch")) + " UNION ALL " +
+    tilt_rows("uss", "ubs", "recommended_uptilt_deg", True, _d.format(p="CASE WHEN tilt_elc<=0 THEN 'Manual_tilt' ELSE 'Electrical_tilt' END", c="undershooter", v="CASE WHEN tilt_elc<=0 THEN tilt_mech-ch ELSE tilt_elc-ch END")), "obf", "oss", "uss", "ubs", "cov", "gis")
+_d = "'09/03/2025' AS analysisdate, cell_name, CAST(cell_key+1000 AS VARCHAR) AS cilac, 'Manual_tilt' AS parameter, '{c}' AS category, round(greatest(least({v},15.0),0.0),1) AS parameter_new_value, '09/03/2025' AS cycle_start_date, '09/03/2025' AS cycle_end_date, 'PENDING' AS cycle_status, 'AUTO_GENERATED' AS conditions, tilt_elc AS current_tilt, 0.0::DOUBLE AS min_tilt, 15.0::DOUBLE AS max_tilt"
+ORACLE["resolution_table"] = sql(
+    tilt_rows("oss", "obf", "recommended_tilt_change", False, _d.format(c="OverShooter", v="tilt_elc+ch")) + " UNION ALL " +
+    tilt_rows("uss", "ubs", "recommended_uptilt_deg", False, _d.format(c="UnderShooter", v="tilt_elc-ch")), "obf", "oss", "uss", "ubs", "cov", "gis")
+cte("t3n", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cell_name ORDER BY t DESC, toname) AS r FROM (SELECT f.cell_name, c.cell_name AS toname, sum(c.event_count) AS t
+  FROM (SELECT DISTINCT cell_name, ix, iy FROM obf) f JOIN cov c USING (ix, iy) WHERE c.cell_name<>f.cell_name GROUP BY 1,2)) WHERE r<=5""", "obf", "cov")
+ORACLE["tier3_neighbours"] = sql(f"""SELECT '09/03/2025' AS analysisdate, t.cell_name AS fromname, x.cell_key+1000 AS fromcilac, toname, y.cell_key+1000 AS tocilac, round({hav('x.latitude','x.longitude','y.latitude','y.longitude')},2) AS fromtodistance,
+  t3 AS tier_3_traffic, CAST(0 AS INTEGER) AS tier_3_drops, round(t3/tall::DOUBLE*100,2) AS tier3_traffic_perc, 0.0::DOUBLE AS tier3_drops_perc, coalesce(f.neighbor_relation,b.neighbor_relation,'N/A') AS is_neighbored
+  FROM t3n t JOIN gis x ON x.cell_name=t.cell_name JOIN gis y ON y.cell_name=toname LEFT JOIN {tier3('obf', False)} m ON m.cell_name=t.cell_name
+  LEFT JOIN (SELECT cell_name, sum(event_count) AS tall FROM cov GROUP BY 1) a ON a.cell_name=t.cell_name LEFT JOIN rel f ON f.cell_name=t.cell_name AND f.to_cell_name=toname
+  LEFT JOIN rel b ON b.cell_name=toname AND b.to_cell_name=t.cell_name""", "t3n", "gis", "rel", "cov", "obf")
+
+
+def impact(pairs: str) -> str:
+    """Pairs a, b with the looked-up relation."""
+    return f"""(SELECT p.*, coalesce(f.traffic_data,r.traffic_data,0.0) AS it, coalesce(f.drops_voice,r.drops_voice,0.0) AS idr, coalesce(f.distance,r.distance,{hav('x.latitude','x.longitude','y.latitude','y.longitude')}) AS idist,
+  coalesce(f.neighbor_relation,r.neighbor_relation,'N/A') AS irel, x.cell_key+1000 AS ka, y.cell_key+1000 AS kb FROM {pairs} p JOIN gis x ON x.cell_name=p.a JOIN gis y ON y.cell_name=p.b
+  LEFT JOIN rel f ON f.cell_name=p.a AND f.to_cell_name=p.b LEFT JOIN rel r ON r.cell_name=p.b AND r.to_cell_name=p.a)"""
+
+
+ORACLE["pci_level1"] = sql(f"""SELECT '09/03/2025' AS insertdatetime, idr AS sum_drops, it AS sum_impact, round(idist,2) AS distance, ka AS cilac, kb AS nextcilac, CASE WHEN irel='Y' THEN 1 ELSE 0 END AS neighbourindex,
+  pci_a AS tosectorsc1, pci_b AS tosectorsc2 FROM {impact("(SELECT cell_a AS a, cell_b AS b, pci_a, pci_b FROM coll WHERE hop_type='1-hop')")}""", "coll", "rel", "gis")
+ORACLE["pci_blacklist_table"] = sql(f"""SELECT '09/03/2025' AS insertdatetime, ka AS cilac, pci, 0 AS bl, 'Confusion' AS colision_type, it AS adj_weight, 0.0::DOUBLE AS other_adj_weight, b AS adjacency, 'blacklist' AS parameter,
+  1 AS value, CAST(NULL AS INTEGER) AS sector_sc_other, 0.0::DOUBLE AS distancefrom, round(idist,2) AS distanceto FROM {impact("(SELECT s AS a, n AS b, pci FROM dec)")}""", "dec", "rel", "gis")
+cte("mem", "SELECT s AS a, n AS b, o.band, o.pci FROM edges JOIN nodes o ON o.c=n QUALIFY count(*) OVER (PARTITION BY s, o.band, o.pci)>=2", "edges", "nodes")
+cte("mpair", "SELECT a, band, pci, n1, n2 FROM (SELECT a, band, pci, min(b) AS n1, max(CASE WHEN r=2 THEN b END) AS n2 FROM (SELECT *, row_number() OVER (PARTITION BY a, band, pci ORDER BY b) AS r FROM mem) GROUP BY 1,2,3)", "mem")
+ORACLE["pci_level2"] = sql(f"""SELECT '09/03/2025' AS insertdatetime, ka AS fromcilac, 0 AS shoa, pci_a AS tosectorsc1, it AS impact1, CASE WHEN irel='Y' THEN 1 ELSE 0 END AS neighbour1, 0 AS shob, pci_b AS tosectorsc2, 0.0::DOUBLE AS impact2, 0 AS neighbour2,
+  round(idist,2) AS distancefrom, 0.0::DOUBLE AS distanceto, ka AS cilac, kb AS nextcilac, 0 AS neibour2sector, 0 AS totalsho, CAST(CASE WHEN a IN (SELECT s FROM dec) OR b IN (SELECT s FROM dec) THEN 1 ELSE 0 END AS INTEGER) AS l2_nr_bl_candidate
+  FROM {impact("(SELECT cell_a AS a, cell_b AS b, pci_a, pci_b FROM coll WHERE hop_type='2-hop')")} UNION ALL
+  SELECT '09/03/2025', p.ka, 0, p.pci, p.it, CASE WHEN p.irel='Y' THEN 1 ELSE 0 END, 0, p.pci, q.it, CASE WHEN q.irel='Y' THEN 1 ELSE 0 END, round(p.idist,2), round(q.idist,2), p.kb, q.kb,
+  CASE WHEN p.irel='Y' AND q.irel='Y' THEN 1 ELSE 0 END, 0, CASE WHEN p.a IN (SELECT s FROM dec) THEN 1 ELSE 0 END
+  FROM {impact("(SELECT a, n1 AS b, band, pci FROM mpair)")} p JOIN {impact("(SELECT a, n2 AS b, band, pci FROM mpair)")} q ON p.a=q.a AND p.band=q.band AND p.pci=q.pci""", "coll", "dec", "mpair", "rel", "gis")
+ORACLE["pci_combined"] = sql(f"""SELECT '09/03/2025' AS analysisdate, ka AS cilac, pci_b AS pci, it AS strongestsectorweight, CASE WHEN a IN (SELECT s FROM dec UNION ALL SELECT n FROM dec) THEN 1 ELSE 0 END AS bl, kb AS nearestcilac, kb AS strongestcilac,
+  round(idist,2) AS distance_near, round(idist,2) AS distance_strong, it AS totalweight, CASE WHEN hop_type='1-hop' THEN 'Yes' ELSE 'No' END AS is_level1, 0 AS regionid
+  FROM {impact("(SELECT cell_a AS a, cell_b AS b, pci_b, hop_type FROM coll)")} UNION ALL
+  SELECT '09/03/2025', max(ka), pci, max(it), CASE WHEN a IN (SELECT s FROM dec) THEN 1 ELSE 0 END, arg_min(kb, (idist, b)), arg_min(CASE WHEN it>0 THEN kb END, (-it, b)), round(min(idist),2), round(arg_min(idist, (-it, b)),2), sum(it), 'No', 0
+  FROM {impact("mem")} GROUP BY a, band, pci""", "coll", "dec", "mem", "rel", "gis")
+
+
+def rules(source: str, items: list[tuple[str, str, str, str]]) -> str:
+    return " UNION ALL ".join(f"SELECT cell_name, '{s}' AS severity, '{r}' AS rule, round({v},4) AS actual_value FROM {source} WHERE {c}" for s, r, c, v in items)
+
+
+_src = "(SELECT cell_name, (pci%6)/2.0::DOUBLE AS t, tilt_elc+tilt_mech+5+(pci%6)/2.0::DOUBLE AS nt, (pci-3)/30.0::DOUBLE AS l, bearing/10-1 AS r, antenna_height/40 AS s FROM gis)"
+ORACLE["validate_overshoot"] = sql(rules(_src, [
+    ("CRITICAL", "MAX_DOWNTILT", "t>2", "t"), ("WARNING", "HIGH_DOWNTILT", "t>1.5 AND t<=2", "t"), ("CRITICAL", "MAX_TOTAL_TILT", "nt>15", "nt"),
+    ("CRITICAL", "NEGATIVE_COVERAGE_REDUCTION", "l<0", "l"), ("WARNING", "HIGH_COVERAGE_REDUCTION", "l>0.6", "l"), ("WARNING", "LOW_RSRP_REDUCTION", "r<0", "r"),
+    ("CRITICAL", "EXCESSIVE_RSRP_REDUCTION", "r>25", "r"), ("CRITICAL", "INVALID_SEVERITY_SCORE", "s<0 OR s>1", "s")]), "gis")
+_src = "(SELECT cell_name, (pci%6)/2.0::DOUBLE AS t, tilt_elc+tilt_mech-1-(pci%6)/2.0::DOUBLE AS nt, (pci-3)/20.0::DOUBLE AS l, (bearing-40)*20 AS r, (bearing-40)*20/(antenna_height*50) AS q, antenna_height/42 AS s FROM gis)"
+ORACLE["validate_undershoot"] = sql("SELECT severity, rule, count(*) AS issues, count(DISTINCT cell_name) AS cells FROM (" + rules(_src, [
+    ("CRITICAL", "MAX_UPTILT", "t>2", "t"), ("WARNING", "HIGH_UPTILT", "t>1.5 AND t<=2", "t"), ("CRITICAL", "NEGATIVE_TOTAL_TILT", "nt<0", "nt"),
+    ("CRITICAL", "NEGATIVE_COVERAGE_INCREASE", "l<0", "l"), ("WARNING", "EXCESSIVE_COVERAGE_INCREASE", "l>1", "l"), ("CRITICAL", "NEGATIVE_DISTANCE_INCREASE", "r<0", "r"),
+    ("WARNING", "EXCESSIVE_DISTANCE_INCREASE", "r>=0 AND q>1", "q"), ("CRITICAL", "INVALID_INTERFERENCE", "s<0 OR s>1", "s"), ("WARNING", "HIGH_INTERFERENCE", "s BETWEEN 0 AND 1 AND s>0.4", "s")]) + ") GROUP BY 1,2", "gis")
+ORACLE["unified_cells"] = sql("""SELECT *, CAST((overshooting='Yes')::INT+(undershooting='Yes')::INT+(confusion='Yes')::INT+(feeders='Yes')::INT AS INTEGER) AS n_issues FROM (SELECT cell_name,
+  CASE WHEN cell_name IN (SELECT cell_name FROM oss) THEN 'Yes' ELSE 'No' END AS overshooting, CASE WHEN cell_name IN (SELECT cell_name FROM uss) THEN 'Yes' ELSE 'No' END AS undershooting,
+  CASE WHEN cell_name IN (SELECT a FROM mem) THEN 'Yes' ELSE 'No' END AS confusion, CASE WHEN cell_name IN (SELECT cell_name FROM fc WHERE lv<>'NONE') THEN 'Yes' ELSE 'No' END AS feeders FROM gis)""", "gis", "oss", "uss", "mem", "fc")
+ORACLE["issue_overlap"] = sql("""SELECT *, round(CASE WHEN total=0 THEN 0 ELSE "both"/total::DOUBLE*100 END,2) AS both_pct FROM (SELECT count(*) AS total, count(CASE WHEN o.cell_name IS NOT NULL AND u.cell_name IS NOT NULL THEN 1 END) AS "both",
+  count(CASE WHEN u.cell_name IS NULL THEN 1 END) AS only_a, count(CASE WHEN o.cell_name IS NULL THEN 1 END) AS only_b FROM (SELECT cell_name FROM oss) o FULL JOIN (SELECT cell_name FROM uss) u USING (cell_name))""", "oss", "uss")
+cte("unif", f"SELECT {sev('severity_score','>')} AS severity_category, cell_name FROM oss UNION ALL SELECT severity_category, cell_name FROM uss", "oss", "uss")
+ORACLE["issue_statistics"] = sql("""SELECT 'all' AS dimension, 'all' AS value, count(*) AS findings FROM unif UNION ALL SELECT 'severity_category', severity_category, count(*) FROM unif GROUP BY 2
+  UNION ALL SELECT 'band', CASE WHEN cell_name LIKE '%L_' THEN 'L800' ELSE 'L1800' END, count(*) FROM unif GROUP BY 2""", "unif")
+ORACLE["detector_counts"] = sql("""SELECT 'overshooting' AS detector, count(*) AS findings FROM oss UNION ALL SELECT 'overshooting_bins', count(*) FROM ob UNION ALL SELECT 'undershooting', count(*) FROM uss
+  UNION ALL SELECT 'undershooting_bins', count(*) FROM ubs""", "oss", "ob", "uss", "ubs")
+ORACLE["flagged_bins"] = sql("""SELECT c.cell_name, c.ix, c.iy, o.cell_name IS NOT NULL AS overshooting, u.cell_name IS NOT NULL AS interfering FROM cov c
+  LEFT JOIN (SELECT DISTINCT cell_name, ix, iy FROM ob) o USING (cell_name, ix, iy) LEFT JOIN (SELECT DISTINCT cell_name, ix, iy FROM ubs) u USING (cell_name, ix, iy)""", "cov", "ob", "ubs")
+ORACLE["market_contributors"] = sql(f"""SELECT cell_name, market, other_cell, other_market, round(d,3) AS distance_m FROM (SELECT x.cell_name, x.market, y.cell_name AS other_cell, y.market AS other_market,
+  {hav('x.latitude','x.longitude','y.latitude','y.longitude')} AS d FROM gis x JOIN gis y ON x.market<>y.market) WHERE d<=3000""", "gis")

@@ -570,7 +570,7 @@ def _shared_coverage(spark, sf):
 @query
 def interference_groups(spark, sf):
     rows = interference.level_groups(interference.close_to_strongest(_shared_coverage(spark, sf), NOISY), NOISY)
-    return rounded(rows.select("band", "ix", "iy", "cell_name", "perc_grid_events", "rsrp_dist_max", F.col("grid_cluster_no").cast("long").alias("grid_cluster_no")), 6)
+    return rounded(rows.select("band", "ix", "iy", "cell_name", "perc_grid_events", "rsrp_dist_max", F.col("grid_cluster_no").cast("long").alias("grid_cluster_no")), 6, nudge=1e-9)
 
 
 @query
@@ -710,7 +710,7 @@ def hull_conflicts(spark, sf):
 
 @query
 def ca_imbalance(spark, sf):
-    pattern = P.CarrierAggregation(cell_pattern=r"^(S\d+)[LH](\d)$", pairs=(("L800-L1800", "L800", "L1800"),), threshold=0.9)
+    pattern = P.CarrierAggregation(cell_pattern=r"^(S\d+)[LH](\d)$", pairs=(("L800-L1800", "L800", "L1800"),), threshold=0.999)
     return hulls.detect_ca_imbalance(_hulls(spark, sf), pattern)
 
 
@@ -731,3 +731,149 @@ def bearing_shift(spark, sf):
     turned = hulls.shift_hulls(_wedges(spark, sf), tables.cell_gis(spark, sf), F.lit(90.0))
     box = turned.withColumn("_b", rings.ring_bounds(F.col("ring")))
     return rounded(box.select("cell_name", "_b.*"), 5)
+
+
+# --- reports, validation, combined views --------------------------------------------------
+
+import datetime  # noqa: E402
+
+from cellscape.operators import combine, reports, validate  # noqa: E402
+
+DAY = datetime.date(2025, 3, 9)
+
+
+def _gis_with_ids(spark, sf):
+    return tables.cell_gis(spark, sf).withColumn("cell_cilac", F.col("cell_key") + 1000)
+
+
+def _shooters(spark, sf):
+    cov, gis = tables.coverage(spark, sf), tables.cell_gis(spark, sf)
+    over = overshoot.detect_overshooting(cov, gis, OVER)
+    under = undershoot.detect_undershooting(cov, gis, UNDER)
+    return over, under, cov
+
+
+@query
+def daily_resolution(spark, sf):
+    over, under, cov = _shooters(spark, sf)
+    flagged = over.bins.join(over.cells.select("cell_name"), "cell_name", "left_semi")
+    return reports.daily_resolution(over.cells, flagged, under.cells, under.bins, cov, _gis_with_ids(spark, sf), DAY)
+
+
+@query
+def resolution_table(spark, sf):
+    over, under, cov = _shooters(spark, sf)
+    return reports.resolution_table(over.cells, over.bins, under.cells, under.bins, cov, _gis_with_ids(spark, sf), DAY)
+
+
+@query
+def tier3_neighbours(spark, sf):
+    over, _, cov = _shooters(spark, sf)
+    return reports.tier3_neighbours(over.cells, over.bins, cov, tables.relations(spark, sf), _gis_with_ids(spark, sf), DAY)
+
+
+def _pci_findings(spark, sf):
+    net = _network(spark, sf)
+    collisions = cut_lineage(pci.detect_collisions(net, PLAN))
+    decisions = cut_lineage(pci.suggest_blacklist(net, PLAN))
+    return collisions, cut_lineage(pci.confusion_members(net)), decisions
+
+
+@query
+def pci_level1(spark, sf):
+    return reports.pci_level1(_pci_findings(spark, sf)[0], tables.relations(spark, sf), _gis_with_ids(spark, sf), DAY)
+
+
+@query
+def pci_blacklist_table(spark, sf):
+    return reports.pci_blacklist_table(_pci_findings(spark, sf)[2], tables.relations(spark, sf), _gis_with_ids(spark, sf), DAY)
+
+
+@query
+def pci_level2(spark, sf):
+    return reports.pci_level2(*_pci_findings(spark, sf), tables.relations(spark, sf), _gis_with_ids(spark, sf), DAY)
+
+
+@query
+def pci_combined(spark, sf):
+    return reports.pci_combined(*_pci_findings(spark, sf), tables.relations(spark, sf), _gis_with_ids(spark, sf), DAY)
+
+
+@query
+def validate_overshoot(spark, sf):
+    gis = tables.cell_gis(spark, sf)
+    rows = gis.select(
+        "cell_name",
+        (F.col("pci") % 6 / 2).alias("recommended_downtilt_deg"),
+        (F.col("tilt_elc") + F.col("tilt_mech") + 5).alias("current_total_tilt_deg"),
+        ((F.col("pci") - 3) / 30).alias("coverage_reduction_percentage"),
+        (F.col("bearing") / 10 - 1).alias("avg_rsrp_reduction_db"),
+        (F.col("antenna_height") / 40).alias("severity_score"),
+    )
+    return rounded(validate.validate_overshooting(rows).issues)
+
+
+@query
+def validate_undershoot(spark, sf):
+    gis = tables.cell_gis(spark, sf)
+    rows = gis.select(
+        "cell_name",
+        (F.col("pci") % 6 / 2).alias("recommended_uptilt_deg"),
+        (F.col("tilt_elc") + F.col("tilt_mech") - 1).alias("current_total_tilt"),
+        ((F.col("pci") - 3) / 20).alias("coverage_increase_percentage"),
+        ((F.col("bearing") - 40) * 20).alias("distance_increase_m"),
+        (F.col("antenna_height") * 50).alias("current_distance_m"),
+        (F.col("antenna_height") / 42).alias("interference_percentage"),
+    )
+    out = validate.validate_undershooting(rows)
+    return validate.issue_totals(out.issues)
+
+
+@query
+def unified_cells(spark, sf):
+    over, under, _ = _shooters(spark, sf)
+    conf = pci.confusion_members(_network(spark, sf)).select(F.col("serving").alias("cell_name"))
+    swaps = feeders.detect_crossed_feeders(tables.relations(spark, sf), tables.cell_gis(spark, sf), FEED).cells
+    swaps = swaps.where(F.col("confidence_level") != "NONE")
+    return combine.issue_matrix(tables.cell_gis(spark, sf), overshooting=over.cells, undershooting=under.cells, confusion=conf, feeders=swaps)
+
+
+@query
+def issue_overlap(spark, sf):
+    over, under, _ = _shooters(spark, sf)
+    return combine.issue_overlap(over.cells, under.cells)
+
+
+@query
+def issue_statistics(spark, sf):
+    over, under, _ = _shooters(spark, sf)
+    both = combine.unified_recommendations(overshooters=over.cells, undershooters=under.cells)
+    return combine.severity_statistics(both)
+
+
+@query
+def detector_counts(spark, sf):
+    over, under, _ = _shooters(spark, sf)
+    return combine.detector_counts(overshooting=over.cells, overshooting_bins=over.bins, undershooting=under.cells, undershooting_bins=under.bins)
+
+
+@query
+def flagged_bins(spark, sf):
+    over, under, cov = _shooters(spark, sf)
+    return combine.flag_bins(cov.select("cell_name", "ix", "iy"), overshooting=over.bins, interfering=under.bins)
+
+
+@query
+def market_contributors(spark, sf):
+    return rounded(combine.market_contributors(tables.cell_gis(spark, sf), 3000.0), 3)
+
+
+@query
+def cell_bin_documents(spark, sf):
+    return combine.cell_bin_documents(tables.coverage(spark, sf))
+
+
+@query
+def coverage_quality(spark, sf):
+    cov = tables.coverage(spark, sf).withColumn("grid", lattice.encode(F.col("ix"), F.col("iy")))
+    return validate.coverage_quality(cov)
