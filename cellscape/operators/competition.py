@@ -24,7 +24,7 @@ def competition_counts(rows: DataFrame, threshold_db: float) -> DataFrame:
 
     A row competes when its signal is within ``threshold_db`` of the reference level.
     """
-    competing = F.col("p90_rsrp_in_grid") - F.col("avg_rsrp") <= threshold_db
+    competing = F.round(F.col("p90_rsrp_in_grid") - F.col("avg_rsrp"), 9) <= threshold_db
     per_cell = rows.groupBy(*BIN_BAND, "cell_name").agg(
         F.sum(F.when(competing, 1).otherwise(0)).alias("_rows"), F.sum("event_count").alias("_events")
     )

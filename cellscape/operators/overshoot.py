@@ -61,7 +61,9 @@ def edge_bins(coverage: DataFrame, cells: DataFrame | None, p: Overshoot, by_env
         pick = F.coalesce(*[F.when(F.col("environment") == env, F.col(f"_q_{env}")) for env in by_environment])
         limits = group_quantiles(rows, ["cell_name"], "distance_m", wanted, 5.0).join(cells, "cell_name")
         limits = limits.select("cell_name", pick.alias("edge_distance_m"))
-    return rows.join(cut_lineage(limits), "cell_name").where(F.col("distance_m") >= F.col("edge_distance_m"))
+    # Rounding keeps a row that lies exactly on its limit.
+    limits = cut_lineage(limits.withColumn("edge_distance_m", F.round("edge_distance_m", 6)))
+    return rows.join(limits, "cell_name").where(F.col("distance_m") >= F.col("edge_distance_m"))
 
 
 def cell_metrics(coverage: DataFrame, edges: DataFrame, p: Overshoot) -> DataFrame:
@@ -116,7 +118,7 @@ def overshooting_bins(
         (F.col("competing_cells") >= _limit("min_cell_count_in_grid", p, by_environment))
         & (F.col("cell_traffic_pct") <= _limit("max_percentage_grid_events", p, by_environment))
         & (F.col("relative_reach") >= _limit("min_relative_reach", p, by_environment))
-        & (F.col("avg_rsrp") <= F.col("cell_max_rsrp") - p.rsrp_degradation_db)
+        & (F.col("avg_rsrp") <= F.round(F.col("cell_max_rsrp") - p.rsrp_degradation_db, 6))
     )
 
 

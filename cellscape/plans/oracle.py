@@ -192,8 +192,8 @@ cte("dm", """SELECT *, distance_to_cell/cell_max_distance_to_cell AS perc_cell_m
   max(distance_to_cell) OVER (PARTITION BY cell_name) AS cell_max_distance_to_cell FROM cov)""", "cov")
 ORACLE["distance_metrics"] = sql("SELECT * REPLACE (round(perc_cell_max_dist,6) AS perc_cell_max_dist) FROM dm", "dm")
 ORACLE["rsrp_share"] = sql(
-    """SELECT ix, iy, cell_name, round(avg_rsrp,3) AS avg_rsrp, round(p,3) AS perc_grid_events, round(sum(p*avg_rsrp) OVER (PARTITION BY ix,iy),3) AS avg_rsrp_grid,
-    round(avg(avg_rsrp) OVER (PARTITION BY cell_name),3) AS avg_rsrp_cell
+    """SELECT ix, iy, cell_name, round(avg_rsrp+1e-9,3) AS avg_rsrp, round(p+1e-9,3) AS perc_grid_events, round(sum(p*avg_rsrp) OVER (PARTITION BY ix,iy)+1e-9,3) AS avg_rsrp_grid,
+    round(avg(avg_rsrp) OVER (PARTITION BY cell_name)+1e-9,3) AS avg_rsrp_cell
     FROM (SELECT *, round((150.0+avg_rsrp)/CAST(sum(CAST(150.0+avg_rsrp AS DECIMAL(20,6))) OVER (PARTITION BY ix,iy) AS DOUBLE),4) AS p FROM cov)""", "cov")
 ORACLE["dominance_tiers"] = sql(
     """SELECT ix, iy, cell_name, CASE WHEN perc_grid_events>=.3 THEN 'dominant' WHEN perc_grid_events<=.02 THEN 'interferer' ELSE 'contributor' END AS dominance,
@@ -297,28 +297,30 @@ ORACLE["site_environment"] = sql("SELECT * FROM env0", "env0")
 cte("env", """SELECT cell_name, round(coalesce(km,2.0),3) AS intersite_distance_km, CASE WHEN coalesce(km,2.0)<=1.25 THEN 'URBAN' WHEN coalesce(km,2.0)<=1.4 THEN 'SUBURBAN' ELSE 'RURAL' END AS environment
   FROM gis LEFT JOIN spacing ON round(latitude,6)=y AND round(longitude,6)=x""", "gis", "spacing")
 cte("p90", "SELECT ix, iy, band, quantile_cont(avg_rsrp,0.9) AS p90, max(distance_to_cell) AS gmax FROM cov GROUP BY ix, iy, band", "cov")
-cte("comp", """SELECT ix, iy, band, max(p90) AS p90, count(DISTINCT cell_name) AS total_cells, count(DISTINCT CASE WHEN p90-avg_rsrp<=7.5 THEN cell_name END) AS competing_cells,
-  count(CASE WHEN p90-avg_rsrp<=7.5 THEN 1 END) AS competing_rows, CAST(sum(event_count) AS BIGINT) AS grid_total_traffic
+cte("comp", """SELECT ix, iy, band, max(p90) AS p90, count(DISTINCT cell_name) AS total_cells, count(DISTINCT CASE WHEN round(p90-avg_rsrp,9)<=7.5 THEN cell_name END) AS competing_cells,
+  count(CASE WHEN round(p90-avg_rsrp,9)<=7.5 THEN 1 END) AS competing_rows, CAST(sum(event_count) AS BIGINT) AS grid_total_traffic
   FROM cov JOIN p90 USING (ix, iy, band) GROUP BY ix, iy, band""", "cov", "p90")
 ORACLE["competition_counts"] = sql("SELECT * REPLACE (round(p90,4) AS p90) FROM comp", "comp")
-cte("beam", "SELECT *, distance_to_cell AS d FROM cov WHERE grid_bearing_diff<=90", "cov")
-cte("edge", """SELECT b.*, e AS edge_distance_m FROM beam b JOIN (SELECT cell_name, quantile_cont(d,0.85) AS e FROM beam GROUP BY 1) USING (cell_name) WHERE d>=e""", "beam")
+cte("covo", "SELECT * FROM cov WHERE avg_rsrp BETWEEN -140 AND -30", "cov")
+cte("p90o", "SELECT ix, iy, band, quantile_cont(avg_rsrp,0.9) AS p90, max(distance_to_cell) AS gmax FROM covo GROUP BY ix, iy, band", "covo")
+cte("beam", "SELECT *, distance_to_cell AS d FROM covo WHERE grid_bearing_diff<=90", "covo")
+cte("edge", """SELECT b.*, e AS edge_distance_m FROM beam b JOIN (SELECT cell_name, round(quantile_cont(d,0.85),6) AS e FROM beam GROUP BY 1) USING (cell_name) WHERE d>=e""", "beam")
 ORACLE["edge_bins"] = sql("SELECT ix, iy, cell_name, d AS distance_m, round(edge_distance_m,4) AS edge_distance_m FROM edge", "edge")
 
 
 def over_metrics(name: str, edge: str) -> None:
     cte(name, f"""SELECT a.*, coalesce(edge_grids,0) AS edge_grids, coalesce(avg_edge_rsrp,-140.0) AS avg_edge_rsrp FROM
-  (SELECT cell_name, max(distance_to_cell) AS max_distance_m, count(DISTINCT (ix,iy)) AS total_grids, quantile_cont(avg_rsrp,0.85) AS cell_max_rsrp FROM cov GROUP BY 1) a
-  LEFT JOIN (SELECT cell_name, count(DISTINCT (ix,iy)) AS edge_grids, avg(avg_rsrp) AS avg_edge_rsrp FROM {edge} GROUP BY 1) USING (cell_name)""", "cov", edge)
+  (SELECT cell_name, max(distance_to_cell) AS max_distance_m, count(DISTINCT (ix,iy)) AS total_grids, quantile_cont(avg_rsrp,0.85) AS cell_max_rsrp FROM covo GROUP BY 1) a
+  LEFT JOIN (SELECT cell_name, count(DISTINCT (ix,iy)) AS edge_grids, avg(avg_rsrp) AS avg_edge_rsrp FROM {edge} GROUP BY 1) USING (cell_name)""", "covo", edge)
 
 
 over_metrics("om", "edge")
 ORACLE["cell_metrics"] = sql("""SELECT cell_name, max_distance_m, total_grids, round(cell_max_rsrp+1e-9,3) AS cell_max_rsrp, edge_grids, round(avg_edge_rsrp+1e-9,3) AS avg_edge_rsrp FROM om""", "om")
 cte("ob", """SELECT x.*, competing_cells, grid_total_traffic, event_count/grid_total_traffic::DOUBLE AS cell_traffic_pct, d/gmax AS relative_reach, cell_max_rsrp FROM
-  (SELECT e.*, p90, gmax FROM edge e JOIN p90 USING (ix, iy, band)) x JOIN
-  (SELECT ix, iy, band, count(DISTINCT CASE WHEN p90-avg_rsrp<=7.5 THEN cell_name END) AS competing_cells, CAST(sum(event_count) AS BIGINT) AS grid_total_traffic
-   FROM edge JOIN p90 USING (ix, iy, band) GROUP BY 1,2,3) USING (ix, iy, band) JOIN om USING (cell_name)
-  WHERE competing_cells>=2 AND event_count/grid_total_traffic::DOUBLE<=0.25 AND d/gmax>=0.5 AND avg_rsrp<=cell_max_rsrp-10""", "edge", "p90", "om")
+  (SELECT e.*, p90, gmax FROM edge e JOIN p90o USING (ix, iy, band)) x JOIN
+  (SELECT ix, iy, band, count(DISTINCT CASE WHEN round(p90-avg_rsrp,9)<=7.5 THEN cell_name END) AS competing_cells, CAST(sum(event_count) AS BIGINT) AS grid_total_traffic
+   FROM edge JOIN p90o USING (ix, iy, band) GROUP BY 1,2,3) USING (ix, iy, band) JOIN om USING (cell_name)
+  WHERE competing_cells>=2 AND event_count/grid_total_traffic::DOUBLE<=0.25 AND d/gmax>=0.5 AND avg_rsrp<=round(cell_max_rsrp-10,6)""", "edge", "p90o", "om")
 ORACLE["overshoot_bins"] = sql("""SELECT ix, iy, cell_name, competing_cells, grid_total_traffic, round(cell_traffic_pct,4) AS cell_traffic_pct,
   round(relative_reach,4) AS relative_reach, round(p90,4) AS p90_rsrp_in_grid FROM ob""", "ob")
 
@@ -340,7 +342,7 @@ def over_cells(tag: str, metrics: str, bins: str, where: str, thr: str = "7.5")
     FROM (SELECT ix, iy, cell_name, d, avg_rsrp, p90 FROM {bins}) JOIN oc{tag} USING (cell_name) GROUP BY 1) USING (cell_name)
     JOIN (SELECT cell_name, coalesce(max(CASE WHEN {after('distance_to_cell',1.0)}>=-110 THEN distance_to_cell END),0) AS new_max_distance_1deg_m,
     coalesce(max(CASE WHEN {after('distance_to_cell',2.0)}>=-110 THEN distance_to_cell END),0) AS new_max_distance_2deg_m
-    FROM cov JOIN oc{tag} USING (cell_name) GROUP BY 1) USING (cell_name)""", f"oc{tag}", bins, "cov")
+    FROM covo JOIN oc{tag} USING (cell_name) GROUP BY 1) USING (cell_name)""", f"oc{tag}", bins, "covo")
     cte(f"os{tag}", f"""SELECT *, CASE WHEN recommended_tilt_change=1 THEN grids_resolved_1deg ELSE grids_resolved_2deg END AS removed_interference_grids,
     least(greatest(0.30*least(greatest((overshooting_grids-b5)/greatest(b95-b5,1e-9),0),1)+0.25*percentage_overshooting
     +0.20*least(greatest((max_distance_m-4000)/31000.0,0),1)+0.15*least(greatest((avg_edge_rsrp+70)/-50.0,0),1)
@@ -367,15 +369,15 @@ _n = over_cells("s", "om", "ob", "max_distance_m>=4000 AND n>=5 AND n/total_grid
 ORACLE["overshoot_cells"] = sql(f"SELECT {OVER_COLS} FROM {_n}", _n)
 # class limits: edge share, competing cells, traffic share, reach, cell distance
 cte("lim", """SELECT * FROM (VALUES ('URBAN',0.88,3,0.25,0.70,1500.0),('SUBURBAN',0.85,2,0.28,0.68,3500.0),('RURAL',0.82,2,0.30,0.65,4000.0)) t(environment,eq,mc,mt,mr,md)""")
-cte("edgee", """SELECT b.*, e AS edge_distance_m FROM beam b JOIN (SELECT cell_name, CASE environment WHEN 'URBAN' THEN quantile_cont(d,0.88) WHEN 'SUBURBAN' THEN quantile_cont(d,0.85) ELSE quantile_cont(d,0.82) END AS e
+cte("edgee", """SELECT b.*, e AS edge_distance_m FROM beam b JOIN (SELECT cell_name, round(CASE environment WHEN 'URBAN' THEN quantile_cont(d,0.88) WHEN 'SUBURBAN' THEN quantile_cont(d,0.85) ELSE quantile_cont(d,0.82) END,6) AS e
   FROM beam JOIN env USING (cell_name) GROUP BY cell_name, environment) USING (cell_name) WHERE d>=e""", "beam", "env")
 over_metrics("ome0", "edgee")
 cte("ome", "SELECT * FROM ome0 JOIN env USING (cell_name) JOIN lim USING (environment)", "ome0", "env", "lim")
 cte("obe", """SELECT x.*, environment, competing_cells, event_count/grid_total_traffic::DOUBLE AS cell_traffic_pct, d/gmax AS relative_reach FROM
-  (SELECT e.*, p90, gmax FROM edgee e JOIN p90 USING (ix, iy, band)) x JOIN
-  (SELECT ix, iy, band, count(DISTINCT CASE WHEN p90-avg_rsrp<=8.5 THEN cell_name END) AS competing_cells, CAST(sum(event_count) AS BIGINT) AS grid_total_traffic
-   FROM cov JOIN p90 USING (ix, iy, band) GROUP BY 1,2,3) USING (ix, iy, band) JOIN ome USING (cell_name)
-  WHERE competing_cells>=mc AND event_count/grid_total_traffic::DOUBLE<=mt AND d/gmax>=mr AND avg_rsrp<=cell_max_rsrp-10""", "edgee", "p90", "cov", "ome")
+  (SELECT e.*, p90, gmax FROM edgee e JOIN p90o USING (ix, iy, band)) x JOIN
+  (SELECT ix, iy, band, count(DISTINCT CASE WHEN round(p90-avg_rsrp,9)<=8.5 THEN cell_name END) AS competing_cells, CAST(sum(event_count) AS BIGINT) AS grid_total_traffic
+   FROM covo JOIN p90o USING (ix, iy, band) GROUP BY 1,2,3) USING (ix, iy, band) JOIN ome USING (cell_name)
+  WHERE competing_cells>=mc AND event_count/grid_total_traffic::DOUBLE<=mt AND d/gmax>=mr AND avg_rsrp<=round(cell_max_rsrp-10,6)""", "edgee", "p90o", "covo", "ome")
 ORACLE["overshoot_env_bins"] = sql("""SELECT ix, iy, cell_name, environment, competing_cells, round(cell_traffic_pct,4) AS cell_traffic_pct, round(relative_reach,4) AS relative_reach FROM obe""", "obe")
 _n = over_cells("e", "ome", "obe", "max_distance_m>=md AND n>=5 AND n/total_grids::DOUBLE>=0.02")
 ORACLE["overshoot_env_cells"] = sql(f"SELECT {OVER_COLS}, environment FROM {_n}", _n)
@@ -511,7 +513,7 @@ cte("fsc0", f"""SELECT cell_site, cell_name, cell_band, sum(v) AS score, count(C
   JOIN gis x USING (cell_name)) GROUP BY 1,2,3""", "imp", "gis")
 ORACLE["feeder_scored"] = sql("""SELECT cell_site, cell_name, cell_band, round(score,3) AS score, scored_impacts, cell_site||'_'||cell_band AS site_band, occ AS cell_occurrences, round(sum(score) OVER (PARTITION BY cell_site),3) AS site_score,
   CASE WHEN occ>=3 THEN 'High potential: All feeders swapped' WHEN occ=2 THEN 'High potential: 2 feeders swapped' ELSE 'Low potential: 1 feeder with high swapped score' END AS classification
-  FROM (SELECT *, count(*) OVER (PARTITION BY cell_site, cell_band) AS occ FROM fsc0 WHERE score>=(SELECT quantile_cont(score,0.95) FROM fsc0))""", "fsc0")
+  FROM (SELECT *, count(*) OVER (PARTITION BY cell_site, cell_band) AS occ FROM fsc0 WHERE round(score,6)>=round((SELECT quantile_cont(score,0.95) FROM fsc0),6))""", "fsc0")
 cte("fos", """SELECT i.cell_name, i.to_cell_name, x.site AS cell_site, x.band AS cell_band, y.band AS impact_band, pct, round(x.bearing)=round(y.bearing) AS same FROM imp i JOIN gis x USING (cell_name)
   JOIN gis y ON y.cell_name=i.to_cell_name WHERE x.site=y.site AND x.band<>y.band""", "imp", "gis")
 ORACLE["feeder_cosector"] = sql("""SELECT * REPLACE (round(diff,3) AS diff, round(combined_diff,3) AS combined_diff) FROM (

@@ -189,7 +189,7 @@ def distance_metrics(spark, sf):
 @query
 def rsrp_share(spark, sf):
     cov = tables.coverage(spark, sf).select("ix", "iy", "cell_name", "avg_rsrp")
-    return rounded(enrich.rsrp_share(cov), 3)
+    return rounded(enrich.rsrp_share(cov), 3, nudge=1e-9)
 
 
 @query
