@@ -84,7 +84,7 @@ def _linked_groups(rows: DataFrame, width: float) -> DataFrame:
     Equal gaps always share a group, so only distinct values take part.
     """
     values = rows.select(*KEY, "rsrp_dist_max").distinct()
-    schema = values.schema.add("grid_cluster_no", "integer")
+    schema = values.select("*").schema.add("grid_cluster_no", "integer")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rsrp_dist_max")

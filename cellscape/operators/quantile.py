@@ -21,22 +21,30 @@ def group_quantiles(
 
     Groups up to ``hot_rows`` rows use the built-in aggregate.  Larger ones are counted per
     distinct value, located through a histogram of ``width`` wide buckets, and ranked only
-    inside the buckets that hold the wanted ranks, so no task sees a whole hot group.
+    inside the buckets that hold the wanted ranks, so no task sees a whole hot group.  A
+    count per group decides first whether there are any.
     """
     narrow = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     by = keys or ["_all"]
     if not keys:
         narrow = narrow.withColumn("_all", F.lit(0))
-    hot_keys = narrow.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).drop("_n")
-    usual = narrow.join(hot_keys, by, "left_anti")
-    hot = narrow.join(hot_keys, by, "left_semi")
-    names = list(quantiles)
-    out = usual.groupBy(*by).agg(F.percentile("_v", F.array(*[F.lit(quantiles[n]) for n in names])).alias("_q"))
-    out = out.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    out = out.unionByName(_histogram_quantiles(hot, by, quantiles, width))
+    sizes = narrow.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    hot_keys = sizes.where(F.col("_n") > hot_rows).drop("_n")
+    if hot_keys.isEmpty():
+        out = _plain_quantiles(narrow, by, quantiles)
+    else:
+        out = _plain_quantiles(narrow.join(hot_keys, by, "left_anti"), by, quantiles).unionByName(
+            _histogram_quantiles(narrow.join(hot_keys, by, "left_semi"), by, quantiles, width)
+        )
     return out if keys else out.drop("_all")
 
 
+def _plain_quantiles(df: DataFrame, by: list[str], quantiles: dict[str, float]) -> DataFrame:
+    wanted = F.array(*[F.lit(p) for p in quantiles.values()])
+    out = df.groupBy(*by).agg(F.percentile("_v", wanted).alias("_q"))
+    return out.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(quantiles)])
+
+
 def _histogram_quantiles(df: DataFrame, by: list[str], quantiles: dict[str, float], width: float) -> DataFrame:
     counted = df.groupBy(*by, F.floor(F.col("_v") / width).alias("_b"), "_v").agg(F.count(F.lit(1)).alias("_n"))
     in_order = Window.partitionBy(*by).orderBy("_b")
