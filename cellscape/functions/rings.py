@@ -19,6 +19,11 @@ UTM_SCALE = 0.9996
 RING_TYPE = "array<struct<lon:double,lat:double>>"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once; lambda bodies are not optimised for repeated terms."""
+    return F.transform(F.array(value), body)[0]
+
+
 def parse_wkt_polygon(wkt: Column) -> Column:
     """Outer ring of a WKT POLYGON; null for anything else."""
     body = F.regexp_extract(wkt, r"(?i)^\s*POLYGON\s*Z?\s*\(\s*\(([^()]*)\)", 1)
@@ -81,16 +86,25 @@ def transverse_mercator(lon: Column, lat: Column, central_meridian: Column) -> C
     )
     ecc = 2 * math.sqrt(n) / (1 + n)
     sin_lat = F.sin(F.radians(lat))
-    t = F.sinh(F.atanh(sin_lat) - ecc * F.atanh(ecc * sin_lat))
-    dl = F.radians(lon - central_meridian)
-    xi = F.atan2(t, F.cos(dl))
-    eta = F.atanh(F.sin(dl) / F.sqrt(1 + t * t))
-    x, y = eta, xi
-    for j, a in enumerate(alphas, start=1):
-        x = x + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        y = y + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    scale = F.lit(UTM_SCALE * rectifying)
-    return F.struct((scale * x).alias("x"), (scale * y).alias("y"))
+    scale = UTM_SCALE * rectifying
+
+    def angles(p):
+        return F.struct(
+            F.atan2(p["t"], F.cos(p["dl"])).alias("xi"),
+            F.atanh(F.sin(p["dl"]) / F.sqrt(1 + p["t"] * p["t"])).alias("eta"),
+        )
+
+    def plane(p):
+        x, y = p["eta"], p["xi"]
+        for j, a in enumerate(alphas, start=1):
+            x = x + a * F.cos(2 * j * p["xi"]) * F.sinh(2 * j * p["eta"])
+            y = y + a * F.sin(2 * j * p["xi"]) * F.cosh(2 * j * p["eta"])
+        return F.struct((scale * x).alias("x"), (scale * y).alias("y"))
+
+    start = let(sin_lat, lambda v: F.struct(
+        F.sinh(F.atanh(v) - ecc * F.atanh(ecc * v)).alias("t"), F.radians(lon - central_meridian).alias("dl")
+    ))
+    return let(let(start, angles), plane)
 
 
 def mean_lon(ring: Column) -> Column:
@@ -104,41 +118,53 @@ def project(ring: Column, central_meridian: Column) -> Column:
 
 def shoelace(points: Column) -> Column:
     """Absolute area of a projected ring of struct(x, y), taken about its first point."""
-    origin = points[0]
 
-    def term(e):
-        ax, ay = e["a"]["x"] - origin["x"], e["a"]["y"] - origin["y"]
-        bx, by = e["b"]["x"] - origin["x"], e["b"]["y"] - origin["y"]
-        return ax * by - bx * ay
+    def area(ring):
+        origin = ring[0]
+
+        def term(e):
+            ax, ay = e["a"]["x"] - origin["x"], e["a"]["y"] - origin["y"]
+            bx, by = e["b"]["x"] - origin["x"], e["b"]["y"] - origin["y"]
+            return ax * by - bx * ay
+
+        return F.abs(total(F.transform(edges(ring), term))) / 2
 
-    return F.abs(total(F.transform(edges(points), term))) / 2
+    return let(points, area)
 
 
 def area_km2(ring: Column) -> Column:
     """Area in the UTM zone of the ring, in square kilometres."""
-    return shoelace(project(ring, utm_central_meridian(mean_lon(ring)))) / 1e6
+    return shoelace(let(utm_central_meridian(mean_lon(ring)), lambda m: project(ring, m))) / 1e6
 
 
 def planar_centroid(points: Column) -> Column:
     """Area centroid of a ring of struct(x, y)."""
-    origin = points[0]
 
-    def part(weigh):
-        def term(e):
-            ax, ay = e["a"]["x"] - origin["x"], e["a"]["y"] - origin["y"]
-            bx, by = e["b"]["x"] - origin["x"], e["b"]["y"] - origin["y"]
-            return (ax * by - bx * ay) * weigh(ax, ay, bx, by)
+    def moments(ring):
+        origin = ring[0]
 
-        return total(F.transform(edges(points), term))
+        def part(weigh):
+            def term(e):
+                ax, ay = e["a"]["x"] - origin["x"], e["a"]["y"] - origin["y"]
+                bx, by = e["b"]["x"] - origin["x"], e["b"]["y"] - origin["y"]
+                return (ax * by - bx * ay) * weigh(ax, ay, bx, by)
 
-    twice = part(lambda ax, ay, bx, by: F.lit(1.0))
-    cx = part(lambda ax, ay, bx, by: ax + bx)
-    cy = part(lambda ax, ay, bx, by: ay + by)
-    flat = F.abs(twice) < 1e-12
-    return F.struct(
-        (origin["x"] + F.when(flat, 0.0).otherwise(cx / (3 * twice))).alias("x"),
-        (origin["y"] + F.when(flat, 0.0).otherwise(cy / (3 * twice))).alias("y"),
-    )
+            return total(F.transform(edges(ring), term))
+
+        return F.struct(
+            origin.alias("o"),
+            part(lambda ax, ay, bx, by: F.lit(1.0)).alias("twice"),
+            part(lambda ax, ay, bx, by: ax + bx).alias("cx"),
+            part(lambda ax, ay, bx, by: ay + by).alias("cy"),
+        )
+
+    def centre(m):
+        def shift(c):
+            return F.when(F.abs(m["twice"]) < 1e-12, 0.0).otherwise(m[c] / (3 * m["twice"]))
+
+        return F.struct((m["o"]["x"] + shift("cx")).alias("x"), (m["o"]["y"] + shift("cy")).alias("y"))
+
+    return let(let(points, moments), centre)
 
 
 def centroid(ring: Column) -> Column:
