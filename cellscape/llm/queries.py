@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cellscape.llm import bpe, sharding, token_counts, urls
+from cellscape.llm import bpe, licenses, mixing, sharding, token_counts, urls
 from cellscape.llm.common import shared_folder, table
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return urls.judge_urls(pages, urls.unwanted_urls(pages), urls.RULES)
@@ -29,11 +33,17 @@ def op8_token_count_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), shared_folder(spark, "token_counts"))
 
 
+def op10_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op4_license_scan": op4_license_scan,
     "op5_url_filter": op5_url_filter,
     "op6_hash_tree_shards": op6_hash_tree_shards,
     "op7_bpe_speculate": op7_bpe_speculate,
     "op8_token_count_cache": op8_token_count_cache,
+    "op10_entropy_mix": op10_entropy_mix,
 }
 
 LISTED_SQL = ", ".join(f"'{x}'" for x in urls.UNWANTED_LABELS)
