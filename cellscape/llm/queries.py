@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cellscape.llm import bpe, licenses, mixing, sharding, token_counts, urls
+from cellscape.llm import bpe, licenses, mixing, quality, sharding, token_counts, urls
 from cellscape.llm.common import shared_folder, table
 
 
+def op1_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ def op10_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decision_list": op1_decision_list,
     "op4_license_scan": op4_license_scan,
     "op5_url_filter": op5_url_filter,
     "op6_hash_tree_shards": op6_hash_tree_shards,
