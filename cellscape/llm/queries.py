@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cellscape.llm import bpe, licenses, mixing, quality, sharding, token_counts, urls
+from cellscape.llm import bpe, licenses, mixing, quality, sharding, token_counts, toxicity, urls
 from cellscape.llm.common import shared_folder, table
 
 
@@ -13,6 +13,12 @@ def op1_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    field = toxicity.fit_toxicity(docs, labels, where=~toxicity.held_out(F.col("doc_id")))
+    return toxicity.score_toxicity(docs, field)
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -43,6 +49,7 @@ def op10_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decision_list": op1_decision_list,
+    "op3_crf_toxicity": op3_crf_toxicity,
     "op4_license_scan": op4_license_scan,
     "op5_url_filter": op5_url_filter,
     "op6_hash_tree_shards": op6_hash_tree_shards,
