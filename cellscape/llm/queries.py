@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cellscape.llm import bpe, licenses, mixing, quality, sharding, token_counts, toxicity, urls
+from cellscape.llm import bagminhash, bpe, embeddings, licenses, mixing, quality, sharding, token_counts, toxicity, urls
 from cellscape.llm.common import shared_folder, table
 
 
@@ -13,6 +13,10 @@ def op1_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     field = toxicity.fit_toxicity(docs, labels, where=~toxicity.held_out(F.col("doc_id")))
@@ -43,18 +47,25 @@ def op8_token_count_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), shared_folder(spark, "token_counts"))
 
 
+def op9_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
 def op10_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_decision_list": op1_decision_list,
+    "op2_itq_dedup": op2_itq_dedup,
     "op3_crf_toxicity": op3_crf_toxicity,
     "op4_license_scan": op4_license_scan,
     "op5_url_filter": op5_url_filter,
     "op6_hash_tree_shards": op6_hash_tree_shards,
     "op7_bpe_speculate": op7_bpe_speculate,
     "op8_token_count_cache": op8_token_count_cache,
+    "op9_bagminhash": op9_bagminhash,
     "op10_entropy_mix": op10_entropy_mix,
 }
 
