@@ -24,7 +24,7 @@ WEIGHTS = (1, 2, 3)
 EXACT_SIZES = 100
 STEP = math.log(1.01)
 #: Documents ranked together; larger classes are dealt into hashed groups first.
-GROUP_ROWS = 50_000
+GROUP_ROWS = 1_000
 TOLERANCE = 1e-9
 MAX_STEPS = 100
 
