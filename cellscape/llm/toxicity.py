@@ -72,64 +72,66 @@ def neighbours(text: str, places: list[int]) -> list[int]:
 
 
 class Chain:
-    """Padded candidate events of many texts: gaps before each event, words, and the gap after the last."""
+    """Candidate events of many texts by depth: the j-th gap and word of every text that has one, texts sorted by events."""
 
     def __init__(self, lengths: list[int], places: list[list[int]], words: list[list[int]]) -> None:
         self.n = len(lengths)
         self.count = np.fromiter(map(len, places), np.int64, self.n)
         self.order = np.argsort(-self.count, kind="stable")
-        depth = int(self.count.max()) if self.n else 0
-        self.gap = np.zeros((depth + 1, self.n))
-        self.word = np.zeros((depth, self.n), np.int64)
-        for row, d in enumerate(self.order):
-            p, k = places[d], len(places[d])
-            if k:
-                self.gap[:k, row] = np.diff(np.array([-1, *p])) - 1
-                self.word[:k, row] = words[d]
-            self.gap[k, row] = lengths[d] - (p[-1] + 1 if k else 0)
         sizes = self.count[self.order]
-        self.live = np.array([np.searchsorted(-sizes, -j, side="left") for j in range(depth + 1)])  # texts with more than j events
-
-    def forward(self, field: Field, backward: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-        """Log partition per text (sorted order), and the marginals of T at the events if asked."""
+        self.depth = int(sizes[0]) if self.n else 0
+        self.live = [int(np.searchsorted(-sizes, -j, side="left")) for j in range(self.depth + 1)]  # texts with more than j events
+        gap: list[list[int]] = [[] for _ in range(self.depth + 1)]
+        word: list[list[int]] = [[] for _ in range(self.depth)]
+        for d in self.order.tolist():
+            before = -1
+            for j, (p, w) in enumerate(zip(places[d], words[d], strict=True)):
+                gap[j].append(p - before - 1)
+                word[j].append(w)
+                before = p
+            gap[len(places[d])].append(lengths[d] - before - 1)
+        # a text's last gap belongs behind those of texts with more events, which the sorting gives
+        self.gap = [np.array(g, float) for g in gap]
+        self.word = [np.array(w, np.int64) for w in word]
+
+    def forward(self, field: Field, backward: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Log partition per text (sorted order) and, if asked, the marginals of T by depth."""
         run = _Run(field)
-        depth = len(self.word)
         a = np.zeros((self.n, 2))
         a[:, 0] = 1.0
         log_z = np.zeros(self.n)
         kept = []
         into_o, into_t = run.moves
-        for j in range(depth + 1):
-            m = self.n if j == 0 else self.live[j - 1]  # texts with at least j events still run
-            at = a[:m]
-            a[:m] = run.cross(at, self.gap[j, :m])
-            log_z[:m] += self.gap[j, :m] * run.log_top
-            m = self.live[j] if j < depth else 0
+        for j in range(self.depth + 1):
+            m = len(self.gap[j])
+            a[:m] = run.cross(a[:m], self.gap[j])
+            log_z[:m] += self.gap[j] * run.log_top
+            m = self.live[j] if j < self.depth else 0
             if not m:
                 continue
-            u = np.exp(field.weights[self.word[j, :m]])
+            u = np.exp(field.weights[self.word[j]])
             at = a[:m]
             new = np.stack([at @ into_o, (at @ into_t) * u], 1)
             s = new.sum(1)
             a[:m] = new / s[:, None]
             log_z[:m] += np.log(s)
-            kept.append(a[:m].copy())
-        total = a.sum(1)
-        log_z += np.log(total)
+            if backward:
+                kept.append(a[:m].copy())
+        log_z += np.log(a.sum(1))
         if not backward:
-            return log_z, None
+            return log_z, []
         b = np.ones((self.n, 2))
-        marginal = np.zeros((depth, self.n))
-        for j in range(depth, -1, -1):
-            m = self.n if j == 0 else self.live[j - 1]
-            if j < depth and self.live[j]:
+        marginal: list[np.ndarray] = [np.zeros(0)] * self.depth
+        for j in range(self.depth, -1, -1):
+            if j < self.depth:
                 k = self.live[j]
                 joint = kept[j] * b[:k]
-                marginal[j, :k] = joint[:, 1] / joint.sum(1)
-                u = np.exp(field.weights[self.word[j, :k]])
+                marginal[j] = joint[:, 1] / joint.sum(1)
+                u = np.exp(field.weights[self.word[j]])
                 back = np.outer(b[:k, 0], into_o) + np.outer(b[:k, 1] * u, into_t)
                 b[:k] = back / back.sum(1, keepdims=True)
-            b[:m] = run.cross_back(b[:m], self.gap[j, :m])
+            m = len(self.gap[j])
+            b[:m] = run.cross_back(b[:m], self.gap[j])
             b[:m] /= b[:m].sum(1, keepdims=True)
         return log_z, marginal
 
@@ -172,8 +174,8 @@ def marginals_of(field: Field, found: list[tuple[int, list[int], list[int]]]) ->
         part = some[at : at + 4096]
         chain = Chain([found[i][0] for i in part], [found[i][1] for i in part], [found[i][2] for i in part])
         _, marginal = chain.forward(field, backward=True)
-        for row, d in enumerate(chain.order):
-            out[part[d]] = marginal[: chain.count[d], row].copy()
+        for row, d in enumerate(chain.order.tolist()):
+            out[part[d]] = np.array([m[row] for m in marginal[: chain.count[d]]])
     return out
 
 
@@ -182,31 +184,26 @@ def train(rows: list[tuple[int, int, list[int], list[int]]], words: dict[str, in
     if not rows:
         return Field(words, np.zeros(len(words)), -8.0, (0.0, 0.0, 0.0), 1.0, 0.0)
     chain = Chain([r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows])
-    depth = len(chain.word)
-    tag = np.zeros((depth, chain.n))
-    used = np.zeros((depth, chain.n), bool)
+    if not chain.depth:
+        return calibrated(Field(words, np.zeros(len(words)), -8.0, (0.0, 0.0, 0.0)), rows)
     is_lexicon = np.zeros(len(words) + 1, bool)
     is_lexicon[list(lexicon)] = True
-    toxic = np.array([r[0] for r in rows])[chain.order]
-    for j in range(depth):
-        m = chain.live[j]
-        used[j, :m] = True
-        tag[j, :m] = is_lexicon[chain.word[j, :m]] & (toxic[:m] == 1)
-    seen = np.bincount(chain.word[used], weights=tag[used], minlength=len(words))
-    together = (tag[1:] * tag[:-1] * (chain.gap[1:depth] == 0)).sum() if depth > 1 else 0.0
-    ends = chain.gap[1:] == 0 if depth else np.zeros((0, chain.n), bool)
-    last = np.zeros((depth, chain.n), bool)
-    for j in range(depth):
-        last[j, (chain.live[j + 1] if j + 1 <= depth else 0) : chain.live[j]] = True
-    to_o = ((tag == 1) & ~(last & ends)).sum() - together
-    globals_seen = np.array([0.0, tag.sum() - together, to_o, together])  # other-word T, O-T, T-O, T-T
+    toxic = np.array([r[0] for r in rows])[chain.order] == 1
+    tags = [is_lexicon[w] & toxic[: len(w)] for w in chain.word]
+    used = np.concatenate(chain.word)
+    seen = np.bincount(used, weights=np.concatenate(tags), minlength=len(words))
+    together = sum(float((tags[j] & tags[j - 1][: len(tags[j])] & (chain.gap[j][: len(tags[j])] == 0)).sum()) for j in range(1, chain.depth))
+    # a T goes back to O unless it is the last token or another T follows
+    at_end = sum(float((t[m:] & (chain.gap[j + 1][m : len(t)] == 0)).sum()) for j, t in enumerate(tags) for m in [chain.live[j + 1]])
+    all_t = float(sum(t.sum() for t in tags))
+    globals_seen = np.array([0.0, all_t - together, all_t - at_end - together, together])  # other-word T, O-T, T-O, T-T
 
     weights, whole = np.full(len(words), -2.0), np.array([-6.0, -1.0, 0.0, 0.0])
     state = [np.zeros(len(words) + 4), np.zeros(len(words) + 4)]
     for step in range(1, STEPS + 1):
         field = Field(words, weights, whole[0], tuple(whole[1:]))
         log_z, marginal = chain.forward(field, backward=True)
-        expected = np.bincount(chain.word[used], weights=marginal[used], minlength=len(words))
+        expected = np.bincount(used, weights=np.concatenate(marginal), minlength=len(words))
         slope, eps = np.zeros(4), 1e-4
         for g in range(4):  # the four shared weights: derivative of the total log partition
             near = whole.copy()
