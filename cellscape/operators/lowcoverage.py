@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cellscape.functions import antenna, text
 from cellscape.functions.scoring import clip, range_score, ratio, severity_category
 from cellscape.operators.environment import attach_environment
-from cellscape.operators.outline import clip_to_boundary, cluster_bins, drop_slivers, region_outlines, region_summary
-from cellscape.operators.quantile import attach_percentile_range
+from cellscape.operators.outline import clip_regions, cluster_bins, drop_slivers, region_outlines, region_summary
 from cellscape.operators.ring import ring_totals
 from cellscape.operators.spatial import cover_centres, radius_join
 from cellscape.params import (
@@ -98,27 +97,39 @@ def with_confidence(clusters: DataFrame) -> DataFrame:
 
 
 def listed_cells(members: DataFrame, p: LowCoverage = LowCoverage()) -> DataFrame:
-    """The first cells of each cluster by name."""
+    """The first cells of each cluster by name, for display only."""
     first = Window.partitionBy(*CLUSTER).orderBy("cell_name")
     return members.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= p.listed_cells).drop("_n")
 
 
-def severity(clusters: DataFrame, listed: DataFrame, rows: DataFrame, p: LowCoverage = LowCoverage()) -> DataFrame:
-    """Score from area, number of bins, depth below the limit and lack of servers."""
+def severity(clusters: DataFrame, members: DataFrame, rows: DataFrame, p: LowCoverage = LowCoverage()) -> DataFrame:
+    """Score from area, number of bins, depth below the limit and lack of servers.
+
+    Every band is scaled by its own clusters; a band with one cluster spans from zero to that cluster.
+    """
     weak = rows.where(F.col("avg_rsrp") <= p.rsrp_dbm).select("band", "cell_name", "avg_rsrp")
     per_cell = weak.groupBy("band", "cell_name").agg(F.sum("avg_rsrp").alias("_s"), F.count(F.lit(1)).alias("_n"))
-    depth = listed.join(per_cell, ["band", "cell_name"]).groupBy(*CLUSTER).agg((F.sum("_s") / F.sum("_n")).alias("avg_rsrp_dbm"))
+    depth = members.join(per_cell, ["band", "cell_name"]).groupBy(*CLUSTER).agg((F.sum("_s") / F.sum("_n")).alias("avg_rsrp_dbm"))
     out = clusters.join(depth, CLUSTER, "left").withColumn("avg_rsrp_dbm", F.coalesce("avg_rsrp_dbm", F.lit(p.rsrp_dbm)))
     out = out.withColumn("rsrp_deficit_db", F.greatest(p.rsrp_dbm - F.col("avg_rsrp_dbm"), F.lit(0.0)))
-    out = attach_percentile_range(cut_lineage(out), {"n_points": 4.0})
-    most = clusters.agg(F.greatest(F.max("n_serving_cells"), F.lit(1))).scalar()
+    spread = clusters.groupBy("band").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.percentile("n_points", F.array(F.lit(0.05), F.lit(0.95))).alias("_q"),
+        F.max("n_points").alias("_top"),
+        F.greatest(F.max("n_serving_cells"), F.lit(1)).alias("_most"),
+    )
+    several = F.col("_n") > 1
+    spread = spread.select(
+        "band", "_most", F.when(several, F.col("_q")[0]).otherwise(0.0).alias("_low"), F.when(several, F.col("_q")[1]).otherwise(F.col("_top")).alias("_high")
+    )
+    out = out.join(spread, "band")
     parts = (
         clip(F.col("area_km2") / p.norm_area_km2),
-        range_score(F.col("n_points"), F.col("_p_n_points.low"), F.col("_p_n_points.high")),
+        range_score(F.col("n_points"), F.col("_low"), F.col("_high")),
         clip(F.col("rsrp_deficit_db") / p.norm_deficit_db),
-        1.0 - clip(F.col("n_serving_cells") / most),
+        1.0 - clip(F.col("n_serving_cells") / F.col("_most")),
     )
-    out = out.withColumn("severity_score", clip(sum(w * x for w, x in zip(p.weights, parts)))).drop("_p_n_points")
+    out = out.withColumn("severity_score", clip(sum(w * x for w, x in zip(p.weights, parts)))).drop("_low", "_high", "_most")
     return out.withColumn("severity_category", severity_category(F.col("severity_score")))
 
 
@@ -132,8 +143,6 @@ def detect_low_coverage(
     """Low-coverage regions per band with servers, samples, confidence and severity."""
     rows = cut_lineage(good_rows(coverage, environment))
     dense = dense_low_bins(low_rsrp_bins(rows, p), rows, p)
-    if boundary is not None:
-        dense = clip_to_boundary(dense, boundary)
     bins = cut_lineage(
         cluster_bins(cut_lineage(dense), ["band"], p.min_cluster_bins, p.link_bins).drop("n_points").withColumnRenamed("component", "cluster_id")
     )
@@ -144,11 +153,12 @@ def detect_low_coverage(
     regions = region_summary(bins, CLUSTER).join(region_outlines(bins, CLUSTER), CLUSTER)
     regions = drop_slivers(regions, max(min_outline_km2, p.min_area_km2), MAX_ASPECT, THIN_DEG)
     regions = regions.where(F.col("area_km2") / F.col("n_points") <= p.max_km2_per_point).join(counts, CLUSTER)
+    if boundary is not None:
+        regions = clip_regions(regions, bins, CLUSTER, boundary)
     regions = cut_lineage(with_confidence(regions))
     members = cut_lineage(served.select(*CLUSTER, "cell_name").distinct().join(regions.select(*CLUSTER), CLUSTER, "left_semi"))
-    listed = listed_cells(members, p)
-    names = listed.groupBy(*CLUSTER).agg(F.array_join(F.array_sort(F.collect_list("cell_name")), ",").alias("serving_cells"))
-    clusters = severity(regions, listed, rows, p).join(names, CLUSTER, "left")
+    names = listed_cells(members, p).groupBy(*CLUSTER).agg(F.array_join(F.array_sort(F.collect_list("cell_name")), ",").alias("serving_cells"))
+    clusters = severity(regions, members, rows, p).join(names, CLUSTER, "left")
     return LowCoverageFindings(clusters, bins, members)
 
 
@@ -170,9 +180,9 @@ def _by_class(env: Column, table: tuple) -> Column:
     return text.choose(env, values, F.lit(values[DEFAULT_ENVIRONMENT]))
 
 
-def cluster_environment(listed: DataFrame, environment: DataFrame | None) -> DataFrame:
-    """Most frequent class among the listed cells of a cluster."""
-    rows = attach_environment(listed, environment)
+def cluster_environment(members: DataFrame, environment: DataFrame | None) -> DataFrame:
+    """Most frequent class among the cells of a cluster."""
+    rows = attach_environment(members, environment)
     counts = rows.groupBy(*CLUSTER, "environment").agg(F.count(F.lit(1)).alias("_n"))
     return counts.groupBy(*CLUSTER).agg(F.max_by("environment", F.struct("_n", "environment")).alias("environment"))
 
@@ -205,10 +215,9 @@ def recommend(
     coverage: DataFrame,
     environment: DataFrame | None = None,
     p: Advice = Advice(),
-    low: LowCoverage = LowCoverage(),
 ) -> DataFrame:
     """Up to three uptilt candidates per cluster, or a note that a new site is needed."""
-    classes = cluster_environment(listed_cells(found.members, low), environment)
+    classes = cluster_environment(found.members, environment)
     clusters = found.clusters.select(*CLUSTER, "centroid_lat", "centroid_lon", "rsrp_deficit_db").join(classes, CLUSTER, "left")
     clusters = clusters.withColumn("environment", F.coalesce("environment", F.lit(DEFAULT_ENVIRONMENT)))
     clusters = cut_lineage(clusters.withColumn("_radius", _by_class(F.col("environment"), p.radius_m)))
@@ -222,7 +231,8 @@ def recommend(
     in_range = near.select(*CLUSTER).distinct().withColumn("_any", F.lit(True))
     tilt = F.coalesce("tilt_mech", F.lit(0.0)) + F.coalesce("tilt_elc", F.lit(0.0))
     height = F.coalesce(F.when(F.col("antenna_height") != 0, F.col("antenna_height")), F.lit(p.antenna_height_m))
-    same = near.where(text.normalise_band(F.col("_cband"), keep_nr=True) == F.col("band")).withColumn("current_tilt_deg", tilt)
+    own_band = text.normalise_band(F.col("_cband"), keep_nr=True)
+    same = near.where((F.coalesce("_cband", F.lit("")) == "") | (own_band == F.col("band"))).withColumn("current_tilt_deg", tilt)
 
     def gain(n: int) -> Column:
         value = F.greatest(-antenna.attenuation_change(F.col("distance_m"), F.col("current_tilt_deg"), height, -float(n)), F.lit(0.0))

@@ -272,7 +272,7 @@ def _flag(df: DataFrame, names: DataFrame, key: str, alias: str) -> DataFrame:
 
 
 def pci_level2(collisions: DataFrame, members: DataFrame, decisions: DataFrame, relations: DataFrame, gis: DataFrame, day: datetime.date) -> DataFrame:
-    """Two-hop collisions, and the first two neighbours of every confusion.
+    """Two-hop collisions, and the neighbours of every confusion, each with the next by name.
 
     ``members`` are the confusion members (serving, neighbour, band, pci).
     """
@@ -287,9 +287,8 @@ def pci_level2(collisions: DataFrame, members: DataFrame, decisions: DataFrame,
         F.col("impact_distance").alias("_d1"), F.lit(0.0).alias("_d2"),
         F.col("cell_a").alias("first"), F.col("cell_b").alias("second"), F.greatest("_bla", "_blb").alias("l2_nr_bl_candidate"),
     )
-    first = Window.partitionBy("serving", "band", "pci").orderBy("neighbour")
-    two = members.select("serving", "band", "pci", "neighbour").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= 2)
-    pair = two.groupBy("serving", "band", "pci").agg(F.min("neighbour").alias("n1"), F.max("neighbour").alias("n2"))
+    by_name = Window.partitionBy("serving", "band", "pci").orderBy("neighbour")
+    pair = members.select("serving", "band", "pci", F.col("neighbour").alias("n1"), F.lead("neighbour").over(by_name).alias("n2")).where(F.col("n2").isNotNull())
 
     def side(name: str, tag: str) -> DataFrame:
         rows = pair.select(F.col("serving").alias("cell_a"), F.col(name).alias("cell_b")).distinct()

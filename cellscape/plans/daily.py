@@ -70,7 +70,7 @@ def run_detectors(inputs: Inputs, day: datetime.date, settings: Settings | None
     if on("low_coverage"):
         found = lowcoverage.detect_low_coverage(cov, env, s.low_coverage, inputs.boundary)
         out["low_coverage"] = found.clusters
-        out["low_coverage_advice"] = lowcoverage.recommend(found, gis, cov, env, s.advice, s.low_coverage)
+        out["low_coverage_advice"] = lowcoverage.recommend(found, gis, cov, env, s.advice)
     if inputs.hulls is not None:
         outlines = cut_lineage(hulls.enrich_hulls(hulls.valid_hulls(inputs.hulls), gis))
         if on("coverage_gaps"):
@@ -84,14 +84,15 @@ def run_detectors(inputs: Inputs, day: datetime.date, settings: Settings | None
         if on("pci"):
             net = pci.build_network(inputs.relations, s.pci)
             out["pci_confusions"] = pci.detect_confusions(net)
-            out["pci_collisions"] = cut_lineage(pci.detect_collisions(net, s.pci))
+            every = cut_lineage(pci.detect_collisions(net, s.pci))
+            out["pci_collisions"] = pci.actionable_collisions(every)
             out["pci_blacklist"] = cut_lineage(pci.suggest_blacklist(net, s.pci))
             members = cut_lineage(pci.confusion_members(net))
             facts = (inputs.relations, gis, day)
-            out["pci_level1"] = reports.pci_level1(out["pci_collisions"], *facts)
+            out["pci_level1"] = reports.pci_level1(every, *facts)
             out["pci_blacklist_table"] = reports.pci_blacklist_table(out["pci_blacklist"], *facts)
-            out["pci_level2"] = reports.pci_level2(out["pci_collisions"], members, out["pci_blacklist"], *facts)
-            out["pci_combined"] = reports.pci_combined(out["pci_collisions"], members, out["pci_blacklist"], *facts)
+            out["pci_level2"] = reports.pci_level2(every, members, out["pci_blacklist"], *facts)
+            out["pci_combined"] = reports.pci_combined(every, members, out["pci_blacklist"], *facts)
         if on("crossed_feeders"):
             found = feeders.detect_crossed_feeders(inputs.relations, gis, s.feeders)
             out["crossed_feeders"], out["feeder_swaps"], out["feeder_sites"] = found

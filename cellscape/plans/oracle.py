@@ -599,13 +599,13 @@ ORACLE["pci_level1"] = sql(f"""SELECT '09/03/2025' AS insertdatetime, idr AS sum
 ORACLE["pci_blacklist_table"] = sql(f"""SELECT '09/03/2025' AS insertdatetime, ka AS cilac, pci, 0 AS bl, 'Confusion' AS colision_type, it AS adj_weight, 0.0::DOUBLE AS other_adj_weight, b AS adjacency, 'blacklist' AS parameter,
   1 AS value, CAST(NULL AS INTEGER) AS sector_sc_other, 0.0::DOUBLE AS distancefrom, round(idist,2) AS distanceto FROM {impact("(SELECT s AS a, n AS b, pci FROM dec)")}""", "dec", "rel", "gis")
 cte("mem", "SELECT s AS a, n AS b, o.band, o.pci FROM edges JOIN nodes o ON o.c=n QUALIFY count(*) OVER (PARTITION BY s, o.band, o.pci)>=2", "edges", "nodes")
-cte("mpair", "SELECT a, band, pci, n1, n2 FROM (SELECT a, band, pci, min(b) AS n1, max(CASE WHEN r=2 THEN b END) AS n2 FROM (SELECT *, row_number() OVER (PARTITION BY a, band, pci ORDER BY b) AS r FROM mem) GROUP BY 1,2,3)", "mem")
+cte("mpair", "SELECT * FROM (SELECT a, band, pci, b AS n1, lead(b) OVER (PARTITION BY a, band, pci ORDER BY b) AS n2 FROM mem) WHERE n2 IS NOT NULL", "mem")
 ORACLE["pci_level2"] = sql(f"""SELECT '09/03/2025' AS insertdatetime, ka AS fromcilac, 0 AS shoa, pci_a AS tosectorsc1, it AS impact1, CASE WHEN irel='Y' THEN 1 ELSE 0 END AS neighbour1, 0 AS shob, pci_b AS tosectorsc2, 0.0::DOUBLE AS impact2, 0 AS neighbour2,
   round(idist,2) AS distancefrom, 0.0::DOUBLE AS distanceto, ka AS cilac, kb AS nextcilac, 0 AS neibour2sector, 0 AS totalsho, CAST(CASE WHEN a IN (SELECT s FROM dec) OR b IN (SELECT s FROM dec) THEN 1 ELSE 0 END AS INTEGER) AS l2_nr_bl_candidate
   FROM {impact("(SELECT cell_a AS a, cell_b AS b, pci_a, pci_b FROM coll WHERE hop_type='2-hop')")} UNION ALL
   SELECT '09/03/2025', p.ka, 0, p.pci, p.it, CASE WHEN p.irel='Y' THEN 1 ELSE 0 END, 0, p.pci, q.it, CASE WHEN q.irel='Y' THEN 1 ELSE 0 END, round(p.idist,2), round(q.idist,2), p.kb, q.kb,
   CASE WHEN p.irel='Y' AND q.irel='Y' THEN 1 ELSE 0 END, 0, CASE WHEN p.a IN (SELECT s FROM dec) THEN 1 ELSE 0 END
-  FROM {impact("(SELECT a, n1 AS b, band, pci FROM mpair)")} p JOIN {impact("(SELECT a, n2 AS b, band, pci FROM mpair)")} q ON p.a=q.a AND p.band=q.band AND p.pci=q.pci""", "coll", "dec", "mpair", "rel", "gis")
+  FROM {impact("(SELECT a, n1 AS b, n2, band, pci FROM mpair)")} p JOIN {impact("(SELECT a, n2 AS b, n1, band, pci FROM mpair)")} q ON p.a=q.a AND p.band=q.band AND p.pci=q.pci AND p.b=q.n1 AND p.n2=q.b""", "coll", "dec", "mpair", "rel", "gis")
 ORACLE["pci_combined"] = sql(f"""SELECT '09/03/2025' AS analysisdate, ka AS cilac, pci_b AS pci, it AS strongestsectorweight, CASE WHEN a IN (SELECT s FROM dec UNION ALL SELECT n FROM dec) THEN 1 ELSE 0 END AS bl, kb AS nearestcilac, kb AS strongestcilac,
   round(idist,2) AS distance_near, round(idist,2) AS distance_strong, it AS totalweight, CASE WHEN hop_type='1-hop' THEN 'Yes' ELSE 'No' END AS is_level1, 0 AS regionid
   FROM {impact("(SELECT cell_a AS a, cell_b AS b, pci_b, hop_type FROM coll)")} UNION ALL
@@ -641,3 +641,4 @@ ORACLE["flagged_bins"] = sql("""SELECT c.cell_name, c.ix, c.iy, o.cell_name IS N
   LEFT JOIN (SELECT DISTINCT cell_name, ix, iy FROM ob) o USING (cell_name, ix, iy) LEFT JOIN (SELECT DISTINCT cell_name, ix, iy FROM ubs) u USING (cell_name, ix, iy)""", "cov", "ob", "ubs")
 ORACLE["market_contributors"] = sql(f"""SELECT cell_name, market, other_cell, other_market, round(d,3) AS distance_m FROM (SELECT x.cell_name, x.market, y.cell_name AS other_cell, y.market AS other_market,
   {hav('x.latitude','x.longitude','y.latitude','y.longitude')} AS d FROM gis x JOIN gis y ON x.market<>y.market) WHERE d<=3000""", "gis")
+ORACLE["pci_collisions_output"] = f"""SELECT * FROM ({ORACLE["pci_collisions"]}) WHERE conflict_type='exact' OR (conflict_type='mod3' AND intra_site)"""

@@ -600,8 +600,13 @@ def interference_cells(spark, sf):
 @query
 def interference_clusters(spark, sf):
     found = interference.detect_interference(_shared_coverage(spark, sf), NOISY)
-    lists = interference.cluster_cell_lists(found.members).where(F.col("chunk") == 0).select("cluster_id", F.array_join("cells", ",").alias("cells"))
-    return rounded(found.clusters.join(lists, "cluster_id").withColumn("outline", rings.to_wkt(F.col("ring"))).drop("ring"), 4)
+    return rounded(found.clusters.withColumn("outline", rings.to_wkt(F.col("ring"))).drop("ring"), 4)
+
+
+@query
+def interference_members(spark, sf):
+    """The cells of every interference region, one row each."""
+    return interference.detect_interference(_shared_coverage(spark, sf), NOISY).members
 
 
 @query
@@ -645,7 +650,7 @@ def low_coverage_clusters(spark, sf):
 @query
 def low_coverage_advice(spark, sf):
     found, cov, env = _low(spark, sf)
-    return rounded(lowcoverage.recommend(found, tables.cell_gis(spark, sf), cov, env, low=WEAK))
+    return rounded(lowcoverage.recommend(found, tables.cell_gis(spark, sf), cov, env))
 
 
 @query
@@ -726,6 +731,18 @@ def uptilt_extension(spark, sf):
     return rounded(hulls.expansion_interference(grown, tables.coverage(spark, sf)))
 
 
+@query
+def uptilt_final_candidates(spark, sf):
+    cov, gis = tables.coverage(spark, sf), tables.cell_gis(spark, sf)
+    shares = hulls.expansion_interference(hulls.expansion_bins(_wedges(spark, sf), gis, _growth(spark, sf)), cov)
+    return rounded(hulls.final_uptilt_candidates(shares, cov.groupBy("cell_name").agg(F.count(F.lit(1)).alias("grid_count"))))
+
+
+@query
+def pci_collisions_output(spark, sf):
+    return rounded(pci.actionable_collisions(pci.detect_collisions(_network(spark, sf), PLAN)))
+
+
 @query
 def bearing_shift(spark, sf):
     turned = hulls.shift_hulls(_wedges(spark, sf), tables.cell_gis(spark, sf), F.lit(90.0))
