@@ -7,24 +7,23 @@ its signature is the earliest of its points with label i, so two bags agree in a
 to their weighted Jaccard similarity.  Points are drawn in rounds up to a time horizon in proportion to 1/weight of
 the bag, so the work is one draw per shingle plus a fixed number per text.
 
-Bands of the signature give candidates, and candidates are verified by the exact overlap of their bags.
-Inside a bucket every text is compared with the bucket's least member; texts that stay outside its component
-become pivots in turn and meet all members of other components, so no similar pair of a bucket goes unseen and
-no bucket is expanded into all its pairs when its members are alike.
+Bands of the signature give candidates: texts that share a band value, directly or through others, form a family.
+A family is verified by the exact overlap of its bags, in blocks of bounded size: a task gets one pair of blocks,
+counts shared shingles as a matrix product and returns a star of edges, so no pair of a bucket goes unseen, none is
+written out, and a family of any size is spread over tasks.
 """
 
 from __future__ import annotations
 
 import math
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from cellscape.llm.groups import roots, unite, whole_groups
 from cellscape.operators.components import connected_components
 from cellscape.session import cut_lineage
 
@@ -34,8 +33,10 @@ BANDS, ROWS = 32, 6
 SIZE = BANDS * ROWS
 #: Horizon of the point processes in units of 1/weight: all components are hit with about 98 per cent.
 HORIZON = math.log(SIZE) + 4
-#: Pivots that a bucket tries in one round.
-PIVOTS = 32
+#: Texts of a family that are held together; larger families are dealt into blocks, and a task gets two of them.
+BLOCK = 1_024
+#: Shingles counted in one product.
+COLUMNS = 4_096
 CHUNK_CHARS = 2_000_000
 CACHED_WORDS = 300_000
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -186,34 +187,66 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             done = stop
 
 
-def _verify(threshold: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        recent: OrderedDict = OrderedDict()
-
-        def bag(node: bytes, text: str):
-            if node not in recent:
-                recent[node] = _bag(text)
-                if len(recent) > 64:
-                    recent.popitem(last=False)
-            return recent[node]
-
-        for pdf in batches:
-            alike = [_overlap(bag(a, ta), bag(b, tb)) >= threshold for a, ta, b, tb in zip(pdf["src"], pdf["src_text"], pdf["dst"], pdf["dst_text"], strict=True)]
-            yield pdf.loc[alike, ["src", "dst"]]
+def expanded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Bags as sets: the k-th occurrence of a shingle is an element of its own, so shared elements are shared multiplicity."""
+    value, doc, count = bags(texts)
+    place = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    value, doc = np.repeat(value, count), np.repeat(doc, count)
+    return np.where(place > 0, mix(value + place.astype(np.uint64) * GOLD), value), doc
+
+
+def shared_counts(value: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """Elements that each pair of texts shares, as products of slices of the incidence matrix."""
+    _, column, seen = np.unique(value, return_inverse=True, return_counts=True)
+    common = seen > 1
+    number = np.cumsum(common) - 1
+    own = common[column]
+    column, doc = number[column[own]], doc[own]
+    out = np.zeros((n, n), np.float32)  # whole numbers, exact in single precision below 2**24
+    order = np.argsort(column, kind="stable")
+    column, doc = column[order], doc[order]
+    for low in range(0, int(common.sum()), COLUMNS):
+        a, b = np.searchsorted(column, (low, low + COLUMNS))
+        held = np.zeros((n, min(COLUMNS, int(common.sum()) - low)), np.float32)
+        held[doc[a:b], column[a:b] - low] = 1.0
+        out += held @ held.T
+    return out
+
+
+GROUP = ["family", "bi", "bj"]
+
+
+def _links(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, starts in whole_groups(batches, GROUP):
+            src, dst = [], []
+            for at, stop in zip(starts, [*starts[1:], part.num_rows], strict=True):
+                group = part.slice(at, stop - at)
+                n, block = group.num_rows, group.column("block").to_numpy()
+                value, doc = expanded(group.column("text").to_pylist())
+                size = np.bincount(doc, minlength=n).astype(np.float64)
+                i, j = np.nonzero(_alike(shared_counts(value, doc, n), size, threshold))
+                asked = (i < j) & ((block[i] != block[j]) | (group.column("bi")[0].as_py() == group.column("bj")[0].as_py()))
+                root = np.arange(n)
+                unite(root, i[asked], j[asked])
+                root = roots(root)
+                node = group.column("node").combine_chunks()
+                away = np.flatnonzero(root != np.arange(n))
+                src.append(node.take(pa.array(away)))
+                dst.append(node.take(pa.array(root[away])))
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(src), pa.concat_arrays(dst)], ["src", "dst"])
 
     return run
 
 
-def similar_pairs(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (src, dst) whose bags overlap by ``threshold`` or more."""
-    left = texts.select(F.col("node").alias("src"), F.col("text").alias("src_text"))
-    right = texts.select(F.col("node").alias("dst"), F.col("text").alias("dst_text"))
-    both = pairs.join(left, "src").join(right, "dst").select("src", "src_text", "dst", "dst_text")
-    return both.mapInPandas(_verify(threshold), "src binary, dst binary")
-
-
-def _ordered(a, b) -> list:
-    return [F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")]
+def _alike(shared: np.ndarray, size: np.ndarray, threshold: float) -> np.ndarray:
+    """Rows and columns whose overlap reaches the threshold, a slice of rows at a time."""
+    out = np.zeros(shared.shape, bool)
+    for at in range(0, len(shared), 256):
+        both = shared[at : at + 256].astype(np.float64)
+        either = size[at : at + 256, None] + size[None, :] - both
+        out[at : at + 256] = (both > 0) & (both >= threshold * either - 1e-9)
+    return out
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = SIMILAR) -> DataFrame:
@@ -225,39 +258,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     slim = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("node"), F.col(text).alias("text"))
     signed = cut_lineage(slim.mapInArrow(_sign, "doc_id long, node binary, bands array<long>"))
-    # copies become one node before any bucket is formed
-    nodes = signed.groupBy("node").agg(F.first("bands").alias("bands"))
-    rows = nodes.select("node", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = cut_lineage(rows.join(shared.select("key", "least"), "key"))
-    wanted = members.select("node").distinct()
-    texts = cut_lineage(slim.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
-
-    # every member meets the least member of its bucket
-    tried = cut_lineage(members.where(F.col("node") != F.col("least")).select(*_ordered("node", "least")).distinct())
-    edges = cut_lineage(similar_pairs(tried, texts, threshold))
-    keys = members.select("key", "node")
-    done = None
-    while True:
-        component = connected_components(edges)
-        placed = keys.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mains = members.select("key", F.col("least").alias("node")).distinct()
-        main = mains.join(component, "node", "left").select("key", F.coalesce("component", "node").alias("main"))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-        placed = cut_lineage(placed.join(mixed, "key").join(main, "key"))
-        outside = placed.where(F.col("component") != F.col("main"))
-        if done is not None:
-            outside = outside.join(done, ["key", "node"], "left_anti")
-        outside = outside.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("node"))).where(F.col("r") <= PIVOTS)
-        pivots = cut_lineage(outside.select("key", F.col("node").alias("pivot"), F.col("component").alias("of")))
-        if pivots.isEmpty():
-            break
-        met = placed.join(pivots, "key").where((F.col("node") != F.col("pivot")) & (F.col("component") != F.col("of")))
-        fresh = cut_lineage(met.select(*_ordered("node", "pivot")).distinct().join(tried, ["src", "dst"], "left_anti"))
-        edges = cut_lineage(edges.unionByName(similar_pairs(fresh, texts, threshold)))
-        tried = cut_lineage(tried.unionByName(fresh))
-        past = pivots.select("key", F.col("pivot").alias("node"))
-        done = past if done is None else cut_lineage(done.unionByName(past))
+
+    # families by short node numbers: should two texts share a number, a family is larger than it need be
+    short = F.xxhash64("node").alias("short")
+    rows = signed.select(short, F.explode("bands").alias("key"))
+    shared = rows.groupBy("key").agg(F.min("short").alias("least"), F.max("short").alias("most")).where("least <> most")
+    stars = rows.join(shared.select("key", "least"), "key").select("short", "least").distinct()
+    families = connected_components(stars.select(F.col("short").alias("src"), F.col("least").alias("dst")))
+    families = cut_lineage(families.select(F.col("node").alias("short"), F.col("component").alias("family")))
+
+    texts = slim.select("node", "text", short).join(families, "short").groupBy("node").agg(F.first("family").alias("family"), F.first("text").alias("text"))
+    texts = cut_lineage(texts)
+    sizes = texts.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+    dealt = texts.join(sizes.where("n > 1"), "family")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("family", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "node", "text")
+    edges = dealt.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(_links(threshold), "src binary, dst binary")
+    component = connected_components(edges)
 
     owned = signed.groupBy("node").agg(F.min("doc_id").alias("first"))
     labelled = owned.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cellscape.llm.groups import roots, unite, whole_groups
 from cellscape.operators.components import connected_components
 from cellscape.session import cut_lineage
 
@@ -92,31 +93,6 @@ def canonical(a: np.ndarray, b: np.ndarray, table: np.ndarray, key: np.ndarray)
     return ok & (middle == key)
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Sorted batches as tables of whole groups with the groups' starts; the last group waits for the next batch."""
-    held: pa.Table | None = None
-    for batch in batches:
-        part = pa.Table.from_batches([batch])
-        part = part if held is None else pa.concat_tables([held, part])
-        starts = _starts(part, keys)
-        if len(starts) > 1:
-            yield part.slice(0, starts[-1]), starts[:-1]
-            part = part.slice(starts[-1])
-        held = part
-    if held is not None and held.num_rows:
-        yield held, _starts(held, keys)
-
-
-def _starts(part: pa.Table, keys: list[str]) -> np.ndarray:
-    new = np.zeros(part.num_rows, bool)
-    if part.num_rows:
-        new[0] = True
-    for k in keys:
-        v = part.column(k).to_numpy()
-        new[1:] |= v[1:] != v[:-1]
-    return np.flatnonzero(new)
-
-
 def group_pairs(starts: np.ndarray, rows: int, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows inside groups, i < j, in bounded pieces."""
     sizes = np.diff(np.append(starts, rows))
@@ -178,32 +154,14 @@ def _rerank(dims: int, threshold: float) -> Callable:
                     a, b = a[near], b[near]
                     np.add.at(links, a, copies[b])
                     np.add.at(links, b, copies[a])
-                    _unite(root, a, b)
-            root = _roots(root)
+                    unite(root, a, b)
+            root = roots(root)
             some = links > 0
             yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(links[some]), pa.array(node[root[some]])], ["node", "links", "root"])
 
     return run
 
 
-def _roots(root: np.ndarray) -> np.ndarray:
-    while True:
-        up = root[root]
-        if np.array_equal(up, root):
-            return root
-        root = up
-
-
-def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Join rows a and b of a local forest until every pair has one root."""
-    while len(a):
-        root[:] = _roots(root)
-        ra, rb = root[a], root[b]
-        apart = ra != rb
-        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
-
-
 def usable(vector: Column, label: Column) -> Column:
     """Label and vector present, components all finite, at least one not zero."""
     v = vector.cast("array<double>")

@@ -86,12 +86,12 @@ named as (
     select page_id, host, path,
         regexp_replace(host, '^(www|m|blog)\.', '') || regexp_replace(path, '(/|\.html)$', '') stem,
         array_to_string(list_sort(list_filter(string_split(query, '&'),
-            x -> x <> '' and not regexp_matches(x, '^(utm_[^=]*|ref)(=|$)'))), '&') asked
+            lambda x: x <> '' and not regexp_matches(x, '^(utm_[^=]*|ref)(=|$)'))), '&') asked
     from parts),
 pages2 as (select page_id, host, path, stem || case when asked <> '' then '?' || asked else '' end canonical from named),
 unwanted as (
     select distinct canonical from pages2
-    where len(list_filter(string_split(host, '.'), x -> x in ({LISTED_SQL}))) > 0),
+    where len(list_filter(string_split(host, '.'), lambda x: x in ({LISTED_SQL}))) > 0),
 rules(verdict, h, p) as (values {RULES_SQL}),
 fits as (
     select distinct host, path, h || p as rule, verdict

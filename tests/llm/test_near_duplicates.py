@@ -118,9 +118,10 @@ def test_classes_match_brute_force(spark, corpus):
     assert {r.doc_id: r.class_id for r in got} == {i: want[t] for i, t in texts.items()}
 
 
-def test_few_pivots_reach_the_same_classes(spark, corpus, monkeypatch):
-    monkeypatch.setattr(bag, "PIVOTS", 1)
-    rows = corpus[-110:]
+def test_small_blocks_reach_the_same_classes(spark, corpus, monkeypatch):
+    monkeypatch.setattr(bag, "BLOCK", 16)
+    monkeypatch.setattr(bag, "COLUMNS", 100)
+    rows = corpus[-240:]
     want = plain_classes(rows)
     got = bag.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.class_id for r in got} == {i: want[t] for i, t in rows}
