@@ -233,7 +233,7 @@ def scored_feeders(impacts: DataFrame) -> DataFrame:
             F.sum("_s").alias("score"), F.sum(F.when(F.col("_s") > 0, 1).otherwise(0)).alias("scored_impacts")
         )
     )
-    limit = group_quantiles(cells, [], "score", {"q": SCORE_QUANTILE}, 0.5).agg(F.max("q"))
+    limit = group_quantiles(cells, [], "score", {"q": SCORE_QUANTILE}, 0.5, bounded=True).agg(F.max("q"))
     top = cells.where(F.round("score", 6) >= F.round(limit.scalar(), 6))
     counts = top.groupBy("cell_site", "cell_band").agg(F.count(F.lit(1)).alias("cell_occurrences"))
     sites = top.groupBy("cell_site").agg(F.sum("score").alias("site_score"))

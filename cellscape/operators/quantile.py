@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-HOT_GROUP_ROWS = 1_000_000
+#: Buckets of one width up to this many from zero; beyond, each is a thousandth wider than the one before.
+EVEN_BUCKETS = 1_000
 
 
 def group_quantiles(
@@ -15,30 +16,32 @@ def group_quantiles(
     value: str,
     quantiles: dict[str, float],
     width: float,
-    hot_rows: int = HOT_GROUP_ROWS,
+    bounded: bool | None = None,
 ) -> DataFrame:
     """Linear-interpolation quantiles of ``value`` per group, one column per entry of ``quantiles``.
 
-    Groups up to ``hot_rows`` rows use the built-in aggregate.  Larger ones are counted per
-    distinct value, located through a histogram of ``width`` wide buckets, and ranked only
-    inside the buckets that hold the wanted ranks, so no task sees a whole hot group.  A
-    count per group decides first whether there are any.
+    The key decides the way, never the data: groups of a lattice bin are bounded and use the built-in
+    aggregate (``bounded`` says so for other keys).  Groups of a cell, a band or everything may hold any share of
+    the rows; they are counted per distinct value, located through a histogram, and ranked only inside the buckets
+    that hold the wanted ranks.  Both ways give the same figures.
     """
     narrow = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    if bounded if bounded is not None else "ix" in keys:
+        return _plain_quantiles(narrow, keys, quantiles)
     by = keys or ["_all"]
     if not keys:
         narrow = narrow.withColumn("_all", F.lit(0))
-    sizes = narrow.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    hot_keys = sizes.where(F.col("_n") > hot_rows).drop("_n")
-    if hot_keys.isEmpty():
-        out = _plain_quantiles(narrow, by, quantiles)
-    else:
-        out = _plain_quantiles(narrow.join(hot_keys, by, "left_anti"), by, quantiles).unionByName(
-            _histogram_quantiles(narrow.join(hot_keys, by, "left_semi"), by, quantiles, width)
-        )
+    out = _histogram_quantiles(narrow, by, quantiles, width)
     return out if keys else out.drop("_all")
 
 
+def _bucket(value: Column, width: float) -> Column:
+    """Bucket number that grows with the value; few buckets also for values of any size."""
+    steps = value / width
+    beyond = F.floor(F.log(F.abs(steps) / EVEN_BUCKETS) * EVEN_BUCKETS) + EVEN_BUCKETS
+    return F.when(F.abs(steps) < EVEN_BUCKETS, F.floor(steps)).when(steps > 0, beyond).otherwise(-beyond - 1)
+
+
 def _plain_quantiles(df: DataFrame, by: list[str], quantiles: dict[str, float]) -> DataFrame:
     wanted = F.array(*[F.lit(p) for p in quantiles.values()])
     out = df.groupBy(*by).agg(F.percentile("_v", wanted).alias("_q"))
@@ -46,7 +49,7 @@ def _plain_quantiles(df: DataFrame, by: list[str], quantiles: dict[str, float])
 
 
 def _histogram_quantiles(df: DataFrame, by: list[str], quantiles: dict[str, float], width: float) -> DataFrame:
-    counted = df.groupBy(*by, F.floor(F.col("_v") / width).alias("_b"), "_v").agg(F.count(F.lit(1)).alias("_n"))
+    counted = df.groupBy(*by, _bucket(F.col("_v"), width).alias("_b"), "_v").agg(F.count(F.lit(1)).alias("_n"))
     in_order = Window.partitionBy(*by).orderBy("_b")
     histogram = counted.groupBy(*by, "_b").agg(F.sum("_n").alias("_bn"))
     histogram = histogram.select(
@@ -62,7 +65,7 @@ def _histogram_quantiles(df: DataFrame, by: list[str], quantiles: dict[str, floa
         histogram.withColumn("_w", F.explode(wanted))
         .withColumn("_lo", F.floor(rank))
         .withColumn("_hi", F.ceil(rank))
-        .withColumn("_frac", rank - F.floor(rank))
+        .withColumn("_rank", rank)
         .where((F.col("_before") <= F.col("_hi")) & (F.col("_before") + F.col("_bn") > F.col("_lo")))
     )
     inside = counted.join(located, [*by, "_b"])
@@ -76,9 +79,13 @@ def _histogram_quantiles(df: DataFrame, by: list[str], quantiles: dict[str, floa
     ends = ranked.groupBy(*by, F.col("_w.name").alias("_name")).agg(
         F.max(F.when(holds("_lo"), F.col("_v"))).alias("_vlo"),
         F.max(F.when(holds("_hi"), F.col("_v"))).alias("_vhi"),
-        F.max("_frac").alias("_frac"),
+        F.max("_lo").alias("_lo"),
+        F.max("_hi").alias("_hi"),
+        F.max("_rank").alias("_rank"),
     )
-    value = F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")
+    # the arithmetic of the built-in aggregate
+    between = (F.col("_hi") - F.col("_rank")) * F.col("_vlo") + (F.col("_rank") - F.col("_lo")) * F.col("_vhi")
+    value = F.when((F.col("_lo") == F.col("_hi")) | (F.col("_vlo") == F.col("_vhi")), F.col("_vlo")).otherwise(between)
     return ends.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == n, value)).alias(n) for n in quantiles])
 
 
@@ -90,7 +97,7 @@ def attach_percentile_range(df: DataFrame, columns: dict[str, float], low: float
 
     def add(acc: DataFrame, item) -> DataFrame:
         name, width = item
-        spread = group_quantiles(df, [], name, {"low": low, "high": high}, width)
+        spread = group_quantiles(df, [], name, {"low": low, "high": high}, width, bounded=True)  # one row per cell
         one = spread.agg(F.max(F.struct("low", "high")).alias("r"))
         return acc.withColumn(f"_p_{name}", one.scalar())
 
