@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cellscape.llm.common import text_of
+from cellscape.session import cut_lineage
 
 CACHE_SCHEMA = "tokenizer string, digest string, n_tokens long"
 #: Texts encoded in one call of the library.
@@ -80,5 +81,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, doc_id: str = "doc
     fresh = misses.select("digest", "__text").mapInArrow(count_texts(tokenizer), "digest string, n_tokens long")
     fresh.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
     slim = docs.select(F.col(doc_id).alias("doc_id"), digest.alias("digest"), F.octet_length(text_of(text)).cast("long").alias("n_bytes"))
-    counted = slim.join(stored_counts(spark, cache, version), "digest")
+    # written, so that the join below reads plain tables and a digest of many copies can be split
+    counted = slim.join(cut_lineage(stored_counts(spark, cache, version)), "digest")
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
