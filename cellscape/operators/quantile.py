@@ -49,9 +49,9 @@ def _plain_quantiles(df: DataFrame, by: list[str], quantiles: dict[str, float])
 
 
 def _histogram_quantiles(df: DataFrame, by: list[str], quantiles: dict[str, float], width: float) -> DataFrame:
-    counted = df.groupBy(*by, _bucket(F.col("_v"), width).alias("_b"), "_v").agg(F.count(F.lit(1)).alias("_n"))
+    placed = df.select(*by, _bucket(F.col("_v"), width).alias("_b"), "_v")
     in_order = Window.partitionBy(*by).orderBy("_b")
-    histogram = counted.groupBy(*by, "_b").agg(F.sum("_n").alias("_bn"))
+    histogram = placed.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_bn"))  # combined on the map side
     histogram = histogram.select(
         *by,
         "_b",
@@ -68,7 +68,8 @@ def _histogram_quantiles(df: DataFrame, by: list[str], quantiles: dict[str, floa
         .withColumn("_rank", rank)
         .where((F.col("_before") <= F.col("_hi")) & (F.col("_before") + F.col("_bn") > F.col("_lo")))
     )
-    inside = counted.join(located, [*by, "_b"])
+    # only rows of the wanted buckets are kept, and equal values are counted before they are ranked
+    inside = placed.join(located, [*by, "_b"]).groupBy(*by, "_b", "_w", "_before", "_lo", "_hi", "_rank", "_v").agg(F.count(F.lit(1)).alias("_n"))
     running = Window.partitionBy(*by, "_b", "_w.name").orderBy("_v")
     start = F.col("_before") + F.sum("_n").over(running) - F.col("_n")
     ranked = inside.withColumn("_start", start).withColumn("_end", F.col("_start") + F.col("_n"))
