@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from cellscape.llm.groups import roots, unite, whole_groups
+from cellscape.llm.urls import BROADCAST_BLOCKS, build_filter, possible_hits
 from cellscape.operators.components import connected_components
 from cellscape.session import cut_lineage
 
@@ -249,6 +250,12 @@ def _alike(shared: np.ndarray, size: np.ndarray, threshold: float) -> np.ndarray
     return out
 
 
+def _perhaps(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose key a Bloom filter of bounded size may hold, so that the exact join that follows shuffles little else."""
+    blocks, n = build_filter(wanted.select(key), key, BROADCAST_BLOCKS)
+    return possible_hits(rows, key, cut_lineage(blocks), n)
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = SIMILAR) -> DataFrame:
     """One row per non-null text row: doc_id, node (digest of the text), class_id.
 
@@ -263,11 +270,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     short = F.xxhash64("node").alias("short")
     rows = signed.select(short, F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.min("short").alias("least"), F.max("short").alias("most")).where("least <> most")
-    stars = rows.join(shared.select("key", "least"), "key").select("short", "least").distinct()
+    shared = cut_lineage(shared.select("key", "least"))
+    stars = _perhaps(rows, "key", shared).join(shared, "key").select("short", "least").distinct()
     families = connected_components(stars.select(F.col("short").alias("src"), F.col("least").alias("dst")))
     families = cut_lineage(families.select(F.col("node").alias("short"), F.col("component").alias("family")))
 
-    texts = slim.select("node", "text", short).join(families, "short").groupBy("node").agg(F.first("family").alias("family"), F.first("text").alias("text"))
+    texts = _perhaps(slim.select("node", "text", short), "short", families).join(families, "short").groupBy("node").agg(F.first("family").alias("family"), F.first("text").alias("text"))
     texts = cut_lineage(texts)
     sizes = texts.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
     dealt = texts.join(sizes.where("n > 1"), "family")
@@ -280,7 +288,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     owned = signed.groupBy("node").agg(F.min("doc_id").alias("first"))
     labelled = owned.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.groupBy("component").agg(F.min("first").alias("class_id"))
-    classes = labelled.join(least, "component").select("node", "class_id")
+    classes = cut_lineage(labelled.join(least, "component").select("node", "class_id"))
     known = signed.select("doc_id", "node").join(classes, "node").select("doc_id", "node", "class_id")
     alone = docs.where(F.col(text).isNull()).select(F.col(doc_id).cast("long").alias("doc_id"))
     return known.unionByName(alone.select("doc_id", F.lit(None).cast("binary").alias("node"), F.col("doc_id").alias("class_id")))

@@ -65,10 +65,14 @@ def _place(key: Column, blocks: int) -> dict[str, Column]:
     return {"__block": F.pmod(h, F.lit(blocks))} | {f"__b{j}": word(j) for j in range(WORDS)}
 
 
-def build_filter(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
-    """Blocks of the filter over distinct ``keys``: __block and eight 32-bit words; and their number."""
+def build_filter(keys: DataFrame, key: str, most: int | None = None) -> tuple[DataFrame, int]:
+    """Blocks of the filter over distinct ``keys``: __block and eight 32-bit words; and their number, at most ``most``.
+
+    A filter that would need more blocks passes more false hits, but never loses a key.
+    """
     listed = max(1, keys.agg(F.count_distinct(key)).first()[0])
     blocks = max(1, math.ceil(listed * BITS_PER_KEY / (32 * WORDS)))
+    blocks = blocks if most is None else min(blocks, most)
     placed = keys.where(F.col(key).isNotNull()).select(*[c.alias(n) for n, c in _place(F.col(key), blocks).items()])
     return placed.groupBy("__block").agg(*[F.bit_or(f"__b{j}").alias(f"__w{j}") for j in range(WORDS)]), blocks
 
