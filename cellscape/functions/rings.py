@@ -26,7 +26,18 @@ def let(value: Column, body) -> Column:
 
 def parse_wkt_polygon(wkt: Column) -> Column:
     """Outer ring of a WKT POLYGON; null for anything else."""
-    body = F.regexp_extract(wkt, r"(?i)^\s*POLYGON\s*Z?\s*\(\s*\(([^()]*)\)", 1)
+    return _ring_of(F.regexp_extract(wkt, r"(?i)^\s*POLYGON\s*Z?\s*\(\s*\(([^()]*)\)", 1))
+
+
+def parse_wkt_polygons(wkt: Column) -> Column:
+    """Outer rings of a WKT POLYGON or MULTIPOLYGON; null for anything else, also if one of the rings is broken."""
+    bodies = F.regexp_extract_all(wkt, F.lit(r"\(\s*\(([^()]*)\)"), 1)
+    found = F.transform(bodies, _ring_of)
+    good = wkt.rlike(r"(?i)^\s*(MULTI)?POLYGON\b") & (F.size(found) > 0) & F.forall(found, lambda r: r.isNotNull())
+    return F.when(good, found)
+
+
+def _ring_of(body: Column) -> Column:
     points = F.transform(F.split(F.trim(body), r"\s*,\s*"), lambda p: F.split(F.trim(p), r"\s+"))
     ring = F.transform(
         points,
@@ -36,6 +47,23 @@ def parse_wkt_polygon(wkt: Column) -> Column:
     return F.when((body != "") & good, ring)
 
 
+def parse_geojson_polygons(text: Column) -> Column:
+    """Outer rings of all Polygons and MultiPolygons of a GeoJSON geometry, Feature or FeatureCollection; null for other text."""
+    shape = "struct<type:string,coordinates:string>"
+    doc = F.from_json(text, f"type string, coordinates string, geometry {shape}, features array<struct<geometry:{shape}>>")
+    own = F.array(F.struct(doc["type"].alias("type"), doc["coordinates"].alias("coordinates")), doc["geometry"])
+    every = F.concat(own, F.coalesce(F.transform(doc["features"], lambda f: f["geometry"]), F.array().cast(f"array<{shape}>")))
+    points = lambda polygon: F.transform(polygon[0], lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat")))
+    none = F.array().cast(f"array<{RING_TYPE}>")
+
+    def outer(g: Column) -> Column:
+        single, several = F.from_json(g["coordinates"], "array<array<array<double>>>"), F.from_json(g["coordinates"], "array<array<array<array<double>>>>")
+        return F.coalesce(F.when(g["type"] == "Polygon", F.array(points(single))).when(g["type"] == "MultiPolygon", F.transform(several, points)), none)
+
+    found = F.filter(F.flatten(F.transform(every, outer)), lambda r: r.isNotNull())
+    return F.when(F.size(found) > 0, found)
+
+
 def parse_geojson_polygon(text: Column) -> Column:
     """Outer ring of a GeoJSON Polygon geometry or of a feature holding one."""
     coordinates = F.coalesce(

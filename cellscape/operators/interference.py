@@ -32,7 +32,9 @@ def band_gap(band: Column) -> Column:
 
 
 def renormalise_shares(coverage: DataFrame) -> DataFrame:
-    """Event shares that add up to one per bin of a band."""
+    """Event shares that add up to one per bin of a band; a table without shares stays as it is."""
+    if "perc_grid_events" not in coverage.columns:
+        return coverage
     totals = coverage.groupBy(*KEY).agg(F.sum("perc_grid_events").alias("_t"))
     out = coverage.join(totals, KEY)
     return out.withColumn("perc_grid_events", ratio(F.col("perc_grid_events"), F.col("_t"))).drop("_t")
@@ -41,8 +43,11 @@ def renormalise_shares(coverage: DataFrame) -> DataFrame:
 def close_to_strongest(coverage: DataFrame, p: Interference = Interference()) -> DataFrame:
     """Good rows within the band's gap of the strongest row of their bin."""
     rows = renormalise_shares(coverage)
-    if not p.perceived:
-        rows = rows.where((F.col("event_count") >= p.min_events) & (F.round("perc_grid_events", 9) >= p.min_share))
+    if not p.perceived:  # both columns are optional
+        if "event_count" in rows.columns:
+            rows = rows.where(F.col("event_count") >= p.min_events)
+        if "perc_grid_events" in rows.columns:
+            rows = rows.where(F.round("perc_grid_events", 9) >= p.min_share)
     best = rows.groupBy(*KEY).agg(F.max("avg_rsrp").alias("max_rsrp"))
     rows = rows.join(best, KEY).withColumn("rsrp_dist_max", F.round(F.col("max_rsrp") - F.col("avg_rsrp"), 6))
     return rows.where(F.col("rsrp_dist_max") <= band_gap(F.col("band")))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import datetime
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cellscape.functions import lattice
 from cellscape.params import OvershootChecks, UndershootChecks
 
 
@@ -79,12 +81,13 @@ def issue_totals(issues: DataFrame) -> DataFrame:
     return issues.groupBy("severity", "rule").agg(F.count(F.lit(1)).alias("issues"), F.countDistinct("cell_name").alias("cells"))
 
 
-def coverage_quality(coverage: DataFrame, max_age_days: int = 7) -> DataFrame:
-    """One row: geohash lengths seen and age of the newest measurement."""
+def coverage_quality(coverage: DataFrame, day: datetime.date, max_age_days: int = 7) -> DataFrame:
+    """One row: geohash lengths seen, rows that no bin can hold, and age of the newest measurement on ``day``."""
     measures = [F.count(F.lit(1)).alias("rows")]
     if "grid" in coverage.columns:
         measures += [F.countDistinct(F.length("grid")).alias("grid_lengths"), F.min(F.length("grid")).alias("shortest_grid")]
+        measures.append(F.sum(F.when(F.col("grid").isNull() | lattice.decode(F.col("grid")).isNull(), 1).otherwise(0)).alias("rejected_grids"))
     if "ts" in coverage.columns:
         newest = F.max(F.try_to_timestamp(F.col("ts").cast("string")))
-        measures += [newest.alias("newest"), (F.datediff(F.current_timestamp(), newest) > max_age_days).alias("stale")]
+        measures += [newest.alias("newest"), (F.datediff(F.lit(day), newest) > max_age_days).alias("stale")]
     return coverage.agg(*measures)

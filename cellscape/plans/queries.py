@@ -893,4 +893,4 @@ def cell_bin_documents(spark, sf):
 @query
 def coverage_quality(spark, sf):
     cov = tables.coverage(spark, sf).withColumn("grid", lattice.encode(F.col("ix"), F.col("iy")))
-    return validate.coverage_quality(cov)
+    return validate.coverage_quality(cov, DAY)

@@ -35,7 +35,7 @@ def canonical(df: DataFrame, table: str) -> DataFrame:
 
 
 def with_lattice(coverage: DataFrame) -> DataFrame:
-    """Bin coordinates and centre from the geohash; rows with an undecodable one are dropped."""
+    """Bin coordinates and centre from the geohash; rows with an undecodable one are dropped (``rejected_grids`` counts them)."""
     if not {"ix", "iy"} <= set(coverage.columns):
         coverage = coverage.withColumn("_b", lattice.decode(F.col("grid"))).where(F.col("_b").isNotNull())
         coverage = coverage.withColumns({"ix": F.col("_b.ix"), "iy": F.col("_b.iy")}).drop("_b")
@@ -44,6 +44,12 @@ def with_lattice(coverage: DataFrame) -> DataFrame:
     return coverage
 
 
+def rejected_grids(coverage: DataFrame) -> DataFrame:
+    """Geohashes that ``with_lattice`` cannot place, with their rows."""
+    bad = coverage.where(F.col("grid").isNull() | lattice.decode(F.col("grid")).isNull())
+    return bad.groupBy("grid").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def _read(spark: SparkSession, folder: str, table: str, kind: str) -> DataFrame:
     problem: Exception | None = None
     for name in FILES[table]:
@@ -68,7 +74,8 @@ def load_gis(spark: SparkSession, folder: str, kind: str = "csv", on_air_only: b
 
 
 def with_rings(hulls: DataFrame) -> DataFrame:
-    return hulls.withColumn("ring", rings.parse_wkt_polygon(F.col("wkt"))).drop("wkt").where(F.col("ring").isNotNull())
+    """One row per outer ring: a cell with a MULTIPOLYGON has several."""
+    return hulls.withColumn("ring", F.explode(rings.parse_wkt_polygons(F.col("wkt")))).drop("wkt")
 
 
 def load_hulls(spark: SparkSession, folder: str, kind: str = "csv") -> DataFrame:
@@ -88,10 +95,18 @@ def load_relations(spark: SparkSession, folder: str, kind: str = "csv", gis: Dat
 
 
 def load_boundary(spark: SparkSession, path: str) -> DataFrame:
-    """Boundary polygons from text lines of WKT or GeoJSON."""
-    lines = spark.read.text(path)
-    ring = F.coalesce(rings.parse_wkt_polygon(F.col("value")), rings.parse_geojson_polygon(F.col("value")))
-    return lines.select(ring.alias("ring")).where(F.col("ring").isNotNull())
+    """Boundary polygons: a GeoJSON document over any number of lines, or lines of WKT or GeoJSON.
+
+    A file without any polygon is an error, because clipping to it would remove everything.
+    """
+    files = spark.read.text(path, wholetext=True)  # boundaries are small
+    line = F.explode(F.split("value", r"\r?\n")).alias("line")
+    of_lines = files.select("value", line).select(F.explode(F.coalesce(rings.parse_wkt_polygons(F.col("line")), rings.parse_geojson_polygons(F.col("line")))).alias("ring"))
+    of_files = files.select(F.explode(rings.parse_geojson_polygons(F.col("value"))).alias("ring"))
+    for found in (of_lines, of_files):
+        if not found.isEmpty():
+            return found
+    raise ValueError(f"boundary: no polygon in {path}")
 
 
 def load_jdbc(

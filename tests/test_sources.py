@@ -110,3 +110,32 @@ def test_partition_count_does_not_matter(spark, name):
 
 def test_every_statement_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
+
+
+def test_every_polygon_is_read(spark, tmp_path):
+    square = lambda x: [[x, 0.0], [x + 1, 0.0], [x + 1, 1.0], [x, 0.0]]
+    multi = {"type": "MultiPolygon", "coordinates": [[square(0), square(0.2)], [square(5)]]}
+    collection = {"type": "FeatureCollection", "features": [
+        {"type": "Feature", "properties": {}, "geometry": multi}, {"type": "Feature", "properties": {}, "geometry": {"type": "Polygon", "coordinates": [square(9)]}},
+        {"type": "Feature", "properties": {}, "geometry": None},
+    ]}
+    for text, rings_there in (
+        (json.dumps(collection, indent=2), 3), (json.dumps(collection), 3), (json.dumps(multi), 2), (json.dumps(collection["features"][1], indent=1), 1),
+        ("MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0), (0.1 0, 0.2 0, 0.2 0.1, 0.1 0)), ((5 0, 6 0, 6 1, 5 0)))\nPOLYGON ((0 0, 1 0, 1 1, 0 0), (0.1 0, 0.2 0, 0.2 0.1, 0.1 0))", 3),
+    ):
+        path = str(tmp_path / f"b{abs(hash(text))}.txt")
+        write(path, text)
+        got = readers.load_boundary(spark, path).collect()
+        assert len(got) == rings_there and all(len(r.ring) == 4 for r in got)
+    empty = str(tmp_path / "none.txt")
+    write(empty, "no polygon here\n")
+    with pytest.raises(ValueError):
+        readers.load_boundary(spark, empty)
+    hulls = spark.createDataFrame([("a", "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)), ((5 0, 6 0, 6 1, 5 0)))"), ("b", "POINT (1 1)"), ("c", None)], "cell_name string, wkt string")
+    assert [r.cell_name for r in readers.with_rings(hulls).collect()] == ["a", "a"]
+
+
+def test_rejected_geohashes_are_counted(spark):
+    df = spark.createDataFrame([("gc7x9r7",), ("gc7x9ra",), ("gc7",), (None,), ("gc7",)], "grid string")
+    assert readers.with_lattice(df).count() == 1
+    assert {r.grid: r.rows for r in readers.rejected_grids(df).collect()} == {"gc7x9ra": 1, "gc7": 2, None: 1}
