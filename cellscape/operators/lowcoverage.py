@@ -7,9 +7,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cellscape.functions import antenna, text
-from cellscape.functions.scoring import clip, range_score, ratio, severity_category
+from cellscape.functions.scoring import clip, range_score, severity_category
 from cellscape.operators.environment import attach_environment
-from cellscape.operators.outline import clip_regions, cluster_bins, drop_slivers, region_outlines, region_summary
+from cellscape.operators.outline import clip_regions, clip_to_boundary, cluster_bins, drop_slivers, region_outlines, region_summary
 from cellscape.operators.ring import ring_totals
 from cellscape.operators.spatial import cover_centres, radius_join
 from cellscape.params import (
@@ -159,7 +159,7 @@ def detect_low_coverage(
     members = cut_lineage(served.select(*CLUSTER, "cell_name").distinct().join(regions.select(*CLUSTER), CLUSTER, "left_semi"))
     names = listed_cells(members, p).groupBy(*CLUSTER).agg(F.array_join(F.array_sort(F.collect_list("cell_name")), ",").alias("serving_cells"))
     clusters = severity(regions, members, rows, p).join(names, CLUSTER, "left")
-    return LowCoverageFindings(clusters, bins, members)
+    return LowCoverageFindings(clusters, bins if boundary is None else clip_to_boundary(bins, boundary), members)
 
 
 def server_count_distribution(coverage: DataFrame) -> DataFrame:
