@@ -18,6 +18,7 @@ from cellscape.session import cut_lineage
 BASE_SCORE = {"exact": 0.35, "mod3": 0.05, "mod30": 0.0}
 ONE_HOP_SCORE, TWO_HOP_EXACT_SCORE, TRAFFIC_SCORE, TWO_HOP_SEVERITY = 0.15, 0.10, 0.35, 0.25
 GROUP = ["serving", "band", "pci"]
+STEP_PIECE = 1_000
 
 
 class Network(NamedTuple):
@@ -94,19 +95,48 @@ def one_hop_pairs(net: Network, p: PciPlan = PciPlan()) -> DataFrame:
     ).agg(F.max(log1p_safe(F.col("act_ho"))).alias("w"))
 
 
-def two_hop_pairs(net: Network, direct: DataFrame, p: PciPlan = PciPlan()) -> DataFrame:
-    """Weights of pairs linked through a common neighbour, for pairs that can collide.
-
-    Only pairs on one band with equal identities, or on one site with equal remainders,
-    ever matter, so that test is part of the join key: a hub does not pair all its
-    neighbours, and every emitted path belongs to a reported pair.
-    """
+def _steps(net: Network, direct: DataFrame, p: PciPlan) -> DataFrame:
+    """Directed near edges (x, y) with the positive weight of their pair."""
     near = net.edges.where(F.col("distance") <= p.max_distance_m).select("serving", "neighbour")
     weight = direct.where(F.col("w") > 0)
     both = weight.select(F.col("a").alias("x"), F.col("b").alias("y"), "w").unionByName(
         weight.select(F.col("b").alias("x"), F.col("a").alias("y"), "w")
     )
-    steps = near.toDF("x", "y").join(both, ["x", "y"])
+    return near.toDF("x", "y").join(both, ["x", "y"])
+
+
+def two_hop_pairs(net: Network, direct: DataFrame, p: PciPlan = PciPlan(), piece: int = STEP_PIECE) -> DataFrame:
+    """Weights of all pairs linked through a common neighbour, without a limit on their number.
+
+    Steps into and out of a cell are cut into pieces of about ``piece`` rows; a pair of
+    pieces is a join key of its own, so no task holds all paths of a hub.
+    """
+    steps = cut_lineage(_steps(net, direct, p))
+
+    def pieces(side: str, name: str) -> DataFrame:
+        return steps.groupBy(F.col(side).alias("k")).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(piece))).cast("int").alias(name))
+
+    sizes = cut_lineage(pieces("y", "_into").join(pieces("x", "_from"), "k"))
+    first = steps.toDF("i", "k", "wi").join(sizes, "k").select(
+        "i", "k", "wi", F.pmod(F.xxhash64("i"), "_into").cast("int").alias("_p"), F.explode(F.sequence(F.lit(0), F.col("_from") - 1)).alias("_q")
+    )
+    second = steps.toDF("k", "j", "wj").join(sizes, "k").select(
+        "j", "k", "wj", F.explode(F.sequence(F.lit(0), F.col("_into") - 1)).alias("_p"), F.pmod(F.xxhash64("j"), "_from").cast("int").alias("_q")
+    )
+    paths = first.join(second, ["k", "_p", "_q"]).where(F.col("i") != F.col("j"))
+    return paths.groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(
+        F.sum(p.two_hop_factor * F.least("wi", "wj")).alias("w")
+    )
+
+
+def colliding_two_hop_pairs(net: Network, direct: DataFrame, p: PciPlan = PciPlan()) -> DataFrame:
+    """The rows of :func:`two_hop_pairs` whose pair can collide.
+
+    Only pairs on one band with equal identities, or on one site with equal remainders,
+    can, so that test is part of the join key: a hub does not pair all its neighbours,
+    and every emitted path belongs to a reported pair.
+    """
+    steps = _steps(net, direct, p)
     nodes = net.nodes
     first = steps.toDF("i", "k", "wi").join(nodes.select(F.col("cell").alias("i"), "band", "pci", "site"), "i")
     second = steps.toDF("k", "j", "wj").join(
@@ -138,13 +168,25 @@ def two_hop_pairs(net: Network, direct: DataFrame, p: PciPlan = PciPlan()) -> Da
     )
 
 
+def _summed(direct: DataFrame, two_hop: DataFrame | None) -> DataFrame:
+    parts = direct if two_hop is None else direct.unionByName(two_hop)
+    return parts.groupBy("a", "b").agg(F.sum("w").alias("pair_weight"))
+
+
 def pair_weights(net: Network, p: PciPlan = PciPlan()) -> DataFrame:
-    """Direct pairs plus two-hop pairs that can collide, with the summed weight."""
+    """All direct and two-hop pairs with the summed weight."""
     direct = one_hop_pairs(net, p)
-    parts = direct.withColumn("hop", F.lit(1))
-    if p.two_hop_factor > 0:
-        parts = parts.unionByName(two_hop_pairs(net, direct, p).withColumn("hop", F.lit(2)))
-    return parts.groupBy("a", "b").agg(F.sum("w").alias("pair_weight"))
+    return _summed(direct, two_hop_pairs(net, direct, p) if p.two_hop_factor > 0 else None)
+
+
+def collision_weights(net: Network, p: PciPlan = PciPlan()) -> DataFrame:
+    """Weights that are whole for pairs that can collide.
+
+    Other pairs are listed only if they are direct, with their direct weight alone; see
+    :func:`pair_weights` for the whole table.
+    """
+    direct = one_hop_pairs(net, p)
+    return _summed(direct, colliding_two_hop_pairs(net, direct, p) if p.two_hop_factor > 0 else None)
 
 
 def _p95_scale(df: DataFrame, column: str, width: float) -> Column:
@@ -193,7 +235,7 @@ def detect_collisions(net: Network, p: PciPlan = PciPlan(), ignore: list[int] |
     def node(side: str) -> DataFrame:
         return net.nodes.select(F.col("cell").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("pci", "band", "site")])
 
-    pairs = pair_weights(net, p).join(node("a"), "a").join(node("b"), "b")
+    pairs = collision_weights(net, p).join(node("a"), "a").join(node("b"), "b")
     pairs = pairs.where((F.col("band_a") == F.col("band_b")) & (F.col("pci_a") >= 0) & (F.col("pci_b") >= 0))
     if ignore:
         pairs = pairs.where(~F.col("pci_a").isin(ignore) & ~F.col("pci_b").isin(ignore))

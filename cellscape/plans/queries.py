@@ -454,6 +454,12 @@ def pci_edges(spark, sf):
 
 @query
 def pci_pairs(spark, sf):
+    """As its SQL twin: two-hop weights of pairs that can collide only; ``pci_all_pairs`` has them all."""
+    return rounded(pci.collision_weights(_network(spark, sf), PLAN), 4)
+
+
+@query
+def pci_all_pairs(spark, sf):
     return rounded(pci.pair_weights(_network(spark, sf), PLAN), 4)
 
 
