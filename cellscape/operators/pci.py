@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cellscape.functions import text
 from cellscape.functions.scoring import clip, log1p_safe, ratio, severity_category
-from cellscape.operators.chunks import chunked_lists
 from cellscape.operators.components import connected_components
 from cellscape.operators.quantile import group_quantiles
 from cellscape.params import PciPlan
@@ -205,9 +204,8 @@ def confusion_members(net: Network, ignore: list[int] | None = None) -> DataFram
     return rows.join(groups, GROUP)
 
 
-def detect_confusions(net: Network, ignore: list[int] | None = None) -> DataFrame:
-    """One row per confusion; very long neighbour lists continue in further chunks."""
-    members = confusion_members(net, ignore)
+def score_confusions(members: DataFrame) -> DataFrame:
+    """One scored row per confusion, without its members."""
     groups = members.groupBy(*GROUP, "group_size").agg(
         (F.sum("act_ho") - F.max("act_ho")).alias("severity_act_sum_excl_max"),
         F.min("act_ho").alias("min_act"),
@@ -217,10 +215,17 @@ def detect_confusions(net: Network, ignore: list[int] | None = None) -> DataFram
     bonus = clip((F.col("group_size") - 2) * 0.1, 0.0, 0.3)
     base = clip(F.col("severity_act_sum_excl_max") / _p95_scale(groups, "severity_act_sum_excl_max", 1.0))
     scored = groups.withColumn("severity_score", clip(base + bonus))
-    scored = scored.withColumn("severity_category", severity_category(F.col("severity_score")))
-    lists = chunked_lists(members, GROUP, "neighbour", "neighbours").drop("n_neighbours")
-    out = scored.join(lists, GROUP).withColumn("neighbors", F.array_join("neighbours", ","))
-    return out.drop("neighbours").withColumnRenamed("pci", "confusion_pci")
+    return scored.withColumn("severity_category", severity_category(F.col("severity_score")))
+
+
+def detect_confusions(net: Network, ignore: list[int] | None = None) -> DataFrame:
+    """One row per confusion with the names of all its neighbours.
+
+    :func:`confusion_members` has the neighbours as rows, :func:`score_confusions` no names.
+    """
+    members = confusion_members(net, ignore)
+    names = members.groupBy(*GROUP).agg(F.array_join(F.array_sort(F.collect_list("neighbour")), ",").alias("neighbors"))
+    return score_confusions(members).join(names, GROUP).withColumnRenamed("pci", "confusion_pci")
 
 
 def intra_site_pairs(net: Network) -> DataFrame:
@@ -349,7 +354,7 @@ def apply_blacklist(relations: DataFrame, decisions: DataFrame, p: PciPlan = Pci
 def planning_summary(confusions: DataFrame, collisions: DataFrame, decisions: DataFrame) -> DataFrame:
     """Counts per kind of finding."""
     parts = [
-        confusions.where(F.col("chunk") == 0).groupBy(F.lit("confusion").alias("kind"), F.col("severity_category").alias("detail")).count(),
+        confusions.groupBy(F.lit("confusion").alias("kind"), F.col("severity_category").alias("detail")).count(),
         collisions.groupBy(F.concat_ws("_", F.lit("collision"), "conflict_type").alias("kind"), F.col("hop_type").alias("detail")).count(),
         decisions.groupBy(F.lit("blacklist").alias("kind"), F.col("reason").alias("detail")).count(),
     ]

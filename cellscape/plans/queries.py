@@ -465,7 +465,13 @@ def pci_all_pairs(spark, sf):
 
 @query
 def pci_confusions(spark, sf):
-    return rounded(pci.detect_confusions(_network(spark, sf)).drop("chunk"), 4)
+    return rounded(pci.detect_confusions(_network(spark, sf)), 4)
+
+
+@query
+def pci_confusion_members(spark, sf):
+    out = pci.confusion_members(_network(spark, sf))
+    return rounded(out.select("serving", "band", F.col("pci").alias("confusion_pci"), "neighbour", "act_ho", "group_size"), 4)
 
 
 @query
@@ -497,7 +503,7 @@ def cosector_groups(spark, sf):
 @query
 def pci_summary(spark, sf):
     net = _network(spark, sf)
-    found = pci.planning_summary(pci.detect_confusions(net), pci.detect_collisions(net, PLAN), pci.suggest_blacklist(net, PLAN))
+    found = pci.planning_summary(pci.score_confusions(pci.confusion_members(net)), pci.detect_collisions(net, PLAN), pci.suggest_blacklist(net, PLAN))
     return found
 
 

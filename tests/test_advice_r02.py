@@ -30,3 +30,14 @@ def test_pair_weights_hold_every_two_hop_pair(spark):
     assert got == pytest.approx(want) and len(got) == 78
     pieces = {(r.a, r.b): r.w for r in pci.two_hop_pairs(net, pci.one_hop_pairs(net), piece=4).collect()}
     assert pieces == pytest.approx(dict(w2))
+
+
+def test_one_row_per_confusion_of_any_size(spark):
+    """10,050 neighbours with one identity are one confusion with all their names."""
+    many = spark.range(10_050).selectExpr("'S1' cell_name", "format_string('N%05d1', id) to_cell_name", "0 pci", "7 to_pci", "'L800' band", "'L800' to_band", "1D weight", "10D distance", "'n' intra_site", "'n' intra_cell")
+    few = spark.createDataFrame([("T1", f"N0000{i}1", 0, 7, "L800", "L800", 1.0, 10.0, "n", "n") for i in range(2)], RELATIONS)
+    net = pci.build_network(many.unionByName(few))
+    got = {r.serving: r for r in pci.detect_confusions(net).collect()}
+    assert len(got) == pci.detect_confusions(net).count() == 2
+    assert got["S1"].group_size == 10_050 and got["S1"].neighbors.split(",") == [f"N{i:05d}1" for i in range(10_050)]
+    assert "chunk" not in pci.detect_confusions(net).columns
