@@ -15,35 +15,48 @@ from cellscape.operators.components import connected_components
 from cellscape.session import cut_lineage
 
 DEGREE_M = EARTH_RADIUS_M * math.pi / 180
-MAX_LAT = 89.0
+MAX_COLUMNS = 720
 RING = ArrayType(StructType().add("lon", DoubleType()).add("lat", DoubleType()))
 
 
-def _lon_width(row: Column, height_deg: float) -> Column:
-    """Bucket width in degrees of longitude for a latitude row, at least ``height_deg`` on the ground."""
-    highest = F.greatest(F.abs(row * height_deg), F.abs((row + 1) * height_deg))
-    return height_deg / F.cos(F.radians(F.least(highest, F.lit(MAX_LAT))))
+def _columns(row: Column, height_deg: float) -> Column:
+    """Number of buckets round the globe in a latitude row, each at least ``height_deg`` wide on the ground; 1 at a pole."""
+    highest = F.least(F.greatest(F.abs(row * height_deg), F.abs((row + 1) * height_deg)), F.lit(90.0))
+    return F.greatest(F.floor(360.0 / height_deg * F.cos(F.radians(highest))), F.lit(1)).cast("long")
+
+
+def _lon_span(lat: Column, reach_deg: Column | float) -> Column:
+    """Degrees of longitude that a circle can reach to either side; 180 if it holds a pole."""
+    far = F.abs(lat) + reach_deg
+    return F.when(far < 90.0, F.least(reach_deg / F.cos(F.radians(far)), F.lit(180.0))).otherwise(180.0)
+
+
+def _column(lon: Column, columns: Column) -> Column:
+    """Bucket of a longitude; the last one borders on the first."""
+    return F.pmod(F.floor((lon + 180.0) * columns / 360.0), columns)
+
+
+def _columns_near(lon: Column, span: Column, columns: Column) -> Column:
+    """Buckets, each once, that lie within ``span`` degrees of a longitude."""
+    first = F.floor((lon + 180.0 - span) * columns / 360.0)
+    last = F.least(F.floor((lon + 180.0 + span) * columns / 360.0), first + columns - 1)
+    return F.transform(F.sequence(first, last), lambda x: F.pmod(x, columns))
 
 
 def radius_join(left: DataFrame, right: DataFrame, radius_m: float, keys: list[str] | None = None) -> DataFrame:
     """Pairs within ``radius_m``; both sides carry lat/lon as (llat, llon) and (rlat, rlon).
 
     Right rows sit in one bucket as wide as the radius; left rows visit the buckets their
-    circle can touch, so the join is an equi-join on small buckets.  Adds ``distance_m``.
+    circle can touch, also across the antimeridian and a pole, so the join is an equi-join
+    on small buckets.  Adds ``distance_m``.
     """
     keys = keys or []
     h = radius_m / DEGREE_M * 1.0001
     row = F.floor(F.col("rlat") / h)
-    right = right.withColumn("_by", row).withColumn("_bx", F.floor(F.col("rlon") / _lon_width(row, h)))
+    right = right.withColumn("_by", row).withColumn("_bx", _column(F.col("rlon"), _columns(row, h)))
     own = F.floor(F.col("llat") / h)
-    far = F.least(F.abs(F.col("llat")) + h, F.lit(MAX_LAT))
-    span = h / F.cos(F.radians(far))
     left = left.withColumn("_by", F.explode(F.sequence(own - 1, own + 1)))
-    width = _lon_width(F.col("_by"), h)
-    left = left.withColumn(
-        "_bx",
-        F.explode(F.sequence(F.floor((F.col("llon") - span) / width), F.floor((F.col("llon") + span) / width))),
-    )
+    left = left.withColumn("_bx", F.explode(_columns_near(F.col("llon"), _lon_span(F.col("llat"), h), _columns(F.col("_by"), h))))
     pairs = left.join(right, [*keys, "_by", "_bx"])
     distance = haversine_m(F.col("llat"), F.col("llon"), F.col("rlat"), F.col("rlon"))
     return pairs.withColumn("distance_m", distance).where(F.col("distance_m") <= radius_m).drop("_bx", "_by")
@@ -65,44 +78,55 @@ def knn_join(
     counts gives each query the finest level whose 3x3 block already holds k points; that
     bounds the k-th distance, hence the buckets to search.  A dense bucket is visited only
     by the few queries too sparse for the next finer level, so pair counts stay linear.
-    ``metric`` is haversine metres or "planar" degrees; adds ``distance`` and ``rank``.
+    ``metric`` is haversine metres, where bucket columns go round the globe, or "planar"
+    degrees; adds ``distance`` and ``rank``.
     """
-    keys = keys or []
+    keys, globe = keys or [], metric == "haversine"
     levels = 1 + math.ceil(math.log(360.0 / finest_deg, step))
     level_ids = F.sequence(F.lit(0), F.lit(levels - 1))
     size = F.lit(finest_deg) * F.pow(F.lit(float(step)), F.col("_l"))
+    columns = F.greatest(F.floor(360.0 / size), F.lit(1)).cast("long")
+    reach = size * (2 * math.sqrt(2) + 1e-6)
+    if globe:  # buckets of a whole number of columns can be wider than high
+        reach = 2 * F.sqrt(size * size + F.pow(360.0 / columns, 2)) * (1 + 1e-6)
 
     def bucketed(df: DataFrame, lat: str, lon: str) -> DataFrame:
         df = df.withColumn("_l", F.explode(level_ids))
-        return df.withColumn("_by", F.floor(F.col(lat) / size)).withColumn("_bx", F.floor(F.col(lon) / size))
+        return df.withColumn("_by", F.floor(F.col(lat) / size)).withColumn("_bx", _column(F.col(lon), columns) if globe else F.floor(F.col(lon) / size))
 
     around = F.sequence(F.lit(-1), F.lit(1))
+    beside = F.transform(around, lambda d: F.col("_bx") + d)
+    if globe:
+        beside = F.array_distinct(F.transform(beside, lambda x: F.pmod(x, columns)))
     placed = bucketed(points, "rlat", "rlon")
     counts = placed.groupBy(*keys, "_l", "_by", "_bx").agg(F.count(F.lit(1)).alias("_c"))
     blocks = (
         counts.withColumn("_dy", F.explode(around))
-        .withColumn("_dx", F.explode(around))
-        .groupBy(*keys, "_l", (F.col("_by") + F.col("_dy")).alias("_by"), (F.col("_bx") + F.col("_dx")).alias("_bx"))
+        .withColumn("_bx", F.explode(beside))
+        .groupBy(*keys, "_l", (F.col("_by") + F.col("_dy")).alias("_by"), "_bx")
         .agg(F.sum("_c").alias("_c"))
     )
     seen = bucketed(queries.select(*keys, "qid", "llat", "llon"), "llat", "llon").join(
         blocks, [*keys, "_l", "_by", "_bx"], "left"
     )
+    enough = F.col("_c") >= k
+    if globe:  # a search round a pole visits every column, so it takes a level with few
+        enough &= (F.abs(F.col("llat")) + reach < 89.0) | (columns <= MAX_COLUMNS)
     chosen = seen.groupBy(*keys, "qid", "llat", "llon").agg(
-        F.coalesce(F.min(F.when(F.col("_c") >= k, F.col("_l"))), F.lit(levels - 1)).alias("_l")
+        F.coalesce(F.min(F.when(enough, F.col("_l"))), F.lit(levels - 1)).alias("_l")
     )
-    reach = size * (2 * math.sqrt(2) + 1e-6)
-    wide = reach
-    if metric == "haversine":
-        wide = reach / F.cos(F.radians(F.least(F.abs(F.col("llat")) + reach, F.lit(MAX_LAT))))
     search = chosen.withColumn(
         "_by",
         F.explode(F.sequence(F.floor((F.col("llat") - reach) / size), F.floor((F.col("llat") + reach) / size))),
     ).withColumn(
         "_bx",
-        F.explode(F.sequence(F.floor((F.col("llon") - wide) / size), F.floor((F.col("llon") + wide) / size))),
+        F.explode(
+            _columns_near(F.col("llon"), _lon_span(F.col("llat"), reach), columns)
+            if globe
+            else F.sequence(F.floor((F.col("llon") - reach) / size), F.floor((F.col("llon") + reach) / size))
+        ),
     )
-    if metric == "haversine":
+    if globe:
         distance = haversine_m(F.col("llat"), F.col("llon"), F.col("rlat"), F.col("rlon"))
     else:
         dy, dx = F.col("rlat") - F.col("llat"), F.col("rlon") - F.col("llon")
@@ -127,13 +151,16 @@ def dbscan(points: DataFrame, eps_m: float, min_points: int, keys: list[str] | N
     row = F.floor(F.col("lat") / h)
     nearest_lat = F.least(F.abs(row * h), F.abs((row + 1) * h))
     nearest_lat = F.when(F.signum(row) != F.signum(row + 1), F.lit(0.0)).otherwise(nearest_lat)
-    w = h / F.cos(F.radians(F.least(nearest_lat, F.lit(MAX_LAT))))
-    col = F.floor(F.col("lon") / w)
-    placed = points.select(*keys, "pid", "lat", "lon").withColumns({
+    columns = F.greatest(F.ceil(360.0 / h * F.cos(F.radians(F.least(nearest_lat, F.lit(90.0))))), F.lit(1))
+    w = 360.0 / columns
+    lon = F.col("lon")
+    inside = F.when((lon < -180.0) | (lon >= 180.0), F.pmod(lon + 180.0, F.lit(360.0)) - 180.0).otherwise(lon)
+    col = F.least(F.floor((lon + 180.0) / w), columns - 1)
+    placed = points.select(*keys, "pid", "lat", inside.alias("lon")).withColumns({
         "cy": row,
         "cx": col,
         "sy": F.least(F.floor((F.col("lat") - row * h) / (h / 8)), F.lit(7)),
-        "sx": F.least(F.floor((F.col("lon") - col * w) / (w / 8)), F.lit(7)),
+        "sx": F.least(F.floor((lon + 180.0 - col * w) / (w / 8)), F.lit(7)),
         "sh": F.lit(h / 8),
         "sw": w / 8,
     })
