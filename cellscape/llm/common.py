@@ -34,3 +34,12 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
 def uniform(*columns) -> Column:
     """A repeatable draw in (0, 1) from the hash of the columns."""
     return (F.pmod(F.xxhash64(*columns), F.lit(2**52)) + F.lit(0.5)) / F.lit(float(2**52))
+
+
+#: Bytes of text that reach a Python worker at once, however long the texts are.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches in bytes for this session; the row bound alone lets 10,000 long texts into one batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

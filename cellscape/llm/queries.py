@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cellscape.llm import bagminhash, bpe, embeddings, licenses, mixing, quality, sharding, token_counts, toxicity, urls
+from cellscape.llm import bagminhash, bpe, decontamination, embeddings, filter_audit, licenses, mixing, quality, resampling, sharding, token_counts, toxicity, urls
 from cellscape.llm.common import shared_folder, table
 
 
@@ -56,6 +56,19 @@ def op10_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_prefix_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).documents
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.col("items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_decision_list": op1_decision_list,
     "op2_itq_dedup": op2_itq_dedup,
@@ -67,6 +80,9 @@ QUERIES = {
     "op8_token_count_cache": op8_token_count_cache,
     "op9_bagminhash": op9_bagminhash,
     "op10_entropy_mix": op10_entropy_mix,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_prefix_contamination": op12_prefix_contamination,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 LISTED_SQL = ", ".join(f"'{x}'" for x in urls.UNWANTED_LABELS)
@@ -102,5 +118,60 @@ select page_id, host, path, rule,
     coalesce(verdict, case when u.canonical is not null then 'block' else 'allow' end) verdict,
     u.canonical is not null listed
 from pages2 left join best using (host, path) left join unwanted u using (canonical)
+""",
+    "op11_filter_audit": r"""
+with counted as (
+    select doc_id, coalesce(source, '') part, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+firsts as (select coalesce(text, '') t, min(doc_id) first from documents group by 1),
+known as (select doc_id, max(case when quality = 1 then 1 else 0 end) good, max(case when toxic = 1 then 1 else 0 end) toxic from labels group by 1),
+failed as (
+    select part, coalesce(good, 0) good, coalesce(toxic, 0) toxic,
+        (case when len(w) < 200 then 1 else 0 end) + (case when 100 * len(list_distinct(w)) < 50 * len(w) then 2 else 0 end)
+        + (case when 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) then 4 else 0 end)
+        + (case when regexp_matches(t, '[#$%&*|]') then 8 else 0 end) + (case when doc_id > first then 16 else 0 end) pattern
+    from counted join firsts using (t) left join known using (doc_id)),
+patterns as (select part, pattern, count(*) n, sum(good) good, sum(toxic) toxic from failed group by all),
+letters(f, bit) as (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders as (
+    select a.f || b.f || c.f || d.f || e.f filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] bits
+    from letters a, letters b, letters c, letters d, letters e
+    where a.bit + b.bit + c.bit + d.bit + e.bit = 31 and len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps as (
+    select filter_order, step::int step, bits[step] own, list_sum(list_concat([0], bits[1:step - 1]))::int before
+    from orders, range(1, 6) r(step)),
+effects as (
+    select part, filter_order, step, own,
+        sum(case when pattern & (own | before) = 0 then n else 0 end)::bigint kept,
+        sum(case when pattern & before = 0 and pattern & own <> 0 then n else 0 end)::bigint removed,
+        sum(case when pattern & before <> 0 and pattern & own <> 0 then n else 0 end)::bigint redundant,
+        sum(case when pattern = own then n else 0 end)::bigint unique_fails,
+        sum(case when pattern & before = 0 and pattern & own <> 0 then good else 0 end)::bigint good_lost,
+        sum(case when pattern & before = 0 and pattern & own <> 0 then toxic else 0 end)::bigint toxic_lost
+    from patterns, steps group by all)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+    (sum(removed) over (partition by part, own))::bigint shapley
+from effects
+""",
+    "op12_prefix_contamination": r"""
+with item_words as (
+    select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
+windows as (
+    select distinct item_id, least(len(w), 10) n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') win
+    from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) i from item_words where len(w) > 0)),
+doc_words as (
+    select row_number() over () k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+numbered as (select *, len(w) n_words from doc_words),
+starts as (select k, w, n_words, unnest(range(1, n_words + 1)) i from numbered),
+grams as (
+    select k, i, n, array_to_string(w[i:i + n - 1], ' ') win
+    from starts, (select distinct n from windows) where i + n - 1 <= n_words),
+found as (select k, i, g.n, item_id from grams g join windows using (n, win)),
+places as (select distinct k, unnest(range(i, i + n)) p from found),
+hits as (select k, count(*) n_hit from places group by k),
+listed as (
+    select k, count(distinct item_id) n_items, array_to_string(list_sort(list(distinct item_id::varchar)), ',') items from found group by k)
+select doc_id, n_words::bigint n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items,
+    sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from numbered left join hits using (k) left join listed using (k)
 """,
 }
