@@ -1,10 +1,11 @@
 """Interaction of five filters over all orders, from a sparse document-term matrix.
 
-The matrix is cut into CSR shards of a bounded number of text bytes: row offsets, word codes and counts.  A shard
-is built with codes of its own; its words meet the global dictionary in one join per shard and word, and the
-shard's codes are replaced by the global ones.  Row sums are the words of a document and the number of its
-nonzero entries its distinct words, which decide filters A and B.  C and D are expressions on the text, E
-compares digests; texts are read once and never shuffled.
+The matrix is cut into CSR shards of a bounded number of text bytes: row offsets, word codes and counts.  A task
+counts the words of a shard with column numbers of its own and packs the shard's distinct words into blocks by
+hash.  Blocks of equal hash meet in one place, which is a slice of the global dictionary: every word gets its
+code there, and the codes go back to the shard.  Row sums of the coded matrix are the words of a document and the
+number of its nonzero entries its distinct words, which decide filters A and B.  C, D and the digest that decides
+E are taken in the same reading; texts are never shuffled.
 
 Documents then shrink to counts per part and pattern of failed filters (32 patterns), from which every
 order of the filters follows.
@@ -12,15 +13,18 @@ order of the filters follows.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections import Counter
 from collections.abc import Iterator
-from itertools import permutations
+from itertools import islice, permutations
 from typing import NamedTuple
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cellscape.llm.common import bound_batches, text_of
 from cellscape.session import cut_lineage
@@ -29,16 +33,19 @@ FILTERS = "ABCDE"
 MIN_WORDS = 200
 MIN_DISTINCT_PERCENT = 50
 MAX_UPPER_PERCENT = 2
-#: Fixed pattern: characters that no document may hold.
-SYMBOLS = r"[#$%&*|]"
+#: Characters that no document may hold, capitals, and bytes that continue a character.
+SYMBOLS, CAPITALS, CONTINUED = b"#$%&*|", bytes(range(65, 91)), bytes(range(128, 192))
 #: Bytes of text in one CSR shard; a longer document is a shard of its own.
 SHARD_BYTES = 4 << 20
 
-SHARD = "rows array<struct<doc_id:{kind},part:string,digest:string,c:boolean,d:boolean>>, indptr array<int>, indices array<int>, counts array<int>, terms array<string>, term_docs array<long>, term_tokens array<long>"
+#: Slices of the global dictionary; a task holds the words of one slice at a time.
+SLICES = 2_048
+
+ROW = "struct<doc_id:{kind},part:string,digest:binary,c:boolean,d:boolean>"
 
 
 class TermMatrix(NamedTuple):
-    """shards: (shard, rows, indptr, indices, counts), codes are global; dictionary: (word, code, n_docs, n_tokens)."""
+    """shards: (shard, rows, indptr, indices, counts) with global codes; dictionary: (word, code).  Both are lazy."""
 
     shards: DataFrame
     dictionary: DataFrame
@@ -62,88 +69,119 @@ def _count_words(text: bytes, size: int = 1 << 20) -> Counter[bytes]:
     return seen
 
 
-def _list(values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
-
-
-def _shard(batch: pa.RecordBatch, start: int, end: int) -> pa.RecordBatch:
-    """CSR block of some documents with codes of its own, and its words."""
+def _shard(batch: pa.RecordBatch, start: int, end: int, slices: int) -> pa.RecordBatch:
+    """CSR block of some documents with column numbers of its own, which follow the dictionary slices of its words."""
     codes: dict[bytes, int] = {}
-    indptr, indices, counts = [0], [], []
+    indptr, indices, counts, digests, capital, symbol = [0], [], [], [], [], []
     for value in batch.column("data").slice(start, end - start):
-        row = _count_words(value.as_py())
+        text = value.as_py()
+        row = _count_words(text)
         indices += [codes.setdefault(w, len(codes)) for w in row]
         counts += row.values()
         indptr.append(len(indices))
-    at, n = np.array(indices, np.int64), np.array(counts, np.int64)
-    rows = pa.StructArray.from_arrays([batch.column(c).slice(start, end - start) for c in ("doc_id", "part", "digest", "c", "d")], ["doc_id", "part", "digest", "c", "d"])
+        digests.append(hashlib.sha256(text).digest())
+        without = lambda chars: len(text.translate(None, chars))  # noqa: E731, B023
+        capital.append(100 * (len(text) - without(CAPITALS)) > MAX_UPPER_PERCENT * without(CONTINUED))
+        symbol.append(without(SYMBOLS) < len(text))
+    words = list(codes)
+    slice_of = np.fromiter(map(crc32, words), np.int64, len(words)) % slices
+    order = np.argsort(slice_of, kind="stable")
+    column = np.empty(len(words), np.int64)
+    column[order] = np.arange(len(words))
+    used, starts = np.unique(slice_of[order], return_index=True)
+    ends = np.append(starts, len(words))[1:]
+    packed = [b" ".join([words[i] for i in order[a:b]]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    own = {c: batch.column(c).slice(start, end - start) for c in ("doc_id", "part")}
+    own |= {"digest": pa.array(digests, pa.binary()), "c": pa.array(capital), "d": pa.array(symbol)}
+    blocks = pa.StructArray.from_arrays([pa.array(used, pa.int32()), pa.array(packed, pa.binary())], ["slice", "words"])
+    one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
     columns = {
-        "rows": pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows),
-        "indptr": _list(np.array(indptr), pa.int32()),
-        "indices": _list(at, pa.int32()),
-        "counts": _list(n, pa.int32()),
-        "terms": pa.ListArray.from_arrays(pa.array([0, len(codes)], pa.int32()), pa.array(list(codes), pa.binary()).cast(pa.string())),
-        "term_docs": _list(np.bincount(at, minlength=len(codes)), pa.int64()),
-        "term_tokens": _list(np.bincount(at, weights=n, minlength=len(codes)).astype(np.int64), pa.int64()),
+        "rows": one(pa.StructArray.from_arrays(list(own.values()), list(own))),
+        "indptr": one(pa.array(indptr, pa.int32())),
+        "indices": one(pa.array(column[np.array(indices, np.int64)], pa.int32())),
+        "counts": one(pa.array(counts, pa.int32())),
+        "blocks": one(blocks),
     }
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes = np.diff(np.frombuffer(batch.column("data").cast(pa.large_binary()).buffers()[1], np.int64, batch.num_rows + 1, batch.column("data").offset * 8)) if batch.num_rows else np.zeros(0)
-        start = held = 0
-        for i, n in enumerate(sizes.tolist()):
-            if i > start and held + n > SHARD_BYTES:
-                yield _shard(batch, start, i)
-                start, held = i, 0
-            held += n
-        if batch.num_rows:
-            yield _shard(batch, start, batch.num_rows)
-
-
-def numbered_words(words: DataFrame) -> DataFrame:
-    """Add gapless ``code`` from 0: places inside the partitions, shifted by the rows before; one row per partition is windowed."""
-    placed = cut_lineage(words.withColumn("_id", F.monotonically_increasing_id()))
-    part = F.shiftright("_id", 33)
-    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_part", before.alias("_before"))
-    inside = F.col("_id") - F.shiftleft(F.col("_part"), 33)
-    return placed.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn("code", inside + F.col("_before")).drop("_id", "_part", "_before")
-
-
-def term_matrix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", part: str = "source") -> TermMatrix:
+def _sharder(slices: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start = held = 0
+            for i, n in enumerate(pc.binary_length(batch.column("data")).to_pylist()):
+                if i > start and held + n > SHARD_BYTES:
+                    yield _shard(batch, start, i, slices)
+                    start, held = i, 0
+                held += n
+            if batch.num_rows:
+                yield _shard(batch, start, batch.num_rows, slices)
+
+    return run
+
+
+def _coded(slices: int, names: bool):
+    """Function for mapInArrow over blocks sorted by slice: their codes, or the words of each slice with their codes.
+
+    A word's code is its place among the words of its slice, by shard, times the number of slices plus the slice.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes: dict[bytes, int] = {}
+        current = None
+        for batch in batches:
+            fresh: list[bytes] = []
+            numbers, out = [], []
+            for of_slice, words in zip(batch.column("slice").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                if of_slice != current:
+                    codes, current = {}, of_slice
+                before = len(codes)
+                own = np.array([codes.setdefault(w, len(codes)) for w in words.split(b" ")], np.int64) * slices + of_slice
+                if names:
+                    added = list(islice(reversed(codes), len(codes) - before))[::-1]
+                    fresh += added
+                    numbers += range(before * slices + of_slice, len(codes) * slices + of_slice, slices)
+                else:
+                    out.append(own)
+            if names:
+                yield pa.RecordBatch.from_arrays([pa.array(fresh, pa.binary()).cast(pa.string()), pa.array(numbers, pa.int64())], ["word", "code"])
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("slice"), pa.array(out, pa.list_(pa.int64()))], ["shard", "slice", "codes"])
+
+    return run
+
+
+def _recode(shard: pa.Table, codes: pa.Table) -> pa.Table:
+    """One shard with its column numbers replaced by the global codes, which arrive by slice."""
+    lists = codes.sort_by("slice").column("codes")
+    table = np.concatenate([np.zeros(0, np.int64), *[c.flatten().to_numpy() for c in lists.chunks]])
+    local = shard.column("indices").combine_chunks().flatten().to_numpy()
+    indices = pa.ListArray.from_arrays(pa.array([0, len(local)], pa.int32()), pa.array(table[local], pa.int64()))
+    return shard.set_column(shard.column_names.index("indices"), "indices", pa.chunked_array([indices]))
+
+
+def term_matrix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", part: str = "source", slices: int = SLICES) -> TermMatrix:
     """The document-term matrix; every row carries id, part, digest of the text and filters C and D."""
     bound_batches(docs.sparkSession)
-    t = text_of(text)
-    upper = F.length(t) - F.length(F.regexp_replace(t, "[A-Z]", ""))
-    slim = docs.select(
-        F.col(doc_id).alias("doc_id"),
-        F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"),
-        F.sha2(t, 256).alias("digest"),
-        (100 * upper > MAX_UPPER_PERCENT * F.length(t)).alias("c"),
-        t.rlike(SYMBOLS).alias("d"),
-        t.cast("binary").alias("data"),
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), text_of(text).cast("binary").alias("data"))
+    row = ROW.format(kind=slim.schema["doc_id"].dataType.simpleString())
+    arrays = f"rows array<{row}>, indptr array<int>, indices array<{{index}}>, counts array<int>"
+    local = slim.mapInArrow(_sharder(slices), arrays.format(index="int") + ", blocks array<struct<slice:int,words:binary>>")
+    local = cut_lineage(local.withColumn("shard", F.monotonically_increasing_id()))
+    blocks = local.select("shard", F.explode("blocks").alias("b")).select("shard", "b.*").repartition("slice").sortWithinPartitions("slice", "shard")
+    codes = blocks.mapInArrow(_coded(slices, names=False), "shard long, slice int, codes array<long>")
+    shards = local.select("shard", "rows", "indptr", "indices", "counts").groupBy("shard").cogroup(codes.groupBy("shard"))
+    return TermMatrix(
+        shards.applyInArrow(_recode, "shard long, " + arrays.format(index="long")),
+        blocks.mapInArrow(_coded(slices, names=True), "word string, code long"),
     )
-    kind = slim.schema["doc_id"].dataType.simpleString()
-    local = cut_lineage(slim.mapInArrow(_shards, SHARD.format(kind=kind)).withColumn("shard", F.monotonically_increasing_id()))
-    entry = F.posexplode(F.arrays_zip("terms", "term_docs", "term_tokens")).alias("at", "t")
-    entries = cut_lineage(local.select("shard", entry).select("shard", "at", F.col("t.terms").alias("word"), F.col("t.term_docs").alias("n_docs"), F.col("t.term_tokens").alias("n_tokens")))
-    dictionary = cut_lineage(numbered_words(entries.groupBy("word").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))))
-    coded = cut_lineage(entries.select("shard", "at", "word").join(dictionary.select("word", "code"), "word").select("shard", "at", "code"))
-    # one group is the words of one shard, bounded by its bytes
-    codes = coded.groupBy("shard").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "code"))), lambda x: x["code"]).alias("codes"))
-    shards = local.select("shard", "rows", "indptr", "indices", "counts").join(codes, "shard", "left")
-    shards = shards.withColumn("indices", F.transform("indices", lambda i: F.get(F.col("codes"), i))).drop("codes")
-    return TermMatrix(cut_lineage(shards), dictionary)
 
 
 def _row_figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             indptr = batch.column("indptr")[i].values.to_numpy()
-            sums = np.concatenate([[0], np.cumsum(batch.column("counts")[i].values.to_numpy(zero_copy_only=False), dtype=np.int64)])
+            sums = np.concatenate([[0], np.cumsum(batch.column("counts")[i].values.to_numpy(), dtype=np.int64)])
             # a code stands once in a row, so the number of entries is the number of distinct words
             columns = dict(zip(("doc_id", "part", "digest", "c", "d"), batch.column("rows")[i].values.flatten(), strict=True))
             columns |= {"n_words": pa.array(np.diff(sums[indptr]), pa.int64()), "n_distinct": pa.array(np.diff(indptr), pa.int64())}
@@ -153,7 +191,7 @@ def _row_figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def row_figures(matrix: TermMatrix) -> DataFrame:
     """One row per document: doc_id, part, digest, c, d, n_words (row sum), n_distinct (nonzero entries)."""
     kind = matrix.shards.schema["rows"].dataType.elementType["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, part string, digest string, c boolean, d boolean, n_words long, n_distinct long"
+    schema = f"doc_id {kind}, part string, digest binary, c boolean, d boolean, n_words long, n_distinct long"
     return matrix.shards.select("rows", "indptr", "counts").mapInArrow(_row_figures, schema)
 
 
