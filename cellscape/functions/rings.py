@@ -1,16 +1,13 @@
-"""Polygon outlines as array<struct<lon,lat>> columns: parsing, area, overlap.
+"""Polygon outlines as array<struct<lon,lat>> columns: parsing, area, movement.
 
-Rings are closed (first point repeated last) and hold the outer boundary only.
+Rings are closed (first point repeated last) and hold the outer boundary only; ``shapes`` has parts and holes.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import DoubleType
 
 # WGS84 ellipsoid and UTM scale.
 SEMI_MAJOR_M = 6_378_137.0
@@ -26,18 +23,18 @@ def let(value: Column, body) -> Column:
 
 def parse_wkt_polygon(wkt: Column) -> Column:
     """Outer ring of a WKT POLYGON; null for anything else."""
-    return _ring_of(F.regexp_extract(wkt, r"(?i)^\s*POLYGON\s*Z?\s*\(\s*\(([^()]*)\)", 1))
+    return ring_of(F.regexp_extract(wkt, r"(?i)^\s*POLYGON\s*Z?\s*\(\s*\(([^()]*)\)", 1))
 
 
 def parse_wkt_polygons(wkt: Column) -> Column:
     """Outer rings of a WKT POLYGON or MULTIPOLYGON; null for anything else, also if one of the rings is broken."""
     bodies = F.regexp_extract_all(wkt, F.lit(r"\(\s*\(([^()]*)\)"), 1)
-    found = F.transform(bodies, _ring_of)
+    found = F.transform(bodies, ring_of)
     good = wkt.rlike(r"(?i)^\s*(MULTI)?POLYGON\b") & (F.size(found) > 0) & F.forall(found, lambda r: r.isNotNull())
     return F.when(good, found)
 
 
-def _ring_of(body: Column) -> Column:
+def ring_of(body: Column) -> Column:
     points = F.transform(F.split(F.trim(body), r"\s*,\s*"), lambda p: F.split(F.trim(p), r"\s+"))
     ring = F.transform(
         points,
@@ -232,72 +229,3 @@ def rotate_about(ring: Column, lon: Column, lat: Column, clockwise_deg: Column)
         )
 
     return F.transform(ring, turn)
-
-
-def _triangles(points: np.ndarray) -> list[tuple[float, np.ndarray]]:
-    """Signed fan triangles whose signed sum is the polygon, convex or not."""
-    origin, out = points[0], []
-    for a, b in zip(points[1:-1], points[2:]):
-        area = (a[0] - origin[0]) * (b[1] - origin[1]) - (b[0] - origin[0]) * (a[1] - origin[1])
-        if area:
-            out.append((math.copysign(1.0, area), np.array([origin, a, b] if area > 0 else [origin, b, a])))
-    return out
-
-
-def _is_convex(points: np.ndarray) -> bool:
-    step = np.diff(np.vstack([points, points[:2]]), axis=0)
-    cross = step[:-1, 0] * step[1:, 1] - step[1:, 0] * step[:-1, 1]
-    return bool((cross >= -1e-9).all() or (cross <= 1e-9).all())
-
-
-def _signed_area(points: np.ndarray) -> float:
-    x, y = points[:, 0] - points[0, 0], points[:, 1] - points[0, 1]
-    return float(np.sum(x * np.roll(y, -1) - np.roll(x, -1) * y)) / 2
-
-
-def _clip_area(subject: np.ndarray, clip: np.ndarray) -> float:
-    """Area of the part of a convex subject inside a convex counter-clockwise clip polygon."""
-    for a, b in zip(clip, np.roll(clip, -1, axis=0)):
-        if len(subject) < 3:
-            return 0.0
-        side = (b[0] - a[0]) * (subject[:, 1] - a[1]) - (b[1] - a[1]) * (subject[:, 0] - a[0])
-        following, after = np.roll(subject, -1, axis=0), np.roll(side, -1)
-        kept = []
-        for p, q, s, t in zip(subject, following, side, after):
-            if s >= 0:
-                kept.append(p)
-            if (s > 0 > t) or (s < 0 < t):
-                kept.append(p + (q - p) * (s / (s - t)))
-        subject = np.array(kept)
-    return abs(_signed_area(subject)) if len(subject) >= 3 else 0.0
-
-
-def polygon_overlap(a: np.ndarray, b: np.ndarray) -> float:
-    """Intersection area of two simple polygons given as open vertex arrays."""
-    if len(a) < 3 or len(b) < 3:
-        return 0.0
-    if (a.max(0) <= b.min(0)).any() or (b.max(0) <= a.min(0)).any():
-        return 0.0
-    if _is_convex(a) and _is_convex(b):
-        return _clip_area(a, b if _signed_area(b) > 0 else b[::-1])
-    return abs(sum(s * t * _clip_area(p, q) for s, p in _triangles(a) for t, q in _triangles(b)))
-
-
-@F.pandas_udf(DoubleType())
-def _overlap_m2(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.Series:
-    return pd.Series(
-        [
-            polygon_overlap(np.column_stack([p, q])[:-1], np.column_stack([r, s])[:-1])
-            for p, q, r, s in zip(ax, ay, bx, by)
-        ],
-        dtype="float64",
-    )
-
-
-def overlap_m2(points_a: Column, points_b: Column) -> Column:
-    """Intersection area of two projected rings, in square metres."""
-
-    def axis(points, name):
-        return F.transform(points, lambda p: p[name])
-
-    return _overlap_m2(axis(points_a, "x"), axis(points_a, "y"), axis(points_b, "x"), axis(points_b, "y"))

@@ -6,12 +6,13 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cellscape.functions import antenna, text
+from cellscape.functions import antenna, shapes, text
 from cellscape.functions.scoring import clip, range_score, severity_category
+from cellscape.operators import spans
 from cellscape.operators.environment import attach_environment
 from cellscape.operators.outline import clip_regions, clip_to_boundary, cluster_bins, drop_slivers, region_outlines, region_summary
 from cellscape.operators.ring import ring_totals
-from cellscape.operators.spatial import cover_centres, radius_join
+from cellscape.operators.spatial import radius_join
 from cellscape.params import (
     DEFAULT_ENVIRONMENT,
     LOW_RSRP_DBM,
@@ -170,9 +171,13 @@ def server_count_distribution(coverage: DataFrame) -> DataFrame:
 
 def single_server_bins(hulls: DataFrame) -> DataFrame:
     """Bins inside exactly one coverage outline of a band, with that cell."""
-    cover = cover_centres(hulls.select("band", "cell_name", "ring")).select("band", "cell_name", "ix", "iy")
-    counted = cover.groupBy(*KEY).agg(F.countDistinct("cell_name").alias("_n"), F.min("cell_name").alias("cell_name"))
-    return counted.where(F.col("_n") == 1).drop("_n")
+    return spans.bins_of(single_server_spans(hulls)).select(*KEY, "cell_name")
+
+
+def single_server_spans(hulls: DataFrame) -> DataFrame:
+    """Stretches of bins per band and column, (band, ix, lo, hi, cell_name), inside the outline of one cell only."""
+    covered = spans.cover_spans(shapes.with_shape(hulls).select("band", "cell_name", "shape"), ["band", "cell_name"])
+    return spans.sole_owner(covered, ["band"], "cell_name")
 
 
 def _by_class(env: Column, table: tuple) -> Column:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
-from cellscape.functions import lattice, rings
+from cellscape.functions import lattice, rings, shapes
 from cellscape.functions.geo import EARTH_RADIUS_M, haversine_m
 from cellscape.operators.components import connected_components
 from cellscape.session import cut_lineage
@@ -288,12 +288,8 @@ def _hull_ring(keys: list[str]):
     return run
 
 
-def cover_convex(polygons: DataFrame, ring: str = "ring", precision: int = lattice.PRECISION) -> DataFrame:
-    """One row per lattice bin that a convex polygon touches, as (ix, iy).
-
-    Per lattice column the polygon occupies one interval of latitudes, so only touching
-    bins are generated; nothing is tested and thrown away.
-    """
+def touch_spans(polygons: DataFrame, ring: str = "ring", precision: int = lattice.PRECISION) -> DataFrame:
+    """The bins that a convex polygon touches as one span (ix, lo, hi) per lattice column."""
     nx, ny = lattice.bits(precision)
     w, h = 360.0 / 2**nx, 180.0 / 2**ny
     box = rings.ring_bounds(F.col(ring))
@@ -317,40 +313,19 @@ def cover_convex(polygons: DataFrame, ring: str = "ring", precision: int = latti
 
     lats = F.flatten(F.transform(rings.edges(F.col(ring)), clipped))
     out = out.withColumn("_lats", lats).where(F.size("_lats") > 0)
-    iy = F.sequence(
-        lattice.lat_to_iy(F.array_min("_lats"), precision), lattice.lat_to_iy(F.array_max("_lats"), precision)
-    )
-    return out.withColumn("iy", F.explode(iy)).drop("_lats")
+    lo, hi = lattice.lat_to_iy(F.array_min("_lats"), precision), lattice.lat_to_iy(F.array_max("_lats"), precision)
+    return out.withColumns({"lo": lo, "hi": hi}).drop("_lats", ring)
 
 
-def cover_centres(polygons: DataFrame, ring: str = "ring", precision: int = lattice.PRECISION) -> DataFrame:
-    """One row per lattice bin whose centre lies inside a simple polygon (even-odd rule)."""
-    box = rings.ring_bounds(F.col(ring))
-    out = polygons.withColumn(
-        "ix",
-        F.explode(F.sequence(lattice.lon_to_ix(box["min_lon"], precision), lattice.lon_to_ix(box["max_lon"], precision))),
-    )
-    x = lattice.ix_to_lon(F.col("ix"), precision)
-    crossing = F.filter(
-        F.transform(
-            rings.edges(F.col(ring)),
-            lambda e: F.when(
-                (e["a"]["lon"] <= x) != (e["b"]["lon"] <= x),
-                e["a"]["lat"]
-                + (e["b"]["lat"] - e["a"]["lat"]) * (x - e["a"]["lon"]) / (e["b"]["lon"] - e["a"]["lon"]),
-            ),
-        ),
-        lambda y: y.isNotNull(),
-    )
-    h = 180.0 / 2 ** lattice.bits(precision)[1]
-    out = out.withColumn("_ys", F.array_sort(crossing)).where(F.size("_ys") >= 2)
-    pairs = F.transform(
-        F.sequence(F.lit(0), (F.size("_ys") / 2).cast("int") - 1),
-        lambda i: F.struct(
-            F.ceil((F.get(F.col("_ys"), 2 * i) + 90.0) / h - 0.5).cast("int").alias("lo"),
-            (F.ceil((F.get(F.col("_ys"), 2 * i + 1) + 90.0) / h - 0.5) - 1).cast("int").alias("hi"),
-        ),
-    )
-    spans = F.filter(pairs, lambda s: s["hi"] >= s["lo"])
-    out = out.withColumn("_s", F.explode(spans))
-    return out.withColumn("iy", F.explode(F.sequence("_s.lo", "_s.hi"))).drop("_ys", "_s")
+def cover_convex(polygons: DataFrame, ring: str = "ring", precision: int = lattice.PRECISION) -> DataFrame:
+    """One row per lattice bin that a convex polygon touches, as (ix, iy)."""
+    return touch_spans(polygons, ring, precision).withColumn("iy", F.explode(F.sequence("lo", "hi"))).drop("lo", "hi")
+
+
+def cover_centres(polygons: DataFrame, keys: list[str] | None = None, precision: int = lattice.PRECISION) -> DataFrame:
+    """One row per lattice bin whose centre lies inside a polygon (even-odd rule): (keys, ix, iy)."""
+    from cellscape.operators import spans
+
+    keys = keys or []
+    covered = spans.cover_spans(shapes.with_shape(polygons), keys, precision)
+    return spans.bins_of(spans.union(covered, keys))

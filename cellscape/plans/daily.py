@@ -112,6 +112,6 @@ def summary(findings: dict[str, DataFrame]) -> DataFrame:
 def write_findings(findings: dict[str, DataFrame], folder: str, kind: str = "csv") -> None:
     """Regions as GeoJSON lines and everything as tables; empty findings replace older ones."""
     for name, df in findings.items():
-        if "ring" in df.columns:
+        if {"ring", "shape"} & set(df.columns):
             writers.write_geojson(df, f"{folder}/{name}_geojson")
         writers.write_table(df, f"{folder}/{name}", kind)

@@ -642,3 +642,5 @@ ORACLE["flagged_bins"] = sql("""SELECT c.cell_name, c.ix, c.iy, o.cell_name IS N
 ORACLE["market_contributors"] = sql(f"""SELECT cell_name, market, other_cell, other_market, round(d,3) AS distance_m FROM (SELECT x.cell_name, x.market, y.cell_name AS other_cell, y.market AS other_market,
   {hav('x.latitude','x.longitude','y.latitude','y.longitude')} AS d FROM gis x JOIN gis y ON x.market<>y.market) WHERE d<=3000""", "gis")
 ORACLE["pci_collisions_output"] = f"""SELECT * FROM ({ORACLE["pci_collisions"]}) WHERE conflict_type='exact' OR (conflict_type='mod3' AND intra_site)"""
+
+from cellscape.plans import oracle_regions  # noqa: E402, F401  (adds its statements to ORACLE)

@@ -43,7 +43,7 @@ def relations_adapter(spark, sf):
 
 # --- lattice and geometry functions -------------------------------------------------
 
-from cellscape.functions import antenna, geo, lattice, rings, scoring, text  # noqa: E402
+from cellscape.functions import antenna, geo, lattice, rings, scoring, shapes, text  # noqa: E402
 from cellscape.operators import enrich, impacts  # noqa: E402
 
 
@@ -565,14 +565,22 @@ def feeder_bins(spark, sf):
 
 # --- interference, gaps, low coverage, outlines ------------------------------------------
 
-from cellscape.operators import gaps, hulls, interference, lowcoverage, rootcause  # noqa: E402
+from cellscape.operators import gaps, hulls, interference, lowcoverage, rootcause, spans  # noqa: E402
 from cellscape.session import cut_lineage  # noqa: E402
 
 NOISY = P.Interference(min_cells=3, max_sinr_db=None, ring_share=0.2, dominant_share=0.12)
+MEASURED = P.Gaps(min_missing_neighbours=24, min_cluster_bins=6, min_area_km2=0.05, thin_deg=0.002)
 HOLES = P.Gaps(min_missing_neighbours=24, min_cluster_bins=6, min_area_km2=0.1)
 WEAK = P.LowCoverage(min_problem_bins=20, min_cluster_bins=6, min_area_km2=0.1)
 
 
+def _outlined(regions):
+    """Regions with the corners of their outline and the number of parts less holes in place of the shape."""
+    holes = F.size(F.filter("shape", lambda r: r["hole"]))
+    corners = F.aggregate("shape", F.lit(0), lambda n, r: n + F.size(r["ring"]) - 1)
+    return regions.withColumns({"n_corners": corners.cast("long"), "parts_less_holes": (F.size("shape") - 2 * holes).cast("long")}).drop("shape")
+
+
 def _shared_coverage(spark, sf):
     cov = tables.coverage(spark, sf)
     out = enrich.join_group(cov, ["ix", "iy"], _t=F.sum("event_count"))
@@ -612,7 +620,7 @@ def interference_cells(spark, sf):
 @query
 def interference_clusters(spark, sf):
     found = interference.detect_interference(_shared_coverage(spark, sf), NOISY)
-    return rounded(found.clusters.withColumn("outline", rings.to_wkt(F.col("ring"))).drop("ring"), 4)
+    return rounded(_outlined(found.clusters), 4)
 
 
 @query
@@ -625,7 +633,7 @@ def interference_members(spark, sf):
 def interference_root_cause(spark, sf):
     found = interference.detect_interference(_shared_coverage(spark, sf), NOISY)
     out = rootcause.analyse_root_causes(found.clusters, found.members, tables.cell_gis(spark, sf)).clusters
-    return rounded(out.drop("ring").withColumn("causes", F.array_join("causes", ",")), 3)
+    return rounded(out.drop("shape").withColumn("causes", F.array_join("causes", ",")), 3)
 
 
 @query
@@ -656,7 +664,7 @@ def _low(spark, sf):
 
 @query
 def low_coverage_clusters(spark, sf):
-    return rounded(_low(spark, sf)[0].clusters.drop("ring"))
+    return rounded(_outlined(_low(spark, sf)[0].clusters))
 
 
 @query
@@ -688,6 +696,31 @@ def hull_build(spark, sf):
     return rounded(out.drop("ring"), 4)
 
 
+@query
+def outline_cover(spark, sf):
+    """Every sector outline as spans of bins per lattice column."""
+    covered = spans.cover_spans(shapes.with_shape(_wedges(spark, sf)), ["cell_name", "band"])
+    return covered.select("cell_name", "band", "ix", "lo", "hi")
+
+
+@query
+def uncovered_bins(spark, sf):
+    wedges = _wedges(spark, sf)
+    return gaps.uncovered_bins(wedges, gaps.hull_clusters(wedges, HOLES)).select("ix", "iy").distinct()
+
+
+@query
+def coverage_gaps_measured(spark, sf):
+    """Gaps between the outlines measured from the coverage table, per band."""
+    return rounded(_outlined(gaps.detect_coverage_gaps(_hulls(spark, sf), MEASURED, by_band=True).gaps))
+
+
+@query
+def single_server_measured(spark, sf):
+    """Spans per lattice column inside the measured outline of one cell of a band only."""
+    return lowcoverage.single_server_spans(_hulls(spark, sf))
+
+
 @query
 def hull_dbscan(spark, sf):
     return gaps.hull_clusters(_wedges(spark, sf), P.Gaps(eps_m=1500.0))
@@ -695,12 +728,12 @@ def hull_dbscan(spark, sf):
 
 @query
 def coverage_gaps(spark, sf):
-    return rounded(gaps.detect_coverage_gaps(_wedges(spark, sf), HOLES).gaps.drop("ring"))
+    return rounded(_outlined(gaps.detect_coverage_gaps(_wedges(spark, sf), HOLES).gaps))
 
 
 @query
 def coverage_gaps_by_band(spark, sf):
-    return rounded(gaps.detect_coverage_gaps(_wedges(spark, sf), HOLES, by_band=True).gaps.drop("ring"))
+    return rounded(_outlined(gaps.detect_coverage_gaps(_wedges(spark, sf), HOLES, by_band=True).gaps))
 
 
 @query

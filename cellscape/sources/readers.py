@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cellscape.functions import lattice, rings
+from cellscape.functions import lattice, rings, shapes
 from cellscape.sources.schema import ALIASES, REQUIRED, SCHEMAS
 
 FILES = {"coverage": ["cell_coverage"], "cell_gis": ["cell_gis", "gis"], "hulls": ["cell_hulls"], "relations": ["cell_impacts", "relations"]}
@@ -78,8 +78,13 @@ def with_rings(hulls: DataFrame) -> DataFrame:
     return hulls.withColumn("ring", F.explode(rings.parse_wkt_polygons(F.col("wkt")))).drop("wkt")
 
 
+def with_shapes(hulls: DataFrame) -> DataFrame:
+    """One row per outline with all its parts and holes as ``shape``; rows without a readable polygon are dropped."""
+    return hulls.withColumn("shape", shapes.parse_wkt(F.col("wkt"))).where(F.col("shape").isNotNull()).drop("wkt")
+
+
 def load_hulls(spark: SparkSession, folder: str, kind: str = "csv") -> DataFrame:
-    return with_rings(canonical(_read(spark, folder, "hulls", kind), "hulls"))
+    return with_shapes(canonical(_read(spark, folder, "hulls", kind), "hulls"))
 
 
 def known_relations(relations: DataFrame, gis: DataFrame) -> DataFrame:
@@ -95,17 +100,22 @@ def load_relations(spark: SparkSession, folder: str, kind: str = "csv", gis: Dat
 
 
 def load_boundary(spark: SparkSession, path: str) -> DataFrame:
-    """Boundary polygons: a GeoJSON document over any number of lines, or lines of WKT or GeoJSON.
+    """Boundary polygons, one row per part with its outer ring and its shape with holes: a GeoJSON document over any
+    number of lines, or lines of WKT or GeoJSON.
 
     A file without any polygon is an error, because clipping to it would remove everything.
     """
     files = spark.read.text(path, wholetext=True)  # boundaries are small
     line = F.explode(F.split("value", r"\r?\n")).alias("line")
-    of_lines = files.select("value", line).select(F.explode(F.coalesce(rings.parse_wkt_polygons(F.col("line")), rings.parse_geojson_polygons(F.col("line")))).alias("ring"))
-    of_files = files.select(F.explode(rings.parse_geojson_polygons(F.col("value"))).alias("ring"))
+    wkt = shapes.parse_wkt(F.col("line"))
+    of_line = F.coalesce(F.when(wkt.isNotNull(), F.array(wkt)), shapes.parse_geojson(F.col("line")))
+    of_lines = files.select("value", line).select(F.explode(of_line).alias("shape"))
+    of_files = files.select(F.explode(shapes.parse_geojson(F.col("value"))).alias("shape"))
     for found in (of_lines, of_files):
         if not found.isEmpty():
-            return found
+            part = F.explode(F.array_distinct(F.transform("shape", lambda r: r["part"])))
+            parts = found.withColumn("_p", part).withColumn("shape", F.filter("shape", lambda r: r["part"] == F.col("_p"))).drop("_p")
+            return parts.withColumn("ring", F.col("shape")[0]["ring"])
     raise ValueError(f"boundary: no polygon in {path}")
 
 
@@ -125,7 +135,7 @@ def load_jdbc(
 def load_jdbc_hulls(spark: SparkSession, url: str, relation: str, geometry: str = "geometry", **options) -> DataFrame:
     """Outlines from a spatial database; the geometry travels as WKT."""
     query = f"SELECT cell_name, ST_AsText({geometry}) AS wkt FROM {relation}"
-    return with_rings(load_jdbc(spark, url, query, "hulls", **options))
+    return with_shapes(load_jdbc(spark, url, query, "hulls", **options))
 
 
 class Source:

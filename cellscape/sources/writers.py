@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cellscape.functions import rings
+from cellscape.functions import rings, shapes
 from cellscape.operators.environment import classify_environment
 from cellscape.params import EnvironmentRules
 
@@ -15,6 +15,8 @@ def flat(df: DataFrame) -> DataFrame:
     for name, kind in df.dtypes:
         if name == "ring":
             columns.append(rings.to_wkt(F.col(name)).alias("geometry"))
+        elif name == "shape":
+            columns.append(shapes.to_wkt(F.col(name)).alias("geometry"))
         elif kind.startswith("array<string"):
             columns.append(F.array_join(name, ",").alias(name))
         elif kind.startswith(("array", "struct", "map")):
@@ -35,24 +37,22 @@ def write_table(df: DataFrame, path: str, kind: str = "csv", by: list[str] | Non
         writer.format(kind).save(path)
 
 
+def _feature(columns: list[str]) -> Column:
+    """GeoJSON text of a row; the geometry comes from ``shape`` or ``ring``."""
+    geometry = shapes.to_geojson_geometry(F.col("shape")) if "shape" in columns else rings.to_geojson_geometry(F.col("ring"))
+    properties = F.struct(*[F.col(c) for c in columns if c not in ("ring", "shape")])
+    return F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), properties.alias("properties")))
+
+
 def to_feature(df: DataFrame) -> DataFrame:
     """One GeoJSON feature per row, as text."""
-    properties = F.struct(*[F.col(c) for c in df.columns if c != "ring"])
-    feature = F.struct(
-        F.lit("Feature").alias("type"), rings.to_geojson_geometry(F.col("ring")).alias("geometry"), properties.alias("properties")
-    )
-    return df.select(F.to_json(feature).alias("value"))
+    return df.select(_feature(df.columns).alias("value"))
 
 
 def write_geojson(df: DataFrame, path: str, by_band: bool = False) -> None:
     """GeoJSON lines; an empty result still replaces what was there before."""
     if by_band:
-        to = df.select("band", *[c for c in df.columns if c != "band"])
-        rows = to.select("band", F.struct(*to.columns).alias("_r")).select("_r.*")
-        lines = rows.withColumn("value", F.to_json(F.struct(
-            F.lit("Feature").alias("type"), rings.to_geojson_geometry(F.col("ring")).alias("geometry"),
-            F.struct(*[F.col(c) for c in rows.columns if c != "ring"]).alias("properties"),
-        ))).select("band", "value")
+        lines = df.select("band", _feature(df.columns).alias("value"))
         lines.write.mode("overwrite").partitionBy("band").text(path)
     else:
         to_feature(df).write.mode("overwrite").text(path)

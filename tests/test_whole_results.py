@@ -52,7 +52,7 @@ def test_regions_are_clipped_after_clustering(spark):
     bins = spark.createDataFrame([("L800", 1, x, y) for x in range(100_000, 100_010) for y in range(100_000, 100_010)], "band string, cluster_id long, ix long, iy long")
     keys = ["band", "cluster_id"]
     whole = outline.region_summary(bins, keys).join(outline.region_outlines(bins, keys), keys)
-    box = whole.select("ring").first().ring
+    box = whole.select("shape").first()["shape"][0].ring
     low, high, left, right = min(p.lat for p in box), max(p.lat for p in box), min(p.lon for p in box), max(p.lon for p in box)
     middle = (left + right) / 2
     ring = [(left - 1e-6, low - 1e-6), (middle, low - 1e-6), (middle, high + 1e-6), (left - 1e-6, high + 1e-6), (left - 1e-6, low - 1e-6)]
