@@ -5,13 +5,11 @@ from __future__ import annotations
 import math
 from typing import NamedTuple
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cellscape.functions import lattice, text
+from cellscape.functions.rings import let
 from cellscape.functions.scoring import clip, range_score, ratio, severity_category
-from cellscape.operators.chunks import chunked_lists
 from cellscape.operators.outline import cluster_bins, region_outlines
 from cellscape.operators.quantile import group_quantiles
 from cellscape.operators.ring import ring_density
@@ -86,25 +84,28 @@ def _anchored_groups(rows: DataFrame, width: float) -> DataFrame:
 def _linked_groups(rows: DataFrame, width: float) -> DataFrame:
     """Complete-linkage groups of the distinct gaps of a bin; members lie within 2 x width.
 
-    Equal gaps always share a group, so only distinct values take part.
+    Equal gaps always share a group, so only distinct values take part; they are capped by the band limit and
+    measured in hundredths, so a bin has a few hundred at most.  Groups are intervals of the sorted gaps, and a step
+    joins the two neighbours that span least.
     """
-    values = rows.select(*KEY, "rsrp_dist_max").distinct()
-    schema = values.select("*").schema.add("grid_cluster_no", "integer")
+    values = F.array_sort(F.collect_set("rsrp_dist_max"))
+    single = F.transform(values, lambda x: F.struct(x.alias("lo"), x.alias("hi")))
+    own = rows.groupBy(*KEY).agg(single.alias("_start"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rsrp_dist_max")
-        x = pdf["rsrp_dist_max"].to_numpy()
-        groups = [[v, v] for v in x]
-        while len(groups) > 1:
-            spans = np.array([b[1] - a[0] for a, b in zip(groups, groups[1:])])
-            i = int(spans.argmin())
-            if spans[i] >= 2 * width:
-                break
-            groups[i : i + 2] = [[groups[i][0], groups[i + 1][1]]]
-        starts = np.array([g[0] for g in groups])
-        return pdf.assign(grid_cluster_no=np.searchsorted(starts, x, side="right").astype("int32"))
+    def join_least(groups: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(0), F.size(groups) - 2), lambda i: F.struct((F.get(groups, i + 1)["hi"] - F.get(groups, i)["lo"]).alias("span"), i.alias("i")))
 
-    return rows.join(values.groupBy(*KEY).applyInPandas(run, schema), [*KEY, "rsrp_dist_max"])
+        def joined(best: Column) -> Column:
+            i = best["i"]
+            both = F.array(F.struct(F.get(groups, i)["lo"].alias("lo"), F.get(groups, i + 1)["hi"].alias("hi")))
+            return F.when(best["span"] < 2 * width, F.concat(F.slice(groups, F.lit(1), i), both, F.slice(groups, i + 3, F.size(groups)))).otherwise(groups)
+
+        return F.when(F.size(groups) > 1, let(F.array_min(pairs), joined)).otherwise(groups)
+
+    steps = F.sequence(F.lit(1), F.greatest(F.size("_start") - 1, F.lit(1)))
+    own = own.withColumn("_groups", F.aggregate(steps, F.col("_start"), lambda groups, _: join_least(groups))).drop("_start")
+    number = F.size(F.filter("_groups", lambda g: g["lo"] <= F.col("rsrp_dist_max")))
+    return rows.join(own, KEY).withColumn("grid_cluster_no", number).drop("_groups")
 
 
 def dominant_bins(coverage: DataFrame, rows: DataFrame, p: Interference = Interference()) -> DataFrame:
@@ -180,11 +181,6 @@ def severity(clusters: DataFrame, p: Interference = Interference()) -> DataFrame
     return out.withColumn("severity_category", severity_category(F.col("severity_score"))).orderBy("band", F.desc("severity_score"))
 
 
-def cluster_cell_lists(members: DataFrame) -> DataFrame:
-    """Cells of every cluster as lists; very long ones continue in further chunks."""
-    return chunked_lists(members, ["cluster_id", "band"], "cell_name", "cells")
-
-
 def cell_interference(rows: DataFrame) -> DataFrame:
     """Interfering rows per cell: number, distances, share of events and total weight."""
     median = group_quantiles(rows, ["cell_name"], "distance_to_cell", {"median_distance_m": 0.5}, 10.0)

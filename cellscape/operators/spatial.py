@@ -137,6 +137,51 @@ def knn_join(
     return ranked.drop("_l", "_bx", "_by")
 
 
+def nearest_owners(queries: DataFrame, points: DataFrame, owner: str, k: int, finest_deg: float = 0.005, step: int = 2) -> DataFrame:
+    """The ``k`` owners with the nearest points to every query, exactly: (qid, llat, llon, owner, distance, rank).
+
+    ``queries`` has (qid, llat, llon), ``points`` (owner, rlat, rlon); distances are great circles in metres, an
+    owner counts by its nearest point, ties go to the least owner.  A pyramid counts the distinct owners per bucket.  A
+    query takes the finest level where a bucket beside it holds k owners; that bounds the distance of the k-th
+    owner, so one search of the buckets in reach is complete, however many points the near owners have.  With fewer
+    than k owners in the table all of them are returned.  Only points of searched buckets meet queries, and their
+    distances shrink to one per query and owner before the shuffle.
+    """
+    levels = 1 + math.ceil(math.log(360.0 / finest_deg, step))
+    size = F.lit(finest_deg) * F.pow(F.lit(float(step)), F.col("_l"))
+    columns = F.greatest(F.floor(360.0 / size), F.lit(1)).cast("long")
+    reach = 2 * F.sqrt(size * size + F.pow(360.0 / columns, 2)) * (1 + 1e-6)
+
+    def bucketed(df: DataFrame, lat: str, lon: str) -> DataFrame:
+        return df.withColumn("_by", F.floor(F.col(lat) / size)).withColumn("_bx", _column(F.col(lon), columns))
+
+    def at_all_levels(df: DataFrame) -> DataFrame:
+        return df.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+
+    bucket = ["_l", "_by", "_bx"]
+    wanted = min(k, points.select(owner).distinct().count())
+    held = bucketed(at_all_levels(points.select(owner, "rlat", "rlon")), "rlat", "rlon").select(*bucket, owner).distinct()
+    full = held.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") >= wanted).drop("_c")
+    around = F.sequence(F.lit(-1), F.lit(1))
+    beside = F.array_distinct(F.transform(around, lambda d: F.pmod(F.col("_bx") + d, columns)))
+    near_full = full.withColumn("_dy", F.explode(around)).withColumn("_bx", F.explode(beside)).select("_l", (F.col("_by") + F.col("_dy")).alias("_by"), "_bx").distinct()
+    asked = queries.select("qid", "llat", "llon")
+    seen = bucketed(at_all_levels(asked), "llat", "llon").join(near_full, bucket, "left_semi")
+    # a search round a pole visits every column, so it takes a level with few
+    seen = seen.where((F.abs(F.col("llat")) + reach < 89.0) | (columns <= MAX_COLUMNS))
+    chosen = seen.groupBy("qid").agg(F.min("_l").alias("_l"))
+    chosen = asked.join(chosen, "qid", "left").withColumn("_l", F.coalesce("_l", F.lit(levels - 1)))
+    rows = F.sequence(F.floor((F.col("llat") - reach) / size), F.floor((F.col("llat") + reach) / size))
+    search = chosen.withColumn("_by", F.explode(rows)).withColumn("_bx", F.explode(_columns_near(F.col("llon"), _lon_span(F.col("llat"), reach), columns)))
+    search = cut_lineage(search)
+    used = [F.lit(r["_l"]) for r in search.select("_l").distinct().collect()]  # at most one row per level
+    placed = bucketed(points.select(owner, "rlat", "rlon", F.explode(F.array(*used) if used else F.array().cast("array<int>")).alias("_l")), "rlat", "rlon").join(search.select(*bucket).distinct(), bucket, "left_semi")
+    distance = haversine_m(F.col("llat"), F.col("llon"), F.col("rlat"), F.col("rlon"))
+    least = search.join(placed, bucket).groupBy("qid", "llat", "llon", owner).agg(F.min(distance).alias("distance"))
+    ranked = least.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", owner)))
+    return ranked.where(F.col("rank") <= k)
+
+
 def dbscan(points: DataFrame, eps_m: float, min_points: int, keys: list[str] | None = None) -> DataFrame:
     """DBSCAN over (pid, lat, lon) by great-circle distance; adds ``cluster`` (null for noise).
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -593,6 +594,14 @@ def interference_groups(spark, sf):
     return rounded(rows.select("band", "ix", "iy", "cell_name", "perc_grid_events", "rsrp_dist_max", F.col("grid_cluster_no").cast("long").alias("grid_cluster_no")), 6, nudge=1e-9)
 
 
+@query
+def interference_linked(spark, sf):
+    """Signal groups of every bin by complete linkage."""
+    p = dataclasses.replace(NOISY, clustering="linked", linkage_width_db=0.6)
+    rows = interference.level_groups(interference.close_to_strongest(_shared_coverage(spark, sf), p), p)
+    return rounded(rows.select("band", "ix", "iy", "cell_name", "rsrp_dist_max", F.col("grid_cluster_no").cast("long").alias("grid_cluster_no")), 6)
+
+
 @query
 def interference_dominant(spark, sf):
     cov = _shared_coverage(spark, sf)
@@ -620,7 +629,7 @@ def interference_cells(spark, sf):
 @query
 def interference_clusters(spark, sf):
     found = interference.detect_interference(_shared_coverage(spark, sf), NOISY)
-    return rounded(_outlined(found.clusters), 4)
+    return rounded(_outlined(found.clusters), 4, nudge=1e-9)
 
 
 @query
@@ -678,8 +687,8 @@ def server_counts(spark, sf):
     return lowcoverage.server_count_distribution(tables.coverage(spark, sf))
 
 
-def _hulls(spark, sf):
-    built = hulls.build_hulls(tables.coverage(spark, sf), tables.cell_gis(spark, sf))
+def _hulls(spark, sf, share=hulls.CLOSEST_SHARE):
+    built = hulls.build_hulls(tables.coverage(spark, sf), tables.cell_gis(spark, sf), share)
     return hulls.enrich_hulls(built, tables.cell_gis(spark, sf))
 
 
@@ -692,8 +701,9 @@ def _wedges(spark, sf):
 
 @query
 def hull_build(spark, sf):
-    out = _hulls(spark, sf).withColumn("outline", rings.to_wkt(F.col("ring")))
-    return rounded(out.drop("ring"), 4)
+    out = _hulls(spark, sf).withColumns({"n_corners": (F.size("ring") - 1).cast("long"), "_b": rings.ring_bounds(F.col("ring"))})
+    box = [F.round(f"_b.{c}", 6).alias(c) for c in ("min_lon", "max_lon", "min_lat", "max_lat")]
+    return out.select("cell_name", "sample_count", F.round("area_km2", 4).alias("area_km2"), "band", "pci", "site", "n_corners", *box)
 
 
 @query
@@ -711,8 +721,8 @@ def uncovered_bins(spark, sf):
 
 @query
 def coverage_gaps_measured(spark, sf):
-    """Gaps between the outlines measured from the coverage table, per band."""
-    return rounded(_outlined(gaps.detect_coverage_gaps(_hulls(spark, sf), MEASURED, by_band=True).gaps))
+    """Gaps per band between outlines measured from the coverage table; those of the closest tenth leave some."""
+    return rounded(_outlined(gaps.detect_coverage_gaps(_hulls(spark, sf, 0.1), MEASURED, by_band=True).gaps))
 
 
 @query
@@ -755,13 +765,13 @@ def single_server_bins(spark, sf):
 
 @query
 def hull_conflicts(spark, sf):
-    return hulls.detect_pci_overlaps(_hulls(spark, sf))
+    return hulls.detect_pci_overlaps(_hulls(spark, sf)).drop("recommendation")
 
 
 @query
 def ca_imbalance(spark, sf):
     pattern = P.CarrierAggregation(cell_pattern=r"^(S\d+)[LH](\d)$", pairs=(("L800-L1800", "L800", "L1800"),), threshold=0.999)
-    return hulls.detect_ca_imbalance(_hulls(spark, sf), pattern)
+    return hulls.detect_ca_imbalance(_hulls(spark, sf), pattern).drop("recommendation")
 
 
 def _growth(spark, sf):
@@ -779,8 +789,10 @@ def uptilt_extension(spark, sf):
 @query
 def uptilt_final_candidates(spark, sf):
     cov, gis = tables.coverage(spark, sf), tables.cell_gis(spark, sf)
-    shares = hulls.expansion_interference(hulls.expansion_bins(_wedges(spark, sf), gis, _growth(spark, sf)), cov)
-    return rounded(hulls.final_uptilt_candidates(shares, cov.groupBy("cell_name").agg(F.count(F.lit(1)).alias("grid_count"))))
+    # bins here have about thirty servers each, so that many count as quiet
+    shares = hulls.expansion_interference(hulls.expansion_bins(_wedges(spark, sf), gis, _growth(spark, sf)), cov, max_cells=30)
+    grids = cov.groupBy("cell_name").agg(F.count(F.lit(1)).alias("grid_count"))
+    return rounded(hulls.final_uptilt_candidates(shares, grids, max_share=0.7, min_growth=0.02))
 
 
 @query

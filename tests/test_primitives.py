@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellscape.functions import geo, lattice, rings, shapes
-from cellscape.operators.chunks import chunked_lists
 from cellscape.operators.components import connected_components, lattice_components
 from cellscape.operators.quantile import attach_percentile_range, group_quantiles
 from cellscape.operators.ring import expand_ring, ring_density
@@ -281,11 +280,3 @@ def test_covers_match_brute_force(spark):
                 want_centre.add((ix, iy))
     assert touched == want_touch
     assert centred == want_centre
-
-
-def test_lists_are_cut_into_bounded_pieces(spark):
-    df = spark.createDataFrame([("a", f"c{i:03d}") for i in range(100)] + [("b", "x")], "k string, c string")
-    rows = chunked_lists(df, ["k"], "c", "cells", size=10).collect()
-    assert sorted(c for r in rows if r.k == "a" for c in r.cells) == [f"c{i:03d}" for i in range(100)]
-    assert max(len(r.cells) for r in rows) < 30
-    assert [(r.chunk, r.n_cells) for r in rows if r.k == "b"] == [(0, 1)]

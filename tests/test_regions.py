@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cellscape.functions import lattice, rings, shapes
 from cellscape.operators import gaps, hulls, lowcoverage, outline, spans
-from cellscape.operators.spatial import cover_convex, touch_spans
+from cellscape.operators.spatial import cover_convex, nearest_owners, touch_spans
 from cellscape.params import PciOverlap
 from cellscape.sources import readers, writers
 
@@ -293,3 +293,31 @@ def test_touch_spans_are_the_touching_bins(spark):
     df = shaped(spark, [(1, wkt([[(0.5, 0.5), (9.3, 2.2), (4.1, 7.9)]]))]).withColumn("ring", F.col("shape")[0]["ring"]).select("id", "ring")
     assert bins(touch_spans(df)) == {(r.ix - X0, r.iy - Y0) for r in cover_convex(df).collect()}
     assert lattice.bits() == (18, 17) and rings.RING_TYPE
+
+
+def test_nearest_owners_against_brute_force(spark):
+    """Dense owners, far owners, a pole and the antimeridian; fewer owners than asked for end after one search."""
+    rng = np.random.default_rng(3)
+    points = [(f"c{i % 5}", float(50 + rng.uniform(0, 0.001)), float(6 + rng.uniform(0, 0.001))) for i in range(300)]
+    points += [(f"f{i}", float(rng.uniform(40, 60)), float(rng.uniform(-10, 20))) for i in range(40)]
+    points += [("west", 10.0, -179.99), ("east", 10.0, 179.98), ("pole", 89.9, 10.0), ("south", -70.0, 3.0)]
+    queries = [(1, 50.0005, 6.0005), (2, 45.0, 0.0), (3, 10.0, 179.999), (4, 89.95, -170.0), (5, -80.0, 100.0)]
+    q = spark.createDataFrame(queries, "qid int, llat double, llon double")
+    df = spark.createDataFrame(points, "cell_name string, rlat double, rlon double")
+
+    def metres(a, b, c, d):
+        a, b, c, d = map(np.radians, (a, b, c, d))
+        h = np.sin((c - a) / 2) ** 2 + np.cos(a) * np.cos(c) * np.sin((d - b) / 2) ** 2
+        return 2 * 6_371_000.0 * np.arctan2(np.sqrt(h), np.sqrt(max(1 - h, 0)))
+
+    for k in (1, 4, 30, 100):
+        got = {}
+        for r in nearest_owners(q, df, "cell_name", k).collect():
+            got.setdefault(r.qid, []).append((r["rank"], r.cell_name, r.distance))
+        for i, la, lo in queries:
+            best = {}
+            for c, a, b in points:
+                best[c] = min(metres(la, lo, a, b), best.get(c, 1e9))
+            want = sorted(best.items(), key=lambda x: (x[1], x[0]))[:k]
+            assert [(c, pytest.approx(d, abs=1e-3)) for _, c, d in sorted(got[i])] == want
+    assert nearest_owners(q, df.limit(0), "cell_name", 3).count() == 0
