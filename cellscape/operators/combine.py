@@ -31,6 +31,28 @@ def severity_statistics(findings: DataFrame) -> DataFrame:
     return rows.select(F.explode(sets).alias("s")).groupBy("s.dimension", "s.value").agg(F.count(F.lit(1)).alias("findings"))
 
 
+def detector_statistics(**findings: DataFrame) -> DataFrame:
+    """Findings of every detector by severity, band and environment and in all, with mean tilt change and area.
+
+    (detector, dimension, value, findings, mean_change, area_km2).  The mean is of ``recommended_tilt_change`` or
+    ``recommended_uptilt_deg`` and the area the sum of ``area_km2``, null for detectors without them.  A detector without
+    findings has one row of count 0.
+    """
+    parts = []
+    for name, df in findings.items():
+        dims = [c for c in ("severity_category", "band", "environment") if c in df.columns]
+        change = next((F.col(c).cast("double") for c in ("recommended_tilt_change", "recommended_uptilt_deg") if c in df.columns), F.lit(None).cast("double"))
+        area = F.col("area_km2").cast("double") if "area_km2" in df.columns else F.lit(None).cast("double")
+        pair = lambda dimension, value: F.struct(F.lit(dimension).alias("dimension"), value.alias("value"))
+        sets = F.array(*[pair(d, F.coalesce(F.col(d).cast("string"), F.lit("unknown"))) for d in dims]) if dims else F.array().cast("array<struct<dimension:string,value:string>>")
+        figures = [F.count("_one").alias("findings"), F.avg("_change").alias("mean_change"), F.sum("_area").alias("area_km2")]
+        rows = df.select(F.lit(1).alias("_one"), change.alias("_change"), area.alias("_area"), sets.alias("_sets"))
+        whole = rows.agg(*figures).select(F.lit("all").alias("dimension"), F.lit("all").alias("value"), "findings", "mean_change", "area_km2")
+        split = rows.select("*", F.explode("_sets").alias("_s")).groupBy("_s.dimension", "_s.value").agg(*figures)
+        parts.append(whole.unionByName(split).select(F.lit(name).alias("detector"), "*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def unified_rows(findings: DataFrame, detector: str, action: Column, cell: str = "cell_name") -> DataFrame:
     """Findings of one detector in the common schema."""
     band = F.col("band") if "band" in findings.columns else band_from_cell(F.col(cell))
@@ -44,9 +66,19 @@ def unified_rows(findings: DataFrame, detector: str, action: Column, cell: str =
     )
 
 
-def unified_recommendations(overshooters=None, undershooters=None, collisions=None, imbalance=None, feeders=None) -> DataFrame:
-    """One list of recommendations over all detectors."""
+def unified_recommendations(overshooters=None, undershooters=None, collisions=None, imbalance=None, feeders=None, confusions=None, blacklist=None) -> DataFrame:
+    """One list of recommendations over all detectors.
+
+    A confusion is listed with its number of neighbours; their names are rows of ``pci.confusion_members``.  Blacklist
+    entries have no score and the lowest class but one, as they need a review only.
+    """
     parts = []
+    if confusions is not None:
+        action = F.format_string("separate %d neighbours with identity %d", F.col("group_size").cast("int"), F.col("confusion_pci").cast("int"))
+        parts.append(unified_rows(confusions, "pci_confusion", action, "serving"))
+    if blacklist is not None:
+        rated = blacklist.withColumns({"severity_category": F.lit("LOW"), "severity_score": F.lit(None).cast("double")})
+        parts.append(unified_rows(rated, "pci_blacklist", F.concat(F.lit("blacklist "), "neighbor", F.lit(": "), "reason"), "serving"))
     if overshooters is not None:
         parts.append(unified_rows(overshooters, "overshooting", F.format_string("downtilt %d deg", F.col("recommended_tilt_change").cast("int"))))
     if undershooters is not None:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cellscape.functions import geo, text
 from cellscape.functions.scoring import ratio, severity_category
+from cellscape.operators.checks import RELATIONS, require
 from cellscape.operators.quantile import group_quantiles
 from cellscape.params import BAND_RADIUS_KM, Feeders
 from cellscape.session import cut_lineage
@@ -195,6 +196,8 @@ def site_summary(cells: DataFrame) -> DataFrame:
 
 
 def detect_crossed_feeders(relations: DataFrame, gis: DataFrame, p: Feeders = Feeders()) -> FeederFindings:
+    require(relations, "crossed feeders", *RELATIONS)
+    require(gis, "crossed feeders", "cell_name", "bearing", "latitude", "longitude")
     metrics = cut_lineage(cell_metrics(relation_geometry(relations, gis, p), gis, p))
     pairs = cut_lineage(swap_pairs(metrics, p))
     cells = cut_lineage(grade_cells(metrics, pairs, gis, p))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cellscape.functions import lattice, text
 from cellscape.functions.rings import let
 from cellscape.functions.scoring import clip, range_score, ratio, severity_category
+from cellscape.operators.checks import COVERAGE, require
 from cellscape.operators.outline import cluster_bins, region_outlines
 from cellscape.operators.quantile import group_quantiles
 from cellscape.operators.ring import ring_density
@@ -147,6 +148,7 @@ def with_rsrp_weight(rows: DataFrame) -> DataFrame:
 
 def detect_interference(coverage: DataFrame, p: Interference = Interference()) -> InterferenceFindings:
     """Interference regions with severity, their member cells, and the rows behind them."""
+    require(coverage, "interference", *COVERAGE[:5], *(() if p.perceived else ("perc_grid_events",)))
     if p.max_sinr_db is not None and "avg_sinr" in coverage.columns:
         coverage = coverage.where(F.col("avg_sinr") <= p.max_sinr_db)
     rows = cut_lineage(with_rsrp_weight(cut_lineage(dense_bins(interfering_bins(coverage, p), p))))

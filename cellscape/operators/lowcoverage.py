@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cellscape.functions import antenna, shapes, text
 from cellscape.functions.scoring import clip, range_score, severity_category
+from cellscape.operators.checks import COVERAGE, require
 from cellscape.operators import spans
 from cellscape.operators.environment import attach_environment
 from cellscape.operators.outline import clip_regions, clip_to_boundary, cluster_bins, drop_slivers, region_outlines, region_summary
@@ -142,6 +143,7 @@ def detect_low_coverage(
     min_outline_km2: float = MIN_OUTLINE_KM2,
 ) -> LowCoverageFindings:
     """Low-coverage regions per band with servers, samples, confidence and severity."""
+    require(coverage, "low coverage", *COVERAGE)
     rows = cut_lineage(good_rows(coverage, environment))
     dense = dense_low_bins(low_rsrp_bins(rows, p), rows, p)
     bins = cut_lineage(

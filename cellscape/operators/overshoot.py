@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cellscape.functions import antenna, geo
 from cellscape.functions.scoring import clip, range_score, ratio, severity_category
+from cellscape.operators.checks import COVERAGE, require
 from cellscape.operators.competition import BIN_BAND, competition_counts, reference_level
 from cellscape.operators.environment import attach_environment
 from cellscape.operators.quantile import attach_percentile_range, group_quantiles
@@ -237,6 +238,8 @@ def detect_overshooting(
 
     With ``environment`` and ``by_environment`` each cell is judged by the limits of its class.
     """
+    require(coverage, "overshooting", *COVERAGE)
+    require(gis, "overshooting", "cell_name")
     coverage, gis = sanitise(coverage, gis, params)
     rows = with_distance(coverage, gis)
     classes = None

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cellscape.functions import text
 from cellscape.functions.scoring import clip, log1p_safe, ratio, severity_category
+from cellscape.operators.checks import RELATIONS, require
 from cellscape.operators.components import connected_components
 from cellscape.operators.quantile import group_quantiles
 from cellscape.params import PciPlan
@@ -63,6 +64,7 @@ def build_network(relations: DataFrame, p: PciPlan = PciPlan(), blacklist: DataF
     A cell's attributes come from its serving rows, else from rows where it is the neighbour.
     ``blacklist`` (serving, neighbour) takes relations out of shares and later steps.
     """
+    require(relations, "identity planning", *RELATIONS, "pci", "to_pci", "band", "to_band")
     rows = clean_relations(relations, p)
     serving = rows.select(F.col("serving").alias("cell"), F.lit(0).alias("role"), "pci", "band")
     heard = rows.select(F.col("neighbour").alias("cell"), F.lit(1).alias("role"), F.col("to_pci").alias("pci"), F.col("to_band").alias("band"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cellscape.functions import antenna
 from cellscape.functions.scoring import clip, range_score, ratio, round_half_even, severity_category
+from cellscape.operators.checks import COVERAGE, require
 from cellscape.operators.competition import BIN_BAND, competition_counts, with_reference_level
 from cellscape.operators.environment import attach_environment
 from cellscape.operators.quantile import attach_percentile_range
@@ -72,11 +73,6 @@ def join_inventory(candidates: DataFrame, gis: DataFrame) -> DataFrame:
     return candidates.join(gis.select("cell_name", *kept), "cell_name")
 
 
-def missing_inventory(candidates: DataFrame, gis: DataFrame) -> DataFrame:
-    """Candidates that the inventory join loses."""
-    return candidates.join(gis, "cell_name", "left_anti")
-
-
 def uptilt_impact(cells: DataFrame, p: Undershoot, by_environment: dict | None = None) -> DataFrame:
     """Reach and relative gain after 1 and 2 degrees of uptilt."""
     tilt = F.coalesce("tilt_mech", F.lit(0.0)) + F.coalesce("tilt_elc", F.lit(0.0))
@@ -155,6 +151,8 @@ def detect_undershooting(
     by_environment: dict[str, Undershoot] | None = None,
 ) -> Undershooters:
     """Undershooting cells with an uptilt recommendation, and their interfering bins."""
+    require(coverage, "undershooting", *COVERAGE)
+    require(gis, "undershooting", "cell_name")
     rows = sanitise(coverage, gis)
     stats = cell_statistics(rows)
     if by_environment is not None:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import datetime
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cellscape.functions import lattice
+from cellscape.functions import lattice, shapes
 from cellscape.params import OvershootChecks, UndershootChecks
 
 
@@ -91,3 +92,36 @@ def coverage_quality(coverage: DataFrame, day: datetime.date, max_age_days: int
         newest = F.max(F.try_to_timestamp(F.col("ts").cast("string")))
         measures += [newest.alias("newest"), (F.datediff(F.lit(day), newest) > max_age_days).alias("stale")]
     return coverage.agg(*measures)
+
+
+def input_quality(coverage: DataFrame, gis: DataFrame, hulls: DataFrame | None, cell_pattern: str, min_parse_ratio: float, day: datetime.date) -> DataFrame:
+    """Problems of the input tables that detectors pass over in silence, one row per check: (check, rows, problems, ok).
+
+    Counted are signals outside -140 to -30 dBm, rows without event count or distance, cells without an inventory row,
+    inventory rows without a position, names the site pattern cannot read, and, of outlines, missing polygons,
+    repeated cells and outlines without area.  ``ok`` is false where the names fall below ``min_parse_ratio`` or
+    another check has a problem in every row.
+    """
+    def check(df: DataFrame, name: str, bad) -> DataFrame:
+        found = F.sum(F.when(F.coalesce(bad, F.lit(True)), 1).otherwise(0))
+        counted = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(found, F.lit(0)).cast("long").alias("problems"))
+        return counted.select(F.lit(name).alias("check"), "rows", "problems", ((F.col("rows") == 0) | (F.col("problems") < F.col("rows"))).alias("ok"))
+
+    served = coverage.groupBy("cell_name").agg(F.count(F.lit(1)).alias("n")).join(gis.select("cell_name").distinct().withColumn("_known", F.lit(True)), "cell_name", "left")
+    names = check(gis, "name_pattern", ~F.col("cell_name").rlike(cell_pattern))
+    out = [
+        check(coverage, "signal_range", ~F.col("avg_rsrp").between(-140, -30)),
+        check(coverage, "event_count", F.col("event_count").isNull() | (F.col("event_count") <= 0)),
+        check(coverage, "distance", F.col("distance_to_cell").isNull() | (F.col("distance_to_cell") < 0)),
+        check(served, "inventory_missing", F.col("_known").isNull()),
+        check(gis, "position", F.col("latitude").isNull() | F.col("longitude").isNull()),
+        names.withColumn("ok", F.col("rows") - F.col("problems") >= min_parse_ratio * F.col("rows")),
+    ]
+    if hulls is not None:
+        shaped = shapes.with_shape(hulls)
+        out += [
+            check(shaped, "polygon_missing", F.col("shape").isNull()),
+            check(shaped.where(F.col("shape").isNotNull()), "polygon_area", ~(shapes.area_km2(F.col("shape")) > 0)),
+            check(shaped.groupBy("cell_name").agg(F.count(F.lit(1)).alias("n")), "polygon_repeated", F.col("n") > 1),
+        ]
+    return reduce(DataFrame.unionByName, out)

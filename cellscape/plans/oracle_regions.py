@@ -328,3 +328,35 @@ cte("nbin", "SELECT DISTINCT cell_name, band, ix, unnest(range(lo, hi+1)) AS iy
 centres("ncen", "nout")
 gap_regions("gm", "band", "nout", "nbin", "ncen", 0.05, 0.002)
 ORACLE["coverage_gaps_measured"] = recursive(f"SELECT band, {GAP_COLUMNS} FROM gmf", "gmf")
+
+# --- statistics and input quality ---
+
+_parts = {
+    "overshooting": (f"SELECT {sev('severity_score', '>')} AS s, NULL AS b, recommended_tilt_change AS c, NULL AS a FROM oss", True, False),
+    "undershooting": ("SELECT severity_category AS s, NULL AS b, recommended_uptilt_deg AS c, NULL AS a FROM uss", True, False),
+    "pci_confusions": (f"SELECT {sev('sc')} AS s, band AS b, NULL AS c, NULL AS a FROM confs", True, True),
+    "pci_collisions": (f"SELECT {sev('sc')} AS s, band AS b, NULL AS c, NULL AS a FROM coll", True, True),
+    "pci_blacklist": ("SELECT NULL AS s, NULL AS b, NULL AS c, NULL AS a FROM dec", False, False),
+    "coverage_gaps": ("SELECT NULL AS s, band AS b, NULL AS c, area_km2 AS a FROM gbf", False, True),
+}
+_rows = []
+for _name, (_from, _by_severity, _by_band) in _parts.items():
+    for _dim, _value, _on in (("all", "'all'", True), ("severity_category", "s", _by_severity), ("band", "b", _by_band)):
+        if _on:
+            _rows.append(f"SELECT '{_name}' AS detector, '{_dim}' AS dimension, {_value} AS value, count(*) AS findings, round(avg(CAST(c AS DOUBLE)),3) AS mean_change, round(sum(CAST(a AS DOUBLE)),3) AS area_km2 FROM ({_from}) GROUP BY ALL")
+ORACLE["detector_statistics"] = recursive(" UNION ALL ".join(_rows), "oss", "uss", "confs", "coll", "dec", "gbf")
+ORACLE["unified_identities"] = sql(f"""SELECT 'pci_confusion' AS detector, serving AS cell_name, band, {sev('sc')} AS severity_category, round(sc,4) AS severity_score, 'separate '||group_size||' neighbours with identity '||confusion_pci AS action FROM confs
+  UNION ALL SELECT 'pci_blacklist', s, CASE WHEN s LIKE '%L_' THEN 'L800' ELSE 'L1800' END, 'LOW', NULL, 'blacklist '||n||': '||reason FROM dec""", "confs", "dec")
+ORACLE["tilt_per_cell"] = sql("""SELECT cell_name, CAST(arg_max(t, (sc, t)) AS INTEGER) AS tilt_change FROM (SELECT cell_name, severity_score AS sc, recommended_tilt_change AS t FROM oss UNION ALL
+  SELECT cell_name, severity_score, -recommended_uptilt_deg FROM uss) GROUP BY 1""", "oss", "uss")
+ORACLE["low_coverage_plain"] = sql("SELECT DISTINCT band, ix, iy FROM lr WHERE r<=-115", "lr")
+ORACLE["hull_quality"] = recursive("""SELECT count(*) AS rows, CAST(0 AS BIGINT) AS without_polygon, CAST(0 AS BIGINT) AS duplicates, CAST(sum(CASE WHEN n<15000 THEN 1 ELSE 0 END) AS BIGINT) AS low_sample
+  FROM mring JOIN (SELECT cell_name, sum(event_count) AS n FROM cov GROUP BY 1) USING (cell_name)""", "mring", "cov")
+cte("gisq", "SELECT * FROM gis WHERE market<>'0'", "gis")
+ORACLE["input_quality"] = recursive(r"""SELECT v."check", CAST(n AS BIGINT) AS rows, CAST(p AS BIGINT) AS problems, CASE WHEN v."check"='name_pattern' THEN n-p>=0.7*n ELSE n=0 OR p<n END AS ok FROM (
+  SELECT 'signal_range' AS "check", count(*) AS n, count(CASE WHEN avg_rsrp NOT BETWEEN -140 AND -30 THEN 1 END) AS p FROM cov
+  UNION ALL SELECT 'event_count', count(*), count(CASE WHEN event_count<=0 THEN 1 END) FROM cov UNION ALL SELECT 'distance', count(*), count(CASE WHEN distance_to_cell<0 THEN 1 END) FROM cov
+  UNION ALL SELECT 'inventory_missing', count(*), count(CASE WHEN cell_name NOT IN (SELECT cell_name FROM gisq) THEN 1 END) FROM (SELECT DISTINCT cell_name FROM cov)
+  UNION ALL SELECT 'position', count(*), count(CASE WHEN latitude IS NULL OR longitude IS NULL THEN 1 END) FROM gisq
+  UNION ALL SELECT 'name_pattern', count(*), count(CASE WHEN NOT regexp_matches(cell_name,'^S\d+[LH][12]$') THEN 1 END) FROM gisq
+  UNION ALL SELECT 'polygon_missing', count(*), 0 FROM mring UNION ALL SELECT 'polygon_area', count(*), count(CASE WHEN km2<=0 THEN 1 END) FROM marea UNION ALL SELECT 'polygon_repeated', count(*), 0 FROM mring) v""", "cov", "gisq", "mring", "marea")

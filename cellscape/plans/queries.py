@@ -925,6 +925,52 @@ def issue_statistics(spark, sf):
     return combine.severity_statistics(both)
 
 
+@query
+def detector_statistics(spark, sf):
+    """Statistics of cell, identity and area detectors."""
+    over, under, _ = _shooters(spark, sf)
+    net = _network(spark, sf)
+    holes = gaps.detect_coverage_gaps(_wedges(spark, sf), HOLES, by_band=True).gaps
+    found = combine.detector_statistics(
+        overshooting=over.cells, undershooting=under.cells, pci_confusions=pci.detect_confusions(net), pci_collisions=pci.detect_collisions(net, PLAN),
+        pci_blacklist=pci.suggest_blacklist(net, PLAN), coverage_gaps=holes,
+    )
+    return rounded(found, 3)
+
+
+@query
+def unified_identities(spark, sf):
+    """Confusions and blacklist entries in the common list of recommendations."""
+    net = _network(spark, sf)
+    return rounded(combine.unified_recommendations(confusions=pci.detect_confusions(net), blacklist=pci.suggest_blacklist(net, PLAN)), 4)
+
+
+@query
+def tilt_per_cell(spark, sf):
+    """One tilt change per cell of over- and undershooting together; uptilts are negative."""
+    over, under, _ = _shooters(spark, sf)
+    down = over.cells.select("cell_name", "severity_score", F.col("recommended_tilt_change").cast("int").alias("tilt_change"))
+    up = under.cells.select("cell_name", "severity_score", (-F.col("recommended_uptilt_deg")).cast("int").alias("tilt_change"))
+    return combine.first_tilt_per_cell(down.unionByName(up), "tilt_change")
+
+
+@query
+def input_quality(spark, sf):
+    cov, gis = tables.coverage(spark, sf), tables.cell_gis(spark, sf)
+    return validate.input_quality(cov, gis.where(F.col("market") != "0"), _hulls(spark, sf), r"^S\d+[LH][12]$", 0.7, DAY)
+
+
+@query
+def hull_quality(spark, sf):
+    return hulls.hull_quality(_hulls(spark, sf), DAY, min_samples=15_000)
+
+
+@query
+def low_coverage_plain(spark, sf):
+    cov = tables.coverage(spark, sf).withColumn("avg_rsrp", F.col("avg_rsrp") - 20)
+    return lowcoverage.low_rsrp_bins_plain(lowcoverage.good_rows(cov, environment.classify_environment(tables.cell_gis(spark, sf), ENV_RULES)), WEAK)
+
+
 @query
 def detector_counts(spark, sf):
     over, under, _ = _shooters(spark, sf)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellscape.functions import rings
+from cellscape.params import CarrierAggregation
 from cellscape.plans import daily
 from cellscape.plans.oracle import ORACLE
 from cellscape.plans.queries import QUERIES
@@ -89,7 +90,8 @@ def test_whole_run(spark, tmp_path):
     cov, gis = tables.coverage(spark, SF), tables.cell_gis(spark, SF)
     cov = cov.withColumn("perc_grid_events", F.lit(0.2))
     inputs = daily.Inputs(cov, gis, tables.relations(spark, SF), hulls.build_hulls(cov, gis))
-    found = daily.run_detectors(inputs, datetime.date(2025, 1, 2))
+    settings = daily.Settings(carrier_aggregation=CarrierAggregation(cell_pattern=r"^(S\d+)[LH](\d)$"))
+    found = daily.run_detectors(inputs, datetime.date(2025, 1, 2), settings)
     assert {"overshooting", "undershooting", "interference", "low_coverage_advice", "coverage_gaps_by_band", "pci_combined", "crossed_feeders", "ca_imbalance", "daily_resolution", "tier3_neighbours"} <= set(found)
     some = {k: found[k] for k in ("environment", "pci_confusions", "coverage_gaps")}
     assert daily.summary(some).count() == 3

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cellscape.operators import environment, gaps, hulls, lowcoverage, outline, reports
+from cellscape.operators import combine, environment, feeders, gaps, hulls, interference, lowcoverage, outline, overshoot, pci, reports, undershoot, validate
 from cellscape.params import EnvironmentRules, LowCoverage
 
 
@@ -86,3 +86,47 @@ def test_confusion_of_four_gives_three_rows(spark):
 
     got = reports.pci_level2(collisions, members, decisions, relations, gis, datetime.date(2025, 3, 9)).collect()
     assert sorted((r.cilac, r.nextcilac) for r in got) == [(1, 2), (2, 3), (3, 4)]
+
+
+def test_detectors_name_the_columns_they_lack(spark):
+    cov = spark.createDataFrame([(1, 2, "a")], "ix int, iy int, cell_name string")
+    shaped = spark.createDataFrame([("a", "L800", 1)], "cell_name string, band string, pci int")
+    calls = [
+        lambda: overshoot.detect_overshooting(cov, cov), lambda: undershoot.detect_undershooting(cov, cov), lambda: interference.detect_interference(cov),
+        lambda: lowcoverage.detect_low_coverage(cov), lambda: gaps.detect_coverage_gaps(shaped), lambda: hulls.detect_pci_overlaps(shaped),
+        lambda: hulls.detect_ca_imbalance(shaped), lambda: pci.build_network(cov), lambda: feeders.detect_crossed_feeders(cov, cov),
+    ]
+    for call, lacks in zip(calls, ["avg_rsrp", "avg_rsrp", "perc_grid_events", "event_count", "shape or ring", "shape or ring", "shape or ring", "to_cell_name", "weight"], strict=True):
+        with pytest.raises(ValueError, match=lacks):
+            call()
+
+
+def test_a_pattern_that_reads_too_few_names_is_an_error(spark):
+    ring = [(0.0, 0.0), (0.01, 0.0), (0.01, 0.01), (0.0, 0.0)]
+    df = spark.createDataFrame([("X1", "L800", ring), ("SITE1LS1", "L800", ring), ("X2", "L1800", ring)], "cell_name string, band string, ring array<struct<lon:double,lat:double>>")
+    with pytest.raises(ValueError, match="33.3%"):
+        hulls.detect_ca_imbalance(df)
+    assert hulls.detect_ca_imbalance(df.limit(0)).count() == 0
+
+
+def test_input_quality_counts_every_problem(spark):
+    cov = spark.createDataFrame([("A", -90.0, 3, 10.0), ("A", -20.0, 0, None), ("B", None, 2, 5.0)], "cell_name string, avg_rsrp double, event_count long, distance_to_cell double")
+    gis = spark.createDataFrame([("A", 1.0, 2.0), ("C9", None, 2.0)], "cell_name string, latitude double, longitude double")
+    ring = [(0.0, 0.0), (0.01, 0.0), (0.01, 0.01), (0.0, 0.0)]
+    shaped = spark.createDataFrame([("A", ring), ("A", None), ("B", [(0.0, 0.0)] * 4)], "cell_name string, ring array<struct<lon:double,lat:double>>")
+    got = {r.check: (r.rows, r.problems, r.ok) for r in validate.input_quality(cov, gis, shaped, r"^[A-Z]$", 0.9, None).collect()}
+    assert got == {
+        "signal_range": (3, 2, True), "event_count": (3, 1, True), "distance": (3, 1, True), "inventory_missing": (2, 1, True), "position": (2, 1, True),
+        "name_pattern": (2, 1, False), "polygon_missing": (3, 1, True), "polygon_area": (2, 1, True), "polygon_repeated": (2, 1, True),
+    }
+
+
+def test_statistics_of_all_detectors(spark):
+    over = spark.createDataFrame([("a", "L800", "HIGH", 1), ("b", "L800", "LOW", 2), ("c", None, "LOW", 2)], "cell_name string, band string, severity_category string, recommended_tilt_change int")
+    areas = spark.createDataFrame([("L800", 1.5), ("L1800", 2.0)], "band string, area_km2 double")
+    got = {(r.detector, r.dimension, r.value): (r.findings, r.mean_change, r.area_km2) for r in combine.detector_statistics(over=over, gaps=areas, none=areas.limit(0)).collect()}
+    assert got == {
+        ("over", "all", "all"): (3, pytest.approx(5 / 3), None), ("over", "severity_category", "HIGH"): (1, 1.0, None), ("over", "severity_category", "LOW"): (2, 2.0, None),
+        ("over", "band", "L800"): (2, 1.5, None), ("over", "band", "unknown"): (1, 2.0, None), ("gaps", "all", "all"): (2, None, 3.5),
+        ("gaps", "band", "L800"): (1, None, 1.5), ("gaps", "band", "L1800"): (1, None, 2.0), ("none", "all", "all"): (0, None, None),
+    }
