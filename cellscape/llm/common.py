@@ -31,6 +31,14 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{kind}/{uuid.uuid4().hex}"
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """``name``, lengthened until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def uniform(*columns) -> Column:
     """A repeatable draw in (0, 1) from the hash of the columns."""
     return (F.pmod(F.xxhash64(*columns), F.lit(2**52)) + F.lit(0.5)) / F.lit(float(2**52))

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cellscape.llm.common import WORD, text_of, words_of
+from cellscape.llm.common import WORD, text_of, unused, words_of
 from cellscape.llm.labelled import labelled_sample
 from cellscape.session import cut_lineage
 
@@ -38,9 +38,13 @@ def _count(text: Column, pattern: str) -> Column:
     return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("long")
 
 
-def repeat_words(words: Column, grams: Column) -> Column:
+def _held(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once: transform over an array of one element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def repeat_words(grams: Column) -> Column:
     """Words inside windows whose hash occurs twice or more; ``grams`` are the 64-bit hashes of the windows by start."""
-    ordered = F.sort_array(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
     def starts(s: Column) -> Column:
         twin = lambda x, k: F.get(s, k)["h"].eqNullSafe(x["h"])
@@ -50,37 +54,49 @@ def repeat_words(words: Column, grams: Column) -> Column:
         each = F.transform(p, lambda i, k: F.least(F.lit(WINDOW), F.coalesce(F.get(p, k + 1) - i, F.lit(WINDOW))))
         return F.aggregate(each, F.lit(0).cast("long"), lambda a, n: a + n)
 
-    # transform over a one-element array holds an intermediate so that it is computed once
-    held = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
-    found = held(ordered, lambda s: held(starts(s), covered))
+    ordered = F.sort_array(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    found = _held(ordered, lambda s: _held(starts(s), covered))
     return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0).cast("long")).otherwise(found)
 
 
-def with_figures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add struct ``__f`` with the figures of each text; null texts count as empty."""
-    t = F.col("__t")
-    kept = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(*kept, text_of(text).alias("__t"))
-    rows = rows.select(*kept, "__t", words_of(t).alias("__w"))
-    rows = rows.select(*kept, "__t", "__w", F.transform("__w", lambda w: F.xxhash64(w)).alias("__h"))
-    last = F.size("__h") - WINDOW
-    h = F.col("__h")
-    grams = F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>"))
-    rows = rows.select(*kept, "__t", "__w", "__h", grams.alias("__g"), F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD)).alias("__l"))
-    figures = F.struct(
-        F.size("__w").cast("long").alias("n_words"),
-        F.length(F.regexp_replace(t, r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
-        _count(t, SYMBOLS).alias("n_symbols"),
-        (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
-        repeat_words(F.col("__w"), F.col("__g")).alias("n_repeat_words"),
-        F.size("__l").cast("long").alias("n_lines"),
-        _count(t, r"\p{Lu}").alias("n_upper"),
-        _count(t, r"[!?]").alias("n_marks"),
-        _count(t, r"[0-9]").alias("n_digits"),
-        F.size(F.array_distinct("__h")).cast("long").alias("n_distinct"),
-    )
+def _windows(h: Column) -> Column:
+    """64-bit hashes of the word windows from the hashes of the words."""
+    last = F.size(h) - WINDOW
+    starts = F.sequence(F.lit(0), F.greatest(last, F.lit(0)))
+    return F.when(last >= 0, F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>"))
+
+
+def figures_of(text: Column) -> Column:
+    """Struct with the figures of a text, null as the empty text.
+
+    Words, their hashes, windows and lines exist inside the expression only, one text at a time; rows hold the text and
+    ten numbers.
+    """
+
+    def of_words(h: Column) -> Column:
+        return F.struct(F.size(h).cast("long").alias("n_words"), _held(_windows(h), repeat_words).alias("n_repeat_words"), F.size(F.array_distinct(h)).cast("long").alias("n_distinct"))
+
+    def of_lines(lines: Column) -> Column:
+        return F.struct(F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"))
+
+    def of_text(t: Column) -> Column:
+        words = _held(F.transform(words_of(t), lambda w: F.xxhash64(w)), of_words)
+        lines = _held(F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD)), of_lines)
+        counts = F.struct(
+            F.length(F.regexp_replace(t, r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
+            _count(t, SYMBOLS).alias("n_symbols"), _count(t, r"\p{Lu}").alias("n_upper"), _count(t, r"[!?]").alias("n_marks"), _count(t, r"[0-9]").alias("n_digits"),
+        )
+        every = F.struct(words.alias("w"), lines.alias("l"), counts.alias("c"))
+        of = {"n_words": "w", "n_repeat_words": "w", "n_distinct": "w", "n_lines": "l", "n_dup_lines": "l"}
+        return _held(every, lambda x: F.struct(*[x[of.get(n, "c")][n].alias(n) for n in FIGURES]))
+
+    return _held(text, of_text)
+
+
+def with_figures(docs: DataFrame, text: str = "text", into: str = "figures") -> DataFrame:
+    """Add struct ``into`` with the figures of each text; null texts count as empty."""
     # the explode keeps later filters above this step, so figures are computed once
-    return rows.select(*kept, F.explode(F.array(figures)).alias("__f"))
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array(figures_of(text_of(text)))).alias(into))
 
 
 def features_of(f: Column) -> dict[str, Column]:
@@ -220,33 +236,38 @@ def decision(rules: list[Rule], features: dict[str, Column]) -> tuple[Column, Co
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", bound: int = SAMPLE_ROWS) -> list[Rule]:
+    """Rules from at most ``bound`` labelled rows; rows that fail the base take no part; no rules without labels."""
     sample = labelled_sample(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), labels, "quality", bound)
-    f = F.col("__f")
+    f = F.col("figures")
     rows = with_figures(sample).where(~base_failed(f)).select("__label", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(3)).alias("__part"), *[c.alias(n) for n, c in features_of(f).items()])
     return learn_rules(cut_lineage(rows))
 
 
-def judge_quality(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
-    """``docs`` with ``__f`` (figures), ``base_failed``, ``kept`` and ``rule`` in struct ``__q``.
+def judge_quality(docs: DataFrame, rules: list[Rule], text: str = "text", into: str = "judged") -> DataFrame:
+    """``docs`` with struct ``into``: the figures of ``FIGURES``, base_failed, kept and rule.
 
     Null and empty texts have no words and fail the base.  Rows are independent: repeated rows are judged alike.
-    Without labels there are no rules and only the base decides.
+    Without labels there are no rules and only the base decides.  ``into`` must not be a column of ``docs``.
     """
-    f = F.col("__f")
+    f = F.col(f"`{into}`")
     failed = base_failed(f)
     kept, fired = decision(rules, features_of(f))
-    judged = F.struct(failed.alias("base_failed"), (~failed & kept).alias("kept"), F.when(~failed, fired).alias("rule"))
-    return with_figures(docs, text).withColumn("__q", judged)
+    judged = F.struct(*[f[n].alias(n) for n in FIGURES], failed.alias("base_failed"), (~failed & kept).alias("kept"), F.when(~failed, fired).alias("rule"))
+    return with_figures(docs, text, into).withColumn(into, judged)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, figures, base_failed, kept, rule."""
+    """One row per document: doc_id, figures, base_failed, kept, rule; odd inputs as in ``judge_quality``."""
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     judged = judge_quality(slim, fit_quality(slim, labels))
-    return judged.select("doc_id", *[F.col(f"__f.{c}") for c in FIGURES[:5]], "__q.base_failed", "__q.kept", "__q.rule")
+    return judged.select("doc_id", *[F.col(f"judged.{c}") for c in FIGURES[:5]], "judged.base_failed", "judged.kept", "judged.rule")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that pass the base and the list, with their columns."""
-    judged = judge_quality(docs, fit_quality(docs, labels))
-    return judged.where("__q.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Rows of ``docs`` that pass the base and the list, with their columns, whatever their names.
+
+    Null, empty and short texts fail the base and go; repeated rows stay or go together; an empty table stays empty.
+    """
+    into = unused("judged", docs)
+    judged = judge_quality(docs, fit_quality(docs, labels), into=into)
+    return judged.where(F.col(f"`{into}`.kept")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,8 +1,8 @@
 """Toxic spans and scores by a linear-chain conditional random field.
 
 Two tags, O and T, run over the words of a text.  Labels are per document, so token labels come first: word
-counts over a bounded sample of labelled texts give candidate words, and a greedy cover of the toxic texts
-picks those that explain most of them; their occurrences in toxic texts are the T tokens.  The field has a
+counts over a bounded sample of labelled texts give candidate words, and those whose share of toxic texts beats
+chance over all words are the toxic ones; their occurrences in toxic texts are the T tokens.  The field has a
 weight per candidate word, one for any other word, and transition weights.  Between candidate words all tokens
 look alike, so forward and backward messages cross such a run by a closed power of the 2x2 transfer matrix: the
 marginals are exact and the work per text is one look-up per word.  Marginals at candidate words give the spans;
@@ -23,13 +23,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from cellscape.llm.common import text_of
+from cellscape.llm.common import bound_batches, text_of
 from cellscape.llm.labelled import labelled_sample
+from cellscape.session import cut_lineage
 
 TOKEN = re.compile(r"[^\W_]+")
-#: Most labelled rows that the field is learned from, and most candidate words.
+#: Most labelled rows that the field is learned from.
 SAMPLE_ROWS = 20_000
-CANDIDATES = 2_000
+#: Characters of text that a worker tags at once.
+CHUNK_CHARS = 1 << 20
 MIN_TEXTS, MIN_ODDS = 3, 4.0
 #: Log likelihood by which a toxic word must beat chance over all words.
 MARGIN = 1.0
@@ -246,15 +248,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
 
     Equal texts count once.  Without labelled texts the field has no words and every score is one half or less.
     """
+    bound_batches(docs.sparkSession)
     slim = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
     sample = labelled_sample(slim, labels, "toxic", bound, where=where)
-    texts = sample.groupBy(F.sha2("text", 256)).agg(F.first("text").alias("text"), F.max("__label").alias("__label")).select("text", "__label")
+    texts = cut_lineage(sample.groupBy(F.sha2("text", 256)).agg(F.first("text").alias("text"), F.max("__label").alias("__label")).select("text", "__label"))
     counts = texts.mapInPandas(_count_words, "word string, tox long, clean long").groupBy("word").agg(F.sum("tox").alias("tox"), F.sum("clean").alias("clean"))
+    counts = cut_lineage(counts)
     sizes = {r["__label"]: r["count"] for r in texts.groupBy("__label").count().collect()}
     n_tox, n_clean = sizes.get(1, 0), sizes.get(0, 0)
+    share, tested = n_tox / max(1, n_tox + n_clean), counts.count()
     odds = ((F.col("tox") + 0.5) / (n_tox + 1)) / ((F.col("clean") + 0.5) / (n_clean + 1))
-    best = counts.where((F.col("tox") >= MIN_TEXTS) & (odds >= MIN_ODDS)).withColumn("odds", odds)
-    best = best.orderBy((F.col("tox") * F.log("odds")).desc(), "word").limit(CANDIDATES).collect()
+    best = counts.where((F.col("tox") >= MIN_TEXTS) & (odds >= MIN_ODDS) & beats_chance(F.col("tox"), F.col("clean"), share, tested))
+    best = best.orderBy("word").collect()  # words of the bounded sample that occur more often in toxic texts than chance allows
     words = {r.word: i for i, r in enumerate(best)}
 
     def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -267,10 +272,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
 
     located = texts.mapInPandas(locate, "toxic int, n long, places array<int>, numbers array<int>, contexts array<long>")
     rows = sorted((r.toxic, r.n, list(r.places), list(r.numbers), list(r.contexts)) for r in located.collect())  # at most ``bound`` texts
-    toxic_words = lexicon(rows, [(r.tox, r.clean) for r in best], n_tox / max(1, n_tox + n_clean), counts.count() if words else 0)
+    toxic_words = lexicon(rows, [(r.tox, r.clean) for r in best], share, tested)
     return train([r[:4] for r in rows], words, toxic_words)
 
 
+def beats_chance(tox: Column, clean: Column, share: float, tested: int) -> Column:
+    """The test of ``lexicon`` on raw counts.  Counting toxic texts by neighbours only lowers them, so no word is lost here."""
+    if not 0 < share < 1:
+        return F.lit(False)
+    fit = tox / (tox + clean)
+    ratio = tox * F.log(fit / share) + F.when(clean > 0, clean * F.log((1 - fit) / (1 - share))).otherwise(0.0)
+    return (fit > share) & (ratio >= math.log(max(tested, 1)) + MARGIN)
+
+
 def lexicon(rows: list[tuple], counts: list[tuple[int, int]], share: float, tested: int) -> set[int]:
     """Words whose tokens count as toxic in toxic texts.
 
@@ -297,15 +311,26 @@ def lexicon(rows: list[tuple], counts: list[tuple[int, int]], share: float, test
 def toxicity(field: Field):
     """A column function: text to struct of score and spans (start, end and probability of each toxic run)."""
 
+    def score_chunk(texts: list[str]) -> pd.DataFrame:
+        found = [events(t, field.words) for t in texts]
+        marginals = marginals_of(field, found)
+        odds = field.slope * document_odds(marginals) + field.intercept
+        score = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        spans = [spans_of(t, f[1], m) if len(m) and m.max() >= 0.5 else [] for t, f, m in zip(texts, found, marginals, strict=True)]
+        return pd.DataFrame({"score": score, "spans": spans})
+
     def score_texts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            texts = [t or "" for t in texts]
-            found = [events(t, field.words) for t in texts]
-            marginals = marginals_of(field, found)
-            odds = field.slope * document_odds(marginals) + field.intercept
-            score = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
-            spans = [spans_of(t, f[1], m) if len(m) and m.max() >= 0.5 else [] for t, f, m in zip(texts, found, marginals, strict=True)]
-            yield pd.DataFrame({"score": score, "spans": spans})
+            parts, chunk, size = [], [], 0
+            for t in texts:
+                chunk.append(t or "")
+                size += len(chunk[-1])
+                if size >= CHUNK_CHARS:
+                    parts.append(score_chunk(chunk))
+                    chunk, size = [], 0
+            if chunk or not parts:
+                parts.append(score_chunk(chunk))
+            yield pd.concat(parts, ignore_index=True)
 
     return pandas_udf(score_texts, SCHEMA)
 
@@ -340,12 +365,18 @@ def score_toxicity(docs: DataFrame, field: Field, doc_id: str = "doc_id", text:
     are scored alike; other columns are dropped.  Offsets are of the text, or of its lower case where that
     is longer.
     """
+    bound_batches(docs.sparkSession)
     scored = docs.select(F.col(doc_id).alias("doc_id"), toxicity(field)(text_of(text)).alias("__t"))
     score = F.col("__t.score")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), F.col("__t.spans").alias("spans"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that score below one half, with their columns; learned from rows that are not held out."""
+    """Rows of ``docs`` that score below one half, with their columns; learned from rows that are not held out.
+
+    Null and empty texts score as texts without candidate words; repeated rows stay or go together; an empty table stays
+    empty.
+    """
+    bound_batches(docs.sparkSession)
     field = fit_toxicity(docs, labels, where=~held_out(F.col("doc_id")))
     return docs.where(toxicity(field)(text_of("text"))["score"] < 0.5)

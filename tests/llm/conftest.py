@@ -12,12 +12,17 @@ ODD_TEXTS = [
 ]
 
 
+CLASHING = ["__t", "__w", "__h", "__g", "__l", "__f", "__q", "judged", "figures", "__key", "__md5", "row", "key", "md5", "node", "word", "__label", "__row", "__id"]
+
+
 @pytest.fixture()
 def odd_docs(spark):
     """Odd texts, a null id, a repeated row, and columns with names the operators use inside."""
     rows = [(i, t, "en", "s1", len(t or ""), 0.5, "x") for i, t in enumerate(ODD_TEXTS)]
     rows += [(None, "null id here", None, None, None, None, None), rows[5], rows[5]]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, __text string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, __text string")
+    # names that operators use inside or once used
+    return df.selectExpr("*", *[f"'mine' AS `{n}`" for n in CLASHING])
 
 
 @pytest.fixture()
