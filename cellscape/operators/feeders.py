@@ -182,17 +182,16 @@ def site_summary(cells: DataFrame) -> DataFrame:
         F.round(F.max("severity_score"), 4).alias("severity_score"),
     )
     order = [("HIGH", F.col("high_confidence") > 0), ("MEDIUM", F.col("medium_confidence") > 0), ("LOW", F.col("low_confidence") > 0)]
-    category, rank = F.lit("MINIMAL"), F.lit(3)
-    for i, (name, test) in reversed(list(enumerate(order))):
-        category, rank = F.when(test, name).otherwise(category), F.when(test, i).otherwise(rank)
+    category = F.lit("MINIMAL")
+    for name, test in reversed(order):
+        category = F.when(test, name).otherwise(category)
     label = (
         F.when(F.col("high_confidence") > 0, F.format_string("CROSSED FEEDER: %d swap pair(s) detected", "high_confidence"))
         .when(F.col("medium_confidence") > 0, F.format_string("POSSIBLE ISSUE: %d cells with out-of-beam anomalies", "medium_confidence"))
         .when(F.col("low_confidence") > 0, F.format_string("AZIMUTH REVIEW: %d cell(s) may need azimuth adjustment", "low_confidence"))
         .otherwise("No issues detected")
     )
-    out = out.withColumns({"severity_category": category, "classification": label, "_r": rank})
-    return out.orderBy("_r", F.desc("high_confidence"), F.desc("medium_confidence")).drop("_r")
+    return out.withColumns({"severity_category": category, "classification": label})
 
 
 def detect_crossed_feeders(relations: DataFrame, gis: DataFrame, p: Feeders = Feeders()) -> FeederFindings:
@@ -205,10 +204,10 @@ def detect_crossed_feeders(relations: DataFrame, gis: DataFrame, p: Feeders = Fe
 
 
 def feeders_from_bins(coverage: DataFrame, min_deviation_deg: float = 90.0) -> DataFrame:
-    """Share of a cell's events in bins behind its azimuth, largest first."""
+    """Share of a cell's events in bins behind its azimuth."""
     behind = coverage.where(F.col("grid_bearing_diff") >= min_deviation_deg)
     out = behind.groupBy("cell_name").agg(F.sum("perc_cell_events").alias("behind_share"))
-    return out.orderBy(F.desc("behind_share"))
+    return out
 
 
 # Fixed values of the scored variant.
@@ -268,4 +267,4 @@ def co_sector_feeders(impacts: DataFrame, min_share: float = 10.0, max_diff: flo
     )
     group = ["cell_site", "cell_band", "impact_band"]
     totals = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("cell_count"), F.sum("diff").alias("combined_diff"))
-    return rows.join(totals.where(F.col("cell_count") > 1), group).orderBy("combined_diff", "diff")
+    return rows.join(totals.where(F.col("cell_count") > 1), group)

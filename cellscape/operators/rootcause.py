@@ -47,6 +47,7 @@ def tilt_advice(facts: DataFrame, p: RootCause = RootCause()) -> DataFrame:
     suggestion = F.coalesce(
         "tall_suggestion", F.when(low, F.least(F.col("total_tilt") + 2, F.lit(p.high_tilt_deg)))
     )
+    # Reasons of the output.
     reason = F.when(
         F.col("tall_suggestion").isNotNull(),
         F.format_string("Tall site (%.0fm) with low tilt reaching %.2fkm", "antenna_height", "effective_range_km"),

@@ -15,6 +15,7 @@ from cellscape.operators.quantile import attach_percentile_range
 from cellscape.params import Undershoot, environment_table
 from cellscape.session import cut_lineage
 
+# Fixed value: note of the output.
 MIN_TILT_NOTE = "Cell at minimum tilt (0 deg) - investigate physical build"
 OUTPUT = [
     "cell_name", "max_distance_m", "total_grids", "interference_grids", "interference_percentage", "total_traffic",
