@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from cellscape.llm.common import bound_batches
 from cellscape.llm.groups import roots, unite, whole_groups
 from cellscape.llm.urls import BROADCAST_BLOCKS, build_filter, possible_hits
 from cellscape.operators.components import connected_components
@@ -38,8 +39,8 @@ HORIZON = math.log(SIZE) + 4
 BLOCK = 1_024
 #: Shingles counted in one product.
 COLUMNS = 4_096
-CHUNK_CHARS = 2_000_000
-CACHED_WORDS = 300_000
+CHUNK_CHARS = 1_000_000
+CACHED_WORDS = 100_000
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -263,6 +264,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     share a class, also empty ones; other texts without words are alone.  Rows with null text are alone with their
     own id.  Null ids follow their text.  Repeated rows are all returned.  Other columns are dropped.
     """
+    bound_batches(docs.sparkSession)
     slim = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("node"), F.col(text).alias("text"))
     signed = cut_lineage(slim.mapInArrow(_sign, "doc_id long, node binary, bands array<long>"))
 
@@ -302,7 +304,9 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     group = F.when(F.col("class_id").isNotNull(), F.col("class_id").cast("string")).otherwise(F.hex("node"))
     winners = found.where(F.col("node").isNotNull()).groupBy(group.alias("g")).agg(best.alias("w")).select(F.col("w.doc_id").alias("__id"), F.col("w.node").alias("__node"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.where(F.col(text).isNotNull()).withColumns({"__key": F.col(doc_id).cast("long"), "__md5": F.unhex(F.md5(F.encode(text, "UTF-8")))})
-    kept = keyed.join(cut_lineage(winners), F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__md5") == F.col("__node")), "left_semi")
-    kept = kept.dropDuplicates(["__key", "__md5"]).select(*columns)
+    # rows of all columns inside one struct cannot clash with the keys
+    row = F.struct(*columns).alias("row")
+    keyed = docs.where(F.col(text).isNotNull()).select(row, F.col(doc_id).cast("long").alias("key"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("md5"))
+    kept = keyed.join(cut_lineage(winners), F.col("key").eqNullSafe(F.col("__id")) & (F.col("md5") == F.col("__node")), "left_semi")
+    kept = kept.dropDuplicates(["key", "md5"]).select("row.*")
     return kept.unionByName(docs.where(F.col(text).isNull()).select(*columns))

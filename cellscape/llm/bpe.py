@@ -21,11 +21,15 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
+from cellscape.llm.common import bound_batches
+
 #: Fixed pattern that splits a text into words before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words kept between batches, and the characters of text encoded together.
-CACHED_WORDS = 200_000
-CHUNK_CHARS = 1_500_000
+CACHED_WORDS = 100_000
+CHUNK_CHARS = 700_000
+#: Pairs of tokens whose check is remembered; beyond them a worker starts afresh.
+CACHED_PAIRS = 2_000_000
 #: Words of more bytes are merged with a heap.
 LONG_WORD = 64
 NO_MERGE = 1 << 62
@@ -239,6 +243,8 @@ class PairBpe:
         here = set().union(*split)
         if len(self.known) > CACHED_WORDS:  # keep what is in use
             self.known = {w: self.known[w] for w in here if w in self.known}
+        if len(self.pairs) > CACHED_PAIRS:
+            self.pairs, self.fits = self.pairs[:0], self.fits[:0]
         self.known.update({s: (i,) for s, i in self.special.items()})
         self.learn_words([w for w in here if w not in self.known])
         found = self.known.__getitem__
@@ -304,7 +310,7 @@ def _decode_batches(path: str, ids: str, text: str, digest: str):
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Replace ``text`` by ``ids array<int>``; other columns stay.
+    """Replace ``text`` by ``ids array<int>``; other columns stay, but for one that is already called ``ids``.
 
     Null and empty texts have no ids.  Special tokens' strings in a text become their ids, as is the
     library's default.  Rows are independent: no shuffle, repeated rows are all kept, an empty table stays empty.
@@ -321,3 +327,16 @@ def decode_documents(encoded: DataFrame, tokenizer: str, ids: str = "ids", text:
     source = encoded.select(*[F.col(f"`{f.name}`") for f in kept])
     schema = StructType([*kept]).add(text, StringType()).add(digest, StringType())
     return source.mapInArrow(_decode_batches(tokenizer, ids, text, digest), schema)
+
+
+def encode_and_decode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", digest: str = "ids_sha256") -> DataFrame:
+    """``decode_documents`` of ``encode_documents`` in one pass, so that a task holds one worker and one set of tables.
+
+    Odd inputs as in both; columns called ``ids``, ``decoded`` or ``digest`` are replaced.
+    """
+    bound_batches(docs.sparkSession)
+    kept = [f for f in docs.schema.fields if f.name not in (text, ids, decoded, digest)]
+    source = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(text).cast("string").alias(text))
+    encode, decode = _encode_batches(tokenizer, text, ids), _decode_batches(tokenizer, ids, decoded, digest)
+    schema = StructType([*kept]).add(ids, ArrayType(IntegerType())).add(decoded, StringType()).add(digest, StringType())
+    return source.mapInArrow(lambda batches: decode(encode(batches)), schema)

@@ -38,8 +38,7 @@ def op6_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_bpe_speculate(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = bpe.decode_documents(bpe.encode_documents(docs, path), path)
+    both = bpe.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -39,8 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every whole text with their count, and the digests of ids and decoded text."""
-    path = public_tokenizers.path(TOKENIZER)
-    both = bpe.decode_documents(bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), path), path)
+    both = bpe.encode_and_decode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path(TOKENIZER))
     return both.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
