@@ -34,21 +34,22 @@ def renormalise_shares(coverage: DataFrame) -> DataFrame:
     """Event shares that add up to one per bin of a band; a table without shares stays as it is."""
     if "perc_grid_events" not in coverage.columns:
         return coverage
-    totals = coverage.groupBy(*KEY).agg(F.sum("perc_grid_events").alias("_t"))
-    out = coverage.join(totals, KEY)
-    return out.withColumn("perc_grid_events", ratio(F.col("perc_grid_events"), F.col("_t"))).drop("_t")
+    total = F.sum("perc_grid_events").over(Window.partitionBy(*KEY))
+    return coverage.withColumn("perc_grid_events", ratio(F.col("perc_grid_events"), total))
 
 
 def close_to_strongest(coverage: DataFrame, p: Interference = Interference()) -> DataFrame:
-    """Good rows within the band's gap of the strongest row of their bin."""
-    rows = renormalise_shares(coverage)
+    """Good rows within the band's gap of the strongest row of their bin.
+
+    The figures of a bin are windows over one partitioning: a table that arrives by (ix, iy) is not shuffled again.
+    """
+    rows = renormalise_shares(coverage.dropna(subset=KEY))
     if not p.perceived:  # both columns are optional
         if "event_count" in rows.columns:
             rows = rows.where(F.col("event_count") >= p.min_events)
         if "perc_grid_events" in rows.columns:
             rows = rows.where(F.round("perc_grid_events", 9) >= p.min_share)
-    best = rows.groupBy(*KEY).agg(F.max("avg_rsrp").alias("max_rsrp"))
-    rows = rows.join(best, KEY).withColumn("rsrp_dist_max", F.round(F.col("max_rsrp") - F.col("avg_rsrp"), 6))
+    rows = rows.withColumn("max_rsrp", F.max("avg_rsrp").over(Window.partitionBy(*KEY))).withColumn("rsrp_dist_max", F.round(F.col("max_rsrp") - F.col("avg_rsrp"), 6))
     return rows.where(F.col("rsrp_dist_max") <= band_gap(F.col("band")))
 
 
@@ -65,16 +66,15 @@ def level_groups(rows: DataFrame, p: Interference = Interference()) -> DataFrame
 def _anchored_groups(rows: DataFrame, width: float) -> DataFrame:
     """A group takes every row within ``width`` of its strongest; the next row starts another.
 
-    Gaps are capped by the band limit, so a bin has few groups and each start is one grouped minimum.
+    Gaps are capped by the band limit, so a bin has few groups and each start is one minimum over the bin.
     """
     rows = rows.withColumns({"grid_cluster_no": F.lit(1), "_anchor": F.lit(0.0)})
     widest = max(*BAND_GAP_DB.values(), DEFAULT_BAND_GAP_DB)
     for n in range(2, math.ceil(widest / width) + 1):
         beyond = F.col("rsrp_dist_max") - F.col("_anchor") > width
         last = F.col("grid_cluster_no") == n - 1
-        starts = rows.where(last & beyond).groupBy(*KEY).agg(F.min("rsrp_dist_max").alias("_next"))
-        rows = rows.join(starts, KEY, "left")
-        moved = last & beyond & F.col("_next").isNotNull()
+        moved = last & beyond
+        rows = rows.withColumn("_next", F.min(F.when(moved, F.col("rsrp_dist_max"))).over(Window.partitionBy(*KEY)))
         rows = rows.withColumns({
             "grid_cluster_no": F.when(moved, F.lit(n)).otherwise(F.col("grid_cluster_no")),
             "_anchor": F.when(moved, F.col("_next")).otherwise(F.col("_anchor")),
@@ -123,13 +123,20 @@ def dominant_bins(coverage: DataFrame, rows: DataFrame, p: Interference = Interf
 
 
 def interfering_bins(coverage: DataFrame, p: Interference = Interference()) -> DataFrame:
-    """Rows of groups with enough similar cells, outside dominated bins."""
-    rows = cut_lineage(close_to_strongest(coverage, p))
-    grouped = level_groups(rows, p).join(dominant_bins(coverage, rows, p), KEY, "left_anti")
+    """Rows of groups with enough similar cells, outside dominated bins.
+
+    Dominance is that of ``dominant_bins``, marked on the rows in the same pass, so the table is shuffled once.
+    """
+    everyone = Window.partitionBy(*KEY).orderBy(F.desc("avg_rsrp"), "cell_name").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    loaded = F.lit(True) if p.perceived else F.coalesce(F.max(F.col("perc_grid_events") >= p.dominant_share).over(everyone), F.lit(False))
+    marked = coverage.dropna(subset=KEY).withColumns({"_second": F.nth_value("avg_rsrp", 2).over(everyone), "_loaded": loaded})
+    rows = close_to_strongest(marked, p)
+    leads = F.round(F.col("max_rsrp") - F.col("_second"), 6) >= band_gap(F.col("band"))
+    rows = rows.where(~F.coalesce(leads & F.col("_loaded"), F.lit(False))).drop("_second", "_loaded")
     needed = p.min_cells * p.perceived_multiplier if p.perceived else p.min_cells
-    by = [*KEY, "grid_cluster_no"]
-    sizes = grouped.groupBy(*by).agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= needed)
-    return grouped.join(sizes, by)
+    group = Window.partitionBy(*KEY, "grid_cluster_no")
+    grouped = level_groups(rows, p).withColumn("count", F.count(F.lit(1)).over(group))
+    return cut_lineage(grouped.where(F.col("count") >= needed))
 
 
 def dense_bins(rows: DataFrame, p: Interference = Interference()) -> DataFrame:

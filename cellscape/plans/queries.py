@@ -583,7 +583,7 @@ def _outlined(regions):
 
 
 def _shared_coverage(spark, sf):
-    cov = tables.coverage(spark, sf)
+    cov = tables.coverage(spark, sf).select("ix", "iy", "cell_name", "band", "avg_rsrp", "avg_sinr", "event_count", "distance_to_cell")
     out = enrich.join_group(cov, ["ix", "iy"], _t=F.sum("event_count"))
     return out.withColumn("perc_grid_events", F.col("event_count") / F.col("_t")).drop("_t")
 
@@ -622,7 +622,7 @@ def interference_kring(spark, sf):
 
 @query
 def interference_cells(spark, sf):
-    rows = cut_lineage(interference.dense_bins(cut_lineage(interference.interfering_bins(_shared_coverage(spark, sf), NOISY)), NOISY))
+    rows = cut_lineage(interference.dense_bins(interference.interfering_bins(_shared_coverage(spark, sf), NOISY), NOISY))
     return rounded(interference.cell_interference(interference.with_rsrp_weight(rows)), 3)
 
 
