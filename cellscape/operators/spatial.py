@@ -77,7 +77,8 @@ def knn_join(
     ``queries`` has (qid, llat, llon), ``points`` (pid, rlat, rlon).  A pyramid of bucket
     counts gives each query the finest level whose 3x3 block already holds k points; that
     bounds the k-th distance, hence the buckets to search.  A dense bucket is visited only
-    by the few queries too sparse for the next finer level, so pair counts stay linear.
+    by the few queries too sparse for the next finer level, so pair counts stay linear.  Points of one
+    position meet a query as one row until their position is known to be near enough.
     ``metric`` is haversine metres, where bucket columns go round the globe, or "planar"
     degrees; adds ``distance`` and ``rank``.
     """
@@ -98,8 +99,11 @@ def knn_join(
     beside = F.transform(around, lambda d: F.col("_bx") + d)
     if globe:
         beside = F.array_distinct(F.transform(beside, lambda x: F.pmod(x, columns)))
-    placed = bucketed(points, "rlat", "rlon")
-    counts = placed.groupBy(*keys, "_l", "_by", "_bx").agg(F.count(F.lit(1)).alias("_c"))
+    # Points of one position are searched as one row with their number; only those of near positions are looked up.
+    place = [*keys, "rlat", "rlon"]
+    positions = points.groupBy(*place).agg(F.count(F.lit(1)).alias("_m"))
+    placed = bucketed(cut_lineage(positions), "rlat", "rlon")
+    counts = placed.groupBy(*keys, "_l", "_by", "_bx").agg(F.sum("_m").alias("_c"))
     blocks = (
         counts.withColumn("_dy", F.explode(around))
         .withColumn("_bx", F.explode(beside))
@@ -131,10 +135,14 @@ def knn_join(
     else:
         dy, dx = F.col("rlat") - F.col("llat"), F.col("rlon") - F.col("llon")
         distance = F.sqrt(dx * dx + dy * dy)
-    pairs = search.join(placed, [*keys, "_l", "_by", "_bx"]).withColumn("distance", distance)
+    pairs = search.join(placed, [*keys, "_l", "_by", "_bx"]).withColumn("distance", distance).drop("_l", "_bx", "_by")
+    # a position can hold one of the nearest if fewer than k points lie strictly closer
+    upto = Window.partitionBy(*keys, "qid").orderBy("distance")
+    own = Window.partitionBy(*keys, "qid", "distance")
+    closer = pairs.withColumn("_upto", F.sum("_m").over(upto) - F.sum("_m").over(own)).where(F.col("_upto") < k).drop("_upto", "_m")
     nearest = Window.partitionBy(*keys, "qid").orderBy("distance", tie)
-    ranked = pairs.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
-    return ranked.drop("_l", "_bx", "_by")
+    ranked = closer.join(points, place).withColumn("rank", F.row_number().over(nearest))
+    return ranked.where(F.col("rank") <= k)
 
 
 def nearest_owners(queries: DataFrame, points: DataFrame, owner: str, k: int, finest_deg: float = 0.005, step: int = 2) -> DataFrame:
