@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cellscape.functions import lattice, shapes
 from cellscape.params import OvershootChecks, UndershootChecks
+from cellscape.session import cut_lineage
 
 
 class Validation(NamedTuple):
@@ -118,7 +119,7 @@ def input_quality(coverage: DataFrame, gis: DataFrame, hulls: DataFrame | None,
         names.withColumn("ok", F.col("rows") - F.col("problems") >= min_parse_ratio * F.col("rows")),
     ]
     if hulls is not None:
-        shaped = shapes.with_shape(hulls)
+        shaped = cut_lineage(shapes.with_shape(hulls).select("cell_name", "shape"))  # built once for three checks
         out += [
             check(shaped, "polygon_missing", F.col("shape").isNull()),
             check(shaped.where(F.col("shape").isNotNull()), "polygon_area", ~(shapes.area_km2(F.col("shape")) > 0)),
