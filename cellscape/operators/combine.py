@@ -21,14 +21,18 @@ def detector_counts(**findings: DataFrame) -> DataFrame:
 
 
 def severity_statistics(findings: DataFrame) -> DataFrame:
-    """Counts by severity, band and environment, each alone and overall."""
+    """Counts by severity, band and environment, each alone and overall; the overall count is 0 without findings."""
     dims = [c for c in ("severity_category", "band", "environment") if c in findings.columns]
-    rows = findings.select(*dims)
+    whole = F.struct(F.lit("all").alias("dimension"), F.lit("all").alias("value"))
     sets = F.array(
-        F.struct(F.lit("all").alias("dimension"), F.lit("all").alias("value")),
+        whole,
         *[F.struct(F.lit(d).alias("dimension"), F.coalesce(F.col(d).cast("string"), F.lit("unknown")).alias("value")) for d in dims],
     )
-    return rows.select(F.explode(sets).alias("s")).groupBy("s.dimension", "s.value").agg(F.count(F.lit(1)).alias("findings"))
+    rows = findings.select(sets.alias("_sets"), F.lit(1).cast("long").alias("_n"))
+    # one row of count 0 keeps the overall count where nothing was found
+    none = findings.sparkSession.range(1).select(F.array(whole).alias("_sets"), F.lit(0).cast("long").alias("_n"))
+    counted = rows.unionByName(none).select(F.explode("_sets").alias("s"), "_n")
+    return counted.groupBy("s.dimension", "s.value").agg(F.sum("_n").alias("findings"))
 
 
 def detector_statistics(**findings: DataFrame) -> DataFrame:
