@@ -91,8 +91,8 @@ def knn_join(
     if globe:  # buckets of a whole number of columns can be wider than high
         reach = 2 * F.sqrt(size * size + F.pow(360.0 / columns, 2)) * (1 + 1e-6)
 
-    def bucketed(df: DataFrame, lat: str, lon: str) -> DataFrame:
-        df = df.withColumn("_l", F.explode(level_ids))
+    def bucketed(df: DataFrame, lat: str, lon: str, at: Column = level_ids) -> DataFrame:
+        df = df.withColumn("_l", F.explode(at))
         return df.withColumn("_by", F.floor(F.col(lat) / size)).withColumn("_bx", _column(F.col(lon), columns) if globe else F.floor(F.col(lon) / size))
 
     around = F.sequence(F.lit(-1), F.lit(1))
@@ -101,17 +101,17 @@ def knn_join(
         beside = F.array_distinct(F.transform(beside, lambda x: F.pmod(x, columns)))
     # Points of one position are searched as one row with their number; only those of near positions are looked up.
     place = [*keys, "rlat", "rlon"]
-    positions = points.groupBy(*place).agg(F.count(F.lit(1)).alias("_m"))
-    placed = bucketed(cut_lineage(positions), "rlat", "rlon")
-    counts = placed.groupBy(*keys, "_l", "_by", "_bx").agg(F.sum("_m").alias("_c"))
+    positions = cut_lineage(points.groupBy(*place).agg(F.count(F.lit(1)).alias("_m")))
+    counts = bucketed(positions, "rlat", "rlon").groupBy(*keys, "_l", "_by", "_bx").agg(F.sum("_m").alias("_c"))
     blocks = (
         counts.withColumn("_dy", F.explode(around))
         .withColumn("_bx", F.explode(beside))
         .groupBy(*keys, "_l", (F.col("_by") + F.col("_dy")).alias("_by"), "_bx")
         .agg(F.sum("_c").alias("_c"))
     )
+    # Positions are written small, their buckets on all levels are not: merged, they never pass through the driver.
     seen = bucketed(queries.select(*keys, "qid", "llat", "llon"), "llat", "llon").join(
-        blocks, [*keys, "_l", "_by", "_bx"], "left"
+        blocks.hint("merge"), [*keys, "_l", "_by", "_bx"], "left"
     )
     enough = F.col("_c") >= k
     if globe:  # a search round a pole visits every column, so it takes a level with few
@@ -119,6 +119,9 @@ def knn_join(
     chosen = seen.groupBy(*keys, "qid", "llat", "llon").agg(
         F.coalesce(F.min(F.when(enough, F.col("_l"))), F.lit(levels - 1)).alias("_l")
     )
+    chosen = cut_lineage(chosen)
+    used = [F.lit(r["_l"]) for r in chosen.select("_l").distinct().collect()]  # at most one row per level
+    placed = bucketed(positions, "rlat", "rlon", F.array(*used) if used else F.array().cast("array<int>"))
     search = chosen.withColumn(
         "_by",
         F.explode(F.sequence(F.floor((F.col("llat") - reach) / size), F.floor((F.col("llat") + reach) / size))),
@@ -135,7 +138,7 @@ def knn_join(
     else:
         dy, dx = F.col("rlat") - F.col("llat"), F.col("rlon") - F.col("llon")
         distance = F.sqrt(dx * dx + dy * dy)
-    pairs = search.join(placed, [*keys, "_l", "_by", "_bx"]).withColumn("distance", distance).drop("_l", "_bx", "_by")
+    pairs = search.join(placed.hint("merge"), [*keys, "_l", "_by", "_bx"]).withColumn("distance", distance).drop("_l", "_bx", "_by")
     # a position can hold one of the nearest if fewer than k points lie strictly closer
     upto = Window.partitionBy(*keys, "qid").orderBy("distance")
     own = Window.partitionBy(*keys, "qid", "distance")
