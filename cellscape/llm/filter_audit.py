@@ -167,7 +167,8 @@ def term_matrix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", par
     row = ROW.format(kind=slim.schema["doc_id"].dataType.simpleString())
     arrays = f"rows array<{row}>, indptr array<int>, indices array<{{index}}>, counts array<int>"
     local = slim.mapInArrow(_sharder(slices), arrays.format(index="int") + ", blocks array<struct<slice:int,words:binary>>")
-    local = cut_lineage(local.withColumn("shard", F.monotonically_increasing_id()))
+    # a row is a shard of some megabytes, so a row group holds about one
+    local = cut_lineage(local.withColumn("shard", F.monotonically_increasing_id()), group_bytes=SHARD_BYTES)
     blocks = local.select("shard", F.explode("blocks").alias("b")).select("shard", "b.*").repartition("slice").sortWithinPartitions("slice", "shard")
     codes = blocks.mapInArrow(_coded(slices, names=False), "shard long, slice int, codes array<long>")
     shards = local.select("shard", "rows", "indptr", "indices", "counts").groupBy("shard").cogroup(codes.groupBy("shard"))

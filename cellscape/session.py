@@ -38,14 +38,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, group_bytes: int | None = None) -> DataFrame:
     """Write an intermediate table to the shared checkpoint folder and continue from it.
 
     Lost executors do not replay what came before, later steps read only the columns they
     need, and the table's size is known when joins are planned.
+
+    ``group_bytes`` bounds the row groups of a table whose rows are megabytes: else a task holds the first 100 rows
+    when it writes, and when it reads all rows of a group, of which there can be thousands in a batch.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write
+    if group_bytes:
+        writer = writer.options(**{"parquet.block.size": str(group_bytes), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"})
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
